@@ -197,7 +197,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(items: list[bytes], size: int = 2 << 20):
+def chunks(items: list[bytes], size: int = 1 << 19):
     """Index ranges whose byte sizes stay near size, so that numpy's scratch arrays do."""
     lo, n = 0, 0
     for i, x in enumerate(items):

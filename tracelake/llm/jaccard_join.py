@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, components, parts_for, shingle_sets, text_bytes, written
 
-UNIT_TOKENS = 3_000_000
+UNIT_TOKENS = 1_000_000
 HOT_IN_UNIT = 256
 SMALL_LIST = 12
 PIVOT_ROUNDS = 3
