@@ -1,78 +1,17 @@
-"""What the operators share: reading, sizing, shared scratch tables, components, tokenizers, numpy word hashing."""
+"""What the operators share: components over links, word and shingle hashes, tokenizers; and the library's scratch tables."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from ..scratch import bucket_of, parts_for, plan_bytes, quantile_bounds, shared_dir, table, written
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file bytes for a scan). No job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 8) -> int:
-    """A partition count that follows the input's size, so that a partition's size doesn't; Spark's own, if that is unknown."""
-    if plan_bytes(df) > 1 << 55:
-        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, min(1 << 17, -(-plan_bytes(df) // bytes_each)))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session has none (tests on one machine)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="tracelake"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return _LOCAL[0]
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bucket_of(col: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are <= col: a binary search inside one expression, so it stays in the JVM."""
-    if not bounds:
-        return F.lit(0)
-    b = F.lit(list(bounds))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
-        go = (s["lo"] < s["hi"]) & (F.get(b, mid) <= col)
-        return F.struct(F.when(go, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
-
-
-def quantile_bounds(df: DataFrame, col: str, parts: int) -> list:
-    """Ascending distinct cut points that split col into about equal parts; as many values as partitions reach the driver."""
-    if parts < 2:
-        return []
-    probes = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(col, F.lit(probes), F.lit(max(1000, 10 * parts))).alias("q")).first()["q"]
-    return sorted(set(found or []))
+__all__ = ["bucket_of", "chunks", "components", "encoder", "parts_for", "plan_bytes", "quantile_bounds", "shared_dir", "shingle_sets", "table", "text_bytes", "tokenizer_path", "word_hashes", "written"]
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -81,7 +20,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Each partition first keeps a spanning forest of its links; then large-star and small-star steps (joins and minima) go
     on until no edge changes. Edges live in written tables; the driver sees two counts a round.
     """
-    spark = links.sparkSession
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     edges = written(pairs.filter("u <> v").mapInArrow(_forest, "u long, v long"), "edges")
     before = None
