@@ -31,10 +31,10 @@ def agreement(table: DataFrame) -> DataFrame:
 def fleiss(ratings: DataFrame, item: str = "item", rating: str = "rating", keys: tuple[str, ...] = ()) -> DataFrame:
     """Fleiss' kappa of binary ratings in long form, per key: null with fewer than two raters or total chance agreement, and
     where items have different numbers of raters (column ragged)."""
-    each = ratings.filter(F.col(rating).isNotNull()).groupBy(*keys, item).agg(F.count("*").alias("k"), F.sum(F.col(rating).cast("int")).alias("yes"))
-    k, yes = F.col("k"), F.col("yes")
+    each = ratings.filter(F.col(rating).isNotNull()).groupBy(*keys, item).agg(F.count("*").alias("_k"), F.sum(F.col(rating).cast("int")).alias("_yes"))
+    k, yes = F.col("_k"), F.col("_yes")
     pi = (yes * (yes - 1) + (k - yes) * (k - yes - 1)) / (k * (k - 1))
-    x = each.groupBy(*keys).agg(F.count("*").alias("n_items"), F.min("k").alias("k1"), F.max("k").alias("k2"), F.avg(pi).alias("p_bar"), (F.sum("yes") / F.sum("k")).alias("p"))
+    x = each.groupBy(*keys).agg(F.count("*").alias("n_items"), F.min("_k").alias("k1"), F.max("_k").alias("k2"), F.avg(F.when(k > 1, pi)).alias("p_bar"), (F.sum("_yes") / F.sum("_k")).alias("p"))
     pe = F.col("p") * F.col("p") + (1 - F.col("p")) * (1 - F.col("p"))
     ok = (F.col("k1") == F.col("k2")) & (F.col("k1") >= 2) & (pe < 1)
     return x.select(*keys, "n_items", F.col("k2").alias("n_raters"), (F.col("k1") != F.col("k2")).alias("ragged"), F.when(ok, (F.col("p_bar") - pe) / (1 - pe)).alias("fleiss_kappa"))
@@ -82,6 +82,6 @@ def spearman(rows: DataFrame, a: str, b: str, keys: list[str] | None = None) ->
         x, keys = x.withColumn("_all", F.lit(0)), ["_all"]
     x = average_ranks(x, keys, a).withColumnRenamed("rank", "ra").drop("ties")
     x = average_ranks(x, keys, b).withColumnRenamed("rank", "rb")
-    out = x.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"), F.min("ra").alias("a1"), F.max("ra").alias("a2"), F.min("rb").alias("b1"), F.max("rb").alias("b2"))
+    out = x.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("rho"), F.min("ra").alias("a1"), F.max("ra").alias("a2"), F.min("rb").alias("b1"), F.max("rb").alias("b2"))
     ok = (F.col("n") >= 3) & (F.col("a1") < F.col("a2")) & (F.col("b1") < F.col("b2"))
     return out.select(*[k for k in keys if k != "_all"], "n", F.when(ok, F.col("rho")).alias("spearman_rho"))

@@ -107,8 +107,8 @@ def winners(cells: DataFrame, group: list[str], value: str, name: str) -> DataFr
 
 def merge_token_maps(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     """One map a key: the sums of its rows' token maps."""
-    x = rows.select(key, F.explode(tokens).alias("k", "v")).groupBy(key, "k").agg(F.sum("v").alias("v"))
-    return x.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("tokens"))
+    x = rows.select(key, F.explode(tokens).alias("_k", "_v")).groupBy(key, "_k").agg(F.sum("_v").alias("_v"))
+    return x.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("tokens"))
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

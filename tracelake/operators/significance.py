@@ -117,7 +117,7 @@ def bca_mean(values: DataFrame, keys: list[str], value: str, row_id: list[str],
             yield pa.RecordBatch.from_arrays(arrays, [*keys, "b", "s", "w"])
 
     reps = x.mapInArrow(partial, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "b int, s double, w double"]))
-    reps = reps.groupBy(*keys, "b").agg((F.sum("s") / F.sum("w")).alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("means"))  # resamples values a key
+    reps = reps.groupBy(*keys, "b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("means"))  # resamples values a key
     m1 = x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.skewness("v").alias("skew"))
     y = m1.join(reps, keys) if keys else m1.crossJoin(reps)
     tail = (1 - level) / 2

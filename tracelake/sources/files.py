@@ -72,7 +72,7 @@ def requirement_records(spark: SparkSession, path: str) -> DataFrame:
     body = F.col("r.1")
     typed = F.arrays_zip(F.regexp_extract_all(body, F.lit(links), F.lit(1)).alias("t"), F.regexp_extract_all(body, F.lit(links), F.lit(2)).alias("v"))
     ids = F.flatten(F.transform(typed, lambda x: F.transform(F.filter(F.transform(F.split(x["v"], "[,;]"), lambda s: F.trim(F.regexp_replace(s, r"^\s*##[A-Z0-9]+\.", ""))), lambda s: s != ""), lambda s: F.struct(s.alias("target_id"), F.upper(F.regexp_replace(x["t"], " ", "_")).alias("link_type")))))
-    return found.select(F.col("r.0").alias("id"), "module", "heading", F.trim(F.regexp_replace(body, links, "")).alias("full_text"), ids.alias("outgoing_links"))
+    return found.select(F.col("r.0").alias("id"), "module", "heading", F.regexp_replace(F.regexp_replace(body, links, ""), r"\A\s+|\s+\z", "").alias("full_text"), ids.alias("outgoing_links"))
 
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
