@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracelake.llm import fingerprints as fp
@@ -22,9 +24,15 @@ def frame(spark, texts=TEXTS, start=0):
     return spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
 
 
-def ids(text):
+@cache
+def tokenizer():
     t = Tokenizer.from_file(tokenizer_path())
     t.encode_special_tokens = True
+    return t
+
+
+def ids(text):
+    t = tokenizer()
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -180,6 +188,24 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_segments_average_over_the_whole_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = language_id.train(docs)
+    prose = {r["lang"]: r["t"] for r in docs.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("t")).collect()}
+    text = prose["en"][:6000] + " " + prose["de"][:160000] + prose["de"][:9000]
+    whole = m.scores([text, "x", text])
+    a = language_id._bytes(text)
+    step, parts = language_id.SEGMENT, []
+    for lo in range(0, len(a), step):
+        out = 0
+        for n, (known, w) in enumerate(zip(m.known, m.weights), 1):
+            c = {c for c in language_id._codes(a[lo : lo + step + n - 1])[n - 1][:step].tolist()} & set(known.tolist())
+            out = out + w[np.searchsorted(known, sorted(c))].sum(0) / np.sqrt(max(1, len(c)))
+        parts.append(out * min(step, len(a) - lo))
+    assert np.allclose(whole[0], sum(parts) / len(a), atol=1e-4) and np.allclose(whole[0], whole[2])
+    assert m.languages[int(whole[0].argmax())] == "de"
+
+
 def test_language_edge_rows(spark):
     rows = [(1, None, "en", 0), (2, "12 + 3 ...", "en", 0), (3, "the and of", None, 0), (4, "the and of", "en", 1), (6, "der die und", "de", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")

@@ -3,7 +3,8 @@
 Method. A text is its set of byte n-grams (n = 1, 2, 3, letters lower-cased, other ASCII characters as spaces). The kernel of
 two texts blends, over n, the number of n-grams that both hold, normalised by their set sizes. Nystroem landmarks are training
 texts; one-versus-rest ridge regression is solved in their span. As the kernel is an inner product of presence vectors, the
-landmark products fold into one matrix (n-grams by languages), and a batch is scored by one matrix product.
+landmark products fold into one matrix (n-grams by languages). A text is scored in segments of SEGMENT bytes, many segments in
+one matrix product, and the segments' outputs are averaged by length: a text in two languages goes to the longer one.
 
 Scale. Training takes a bounded, hash-chosen sample per language (PER_LANGUAGE rows; their n-gram sets reach the driver, not
 their texts). Scoring is map only; every whole text is read.
@@ -26,6 +27,7 @@ PER_LANGUAGE = 600
 LANDMARKS = 400
 RIDGE = 1e-3
 ORDERS = (1, 2, 3)
+SEGMENT, ROWS = 600, 256
 
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -35,9 +37,13 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def _codes(text: str) -> list[np.ndarray]:
-    """The n-grams of a text as numbers, by n, with repeats."""
-    a = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace").translate(_PLAIN), np.uint8).astype(np.int32)
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace").translate(_PLAIN), np.uint8)
+
+
+def _codes(text: np.ndarray) -> list[np.ndarray]:
+    """The n-grams of a text's bytes as numbers, by n, with repeats."""
+    a = text.astype(np.int32)
     two = a[:-1] | a[1:] << 8
     return [a, two, two[:-1] | a[2:] << 16]
 
@@ -66,18 +72,36 @@ class Model:
         return self._tables
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        tables = self._lookup()
-        total = np.zeros((len(texts), len(self.languages)), np.float32)
-        for lo in range(0, len(texts), 256):
-            part = texts[lo : lo + 256]
-            present = [np.zeros((len(part), len(k) + 1), np.float32) for k in self.known]
-            for i, text in enumerate(part):
-                for p, t, c in zip(present, tables, _codes(text)):
-                    p[i, t[c]] = 1
+        """(texts, languages): the kernel machine's output on each segment, averaged by length over the whole text."""
+        tables, total = self._lookup(), np.zeros((len(texts), len(self.languages)), np.float64)
+        present = [np.zeros((ROWS, len(k) + 1), np.float32) for k in self.known]
+        owner, weight = np.zeros(ROWS, np.int64), np.zeros(ROWS)
+        used = 0
+
+        def flush() -> None:
+            out = np.zeros((used, len(self.languages)), np.float32)
             for p, w in zip(present, self.weights):
                 p[:, 0] = 0
-                size = np.sqrt(np.maximum(p.sum(1), 1))
-                total[lo : lo + 256] += (p[:, 1:] @ w) / size[:, None]
+                out += (p[:used, 1:] @ w) / np.sqrt(np.maximum(p[:used].sum(1), 1))[:, None]
+                p[:used] = 0
+            np.add.at(total, owner[:used], out * weight[:used, None])
+
+        for i, text in enumerate(texts):
+            a = _bytes(text)
+            for lo in range(0, len(a), ROWS * SEGMENT):
+                codes = _codes(a[lo : lo + ROWS * SEGMENT + 2])
+                n = min(len(a) - lo, ROWS * SEGMENT)
+                rows = -(-n // SEGMENT)
+                if used + rows > ROWS:
+                    flush()
+                    used = 0
+                at = np.arange(n) // SEGMENT + used
+                for p, t, c in zip(present, tables, codes):
+                    p[at[: len(c[:n])], t[c[:n]]] = 1
+                owner[used : used + rows] = i
+                weight[used : used + rows] = np.minimum(SEGMENT, n - SEGMENT * np.arange(rows)) / len(a)
+                used += rows
+        flush()
         return total
 
 
@@ -99,7 +123,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
             _, langs, hs, texts = (c.to_pylist() for c in batch.columns)
             for lang, h, text in zip(langs, hs, texts):
                 if has_letter(text):
-                    sets = [np.unique(c).astype(np.int32).tobytes() for c in _codes(text)]
+                    sets = [np.unique(c).astype(np.int32).tobytes() for c in _codes(_bytes(text))]
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), *(pa.array([s], pa.binary()) for s in sets)], ["lang", "h", "a", "b", "c"])
 
     got = sorted(sample.mapInArrow(run, "lang string, h long, a binary, b binary, c binary").collect())  # bounded by per_language
