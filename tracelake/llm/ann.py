@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-DEGREE, BEAM, WIDE, ALPHA, SHARD_ROWS, BATCH = 28, 64, 4, 1.2, 8192, 256
+DEGREE, BEAM, WIDE, ALPHA, BATCH = 28, 64, 4, 1.2, 256
+SHARD_ROWS = (4096, 131072)
 
 
 class Graph:
@@ -142,36 +143,54 @@ def usable(df: DataFrame) -> DataFrame:
     return x.groupBy("vec_id").agg(F.min("e").alias("e"))
 
 
-def _shard_answers(shards: DataFrame, queries: DataFrame, top_norm: float, k: int, beam: int) -> DataFrame:
-    """For each shard and query: the k best nodes found, with exact scores and their ids."""
-
-    def run(key, nodes, asked):
-        dims, out = key[1].as_py(), [[], [], []]
-        e = np.array(nodes.column("e").combine_chunks().flatten(), np.float64).reshape(-1, dims)
-        ids = nodes.column("ids").to_pylist()
-        if len(e) and asked.num_rows:
-            last = np.sqrt(np.maximum(top_norm**2 - (e**2).sum(1), 0))
-            graph = Graph(np.concatenate((e, last[:, None]), 1) / top_norm)
-            names = asked.column("query").to_pylist()
-            q = np.array(asked.column("e").combine_chunks().flatten(), np.float64).reshape(-1, dims)
-            size = np.sqrt((q**2).sum(1))[:, None]
-            for lo in range(0, len(q), BATCH):
-                found, _ = graph.search(np.concatenate((q[lo : lo + BATCH] / size[lo : lo + BATCH], np.zeros((len(q[lo : lo + BATCH]), 1))), 1), beam)
-                for i, row in enumerate(found):
-                    row = row[row >= 0]
-                    s = e[row] @ q[lo + i]
-                    best = sorted(range(len(row)), key=lambda j: (-s[j], ids[row[j]][0]))[:k]
-                    out[0] += [names[lo + i]] * len(best)
-                    out[1] += [float(s[j]) for j in best]
-                    out[2] += [ids[row[j]] for j in best]
-        return pa.table({"query": pa.array(out[0], pa.int64()), "score": pa.array(out[1], pa.float64()), "ids": pa.array(out[2], pa.list_(pa.int64()))})
-
-    a, b = shards.groupBy("shard", "dims"), queries.groupBy("shard", "dims")
-    return a.cogroup(b).applyInArrow(run, "query long, score double, ids array<long>")
-
-
-def nearest(df: DataFrame, every: int = 20, k: int = 20, beam: int = 96, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by every."""
+def _shard_answers(nodes: DataFrame, queries: DataFrame, shards: int, top_norm: float, k: int, beam: int) -> DataFrame:
+    """For each shard and query: the k best nodes found, with exact scores and their ids. One task holds one shard's nodes, then
+    the queries stream past them."""
+    own = nodes.select(F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int").alias("shard"), "dims", F.lit(-1).cast("long").alias("query"), "e", "ids")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dims", "query", "e", F.lit(None).cast("array<long>").alias("ids"))
+    met = own.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("query") >= 0, "dims")
+
+    def run(batches):
+        held: dict[int, list] = {}  # by dimension: vectors and ids, then vectors, ids and graph
+        for batch in batches:
+            dims, query = np.array(batch.column(1)), np.array(batch.column(2))
+            for d in np.unique(dims).tolist():
+                for new in (True, False):
+                    at = np.flatnonzero((dims == d) & ((query < 0) == new))
+                    if not len(at):
+                        continue
+                    e = np.array(batch.column(3).take(pa.array(at)).flatten(), np.float64).reshape(-1, d)
+                    if new:
+                        mine = held.setdefault(d, [[], [], None])
+                        mine[0].append(e)
+                        mine[1] += batch.column(4).take(pa.array(at)).to_pylist()
+                    elif d in held:
+                        yield from answer(held[d], query[at], e)
+
+    def answer(mine: list, names: np.ndarray, q: np.ndarray):
+        if mine[2] is None:
+            mine[0] = np.concatenate(mine[0])
+            last = np.sqrt(np.maximum(top_norm**2 - (mine[0] ** 2).sum(1), 0))
+            mine[2] = Graph(np.concatenate((mine[0], last[:, None]), 1) / top_norm)
+        e, ids, graph = mine
+        size = np.sqrt((q**2).sum(1))[:, None]
+        for lo in range(0, len(q), BATCH):
+            part, out = q[lo : lo + BATCH], ([], [], [])
+            found, _ = graph.search(np.concatenate((part / size[lo : lo + BATCH], np.zeros((len(part), 1))), 1), beam)
+            for i, row in enumerate(found):
+                row = row[row >= 0]
+                s = e[row] @ part[i]
+                best = sorted(range(len(row)), key=lambda j: (-s[j], ids[row[j]][0]))[:k]
+                for c, v in zip(out, ([int(names[lo + i])] * len(best), [float(s[j]) for j in best], [ids[row[j]] for j in best])):
+                    c += v
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], ["query", "score", "ids"])
+
+    return met.mapInArrow(run, "query long, score double, ids array<long>")
+
+
+def nearest(df: DataFrame, every: int = 20, k: int = 20, beam: int = 96, shard_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by every. Shards hold a 48th of the
+    vectors, within the bounds SHARD_ROWS, if no size is given."""
     vectors = usable(df)
     few = Window.partitionBy("e").orderBy("vec_id")
     heads = vectors.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= k + 1)
@@ -179,10 +198,8 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, beam: int = 96, shard_r
     asked = vectors.filter(F.col("vec_id") % every == 0)
     names = written(asked.groupBy("e").agg(F.min("vec_id").alias("query")).withColumn("dims", F.size("e")), "queries")
     n, top = nodes.agg(F.count("*"), F.max(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))).first()
-    count = max(1, -(-n // shard_rows))
-    shards = nodes.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(count)).cast("int"))
-    spread = names.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    answers = _shard_answers(shards, spread, float(top or 1.0) ** 0.5, k + 1, beam)
+    count = max(1, -(-n // (shard_rows or min(max(n // 48, SHARD_ROWS[0]), SHARD_ROWS[1]))))
+    answers = _shard_answers(nodes, names, count, float(top or 1.0) ** 0.5, k + 1, beam)
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
     answers = answers.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     each = answers.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "ids")).alias("found"))
