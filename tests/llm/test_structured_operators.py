@@ -133,6 +133,14 @@ def test_pages(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_marked_parts_of_an_article():
+    page = (
+        '<body><header><h1>Site</h1></header><div id="sidebarLeft">side side side</div><main class="post"><header><h1>Head</h1></header><p class="cookie-notice">cookies?<p>One <span class="ad">buy</span>two</p>'
+        '<ul class="commentlist"><li>nice<li>bad</ul><p>Three<div style="display: none">hidden</div><table><tr><td>a<td>b</table><textarea>t</textarea><p>Four &#233; &nbsp; x</main><section id="comments">c c c</section></body>'
+    )
+    assert html_text.extract(page) == "Head One two Three a b Four é x"
+
+
 def test_pages_of_the_corpus(spark):
     """The corpus's pages keep their prose in one article element."""
     import html as entities

@@ -36,6 +36,9 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side widget related recommended recommendations share sharing social footer header masthead topbar toolbar pagination pager tags toc form search".split()
 )
 
+#: Beginnings of such words.
+_MARKED = re.compile("advert|sponsor|comment|disqus|respond|cookie|consent|notice|newsletter|subscri|navig|menu|breadcrumb|sidebar|widget|recommend|related|sharing|social|footer|masthead|toolbar|topbar|paginat|promo|banner|popup|modal|overlay")
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<([a-zA-Z/])", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -43,16 +46,26 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped")
+    __slots__ = ("tag", "path", "parent", "dropped", "marked_block")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool):
-        self.tag, self.path, self.parent, self.dropped = tag, path, parent, dropped
+    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, marked_block: bool = False):
+        self.tag, self.path, self.parent, self.dropped, self.marked_block = tag, path, parent, dropped, marked_block
 
 
 def _words(value: str) -> set[str]:
     return set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
 
 
+def _marks(attrs: str) -> tuple[bool, bool, str]:
+    """Is an element marked as boilerplate, is it hidden, and its class attribute."""
+    found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)}
+    if not found:
+        return False, False, ""
+    words = _words(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}")
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    return bool(words & MARKS) or any(map(_MARKED.match, words)), hidden, found.get("class", "")
+
+
 def parse(page: str):
     """(node, kind, text) events in page order: kind 0 is text, 1 a block boundary, 2 text inside a link. Nodes are containers."""
     root = Node("", "", None, False)
@@ -86,7 +99,13 @@ def parse(page: str):
             yield at, 1, ""
             if tag not in VOID:
                 links = 0
+        if at.marked_block and (tag in BLOCKS if not closing else tag == at.tag):  # a marked paragraph or span ends here
+            at = at.parent
+            if closing:
+                continue
         if tag not in CONTAINERS:
+            if not closing and attrs and tag not in VOID and _marks(attrs)[0]:
+                at = Node(tag, at.path, at, True, True)
             continue
         if closing:
             up = at
@@ -102,14 +121,11 @@ def parse(page: str):
                     up = up.parent
                 if up is not root and up.tag in same:
                     at = up.parent
-            found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
-            words = _words(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}") if found else set()
-            hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            inside = at.dropped
+            marked, hidden, classes = _marks(attrs) if attrs else (False, False, "")
             header = tag == "header" and not any(p.tag in ("article", "main") for p in _chain(at))
-            marked = bool(words & MARKS) and tag not in ("html", "body", "main", "article")
-            name = tag + "".join("." + w for w in sorted(_words(found.get("class", ""))))
-            at = Node(tag, f"{at.path}/{name}", at, inside or hidden or marked or header or tag in DROPPED)
+            marked = marked and tag not in ("html", "body", "main", "article")
+            name = tag + "".join("." + w for w in sorted(_words(classes)))
+            at = Node(tag, f"{at.path}/{name}", at, at.dropped or hidden or marked or header or tag in DROPPED)
 
 
 def _chain(node: Node | None):
