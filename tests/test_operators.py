@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake import providers, schemas
 from tracelake.functions import metrics, stats, text
-from tracelake.operators import agent, agreement, corpus, graph, retrieval, router_model, routing, runs, significance, vectors
+from tracelake.operators import agent, agreement, benchmarks, corpus, graph, judging, reports, retrieval, router_model, routing, runs, significance, vectors
 from tracelake.scratch import average_ranks, following
 from tracelake.sources import files
 from tracelake.streaming.append import append_stream
@@ -337,3 +337,32 @@ def test_stream_appends_once(spark, tmp_path):
     spark.createDataFrame([(2, "x"), (3, "c")], "k int, v string").write.mode("append").parquet(src)
     append_stream(spark.readStream.schema(df.schema).parquet(src), str(tmp_path / "log"), str(tmp_path / "c2"), ["k"]).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_judging(spark):
+    r = spark.createDataFrame([("q", "p", 0, 5, "see ADS-1", ["ADS-1"]), ("q", "r", 0, 5, "see ADS-2", ["ADS-1"]), ("q", "s", 0, -1, "ERROR: x", [])], "query string, pipeline string, repeat int, latency_ms int, answer string, source_ids array<string>")
+    judge = lambda q, ids, a: providers.CitedInContext().faithful(a, ids)
+    j = judging.judged(r, {"one": judge, "two": lambda q, ids, a: F.lit(True)}, "2026-01-02")
+    assert j.count() == 4 and judging.judged(r, {"one": judge}, "2026-01-02", done=j).count() == 0 and judging.judged(r, {"one": judge}, "2026-01-03", done=j).count() == 2
+    w = {x["pipeline"]: (x["one"], x["two"]) for x in judging.wide(j, ["one", "two"]).collect()}
+    assert w == {"p": (True, True), "r": (False, True)}
+    f = judging.flips(j.filter("judge = 'one'"), j.filter("judge = 'two'"), judging.KEY, ["query"]).first()
+    assert (f["n"], f["to_true"], f["flip_rate"]) == (2, 1, 0.5)
+    judging.assert_complete(j, r, judging.KEY)
+    with pytest.raises(ValueError):
+        judging.assert_complete(r, r.limit(1), judging.KEY)
+
+
+def test_reports(spark):
+    c = spark.createDataFrame([("a", "s", 0.5, 0.4, 0.6, True), ("b", "s", 0.7, None, None, None), ("a", "t", None, None, None, None)], "p string, s string, mean double, ci_lo double, ci_hi double, sig boolean")
+    t = reports.table(reports.marked_cells(c, "s", "p", significant="sig"), "p", "s", ["s", "t"])
+    assert [tuple(r) for r in t.collect()] == [("a", "0.500 (0.40-0.60)+", "---"), ("b", "**0.700**", "---")]
+    assert reports.markdown(t).splitlines()[2] == "| a | 0.500 (0.40-0.60)+ | --- |" and reports.latex(t).endswith("--- \\\\\n")
+    o = spark.createDataFrame([(0.56, 0.44, 0.64)], "routed double, base double, oracle double")
+    a = reports.acceptance(o, spark.createDataFrame([(0.01,), (0.2,), (None,)], "holm_p double")).first()
+    assert (a["check_gain"], a["check_strata"], a["check_gap"], a["accepted"]) == (True, False, True, False)
+
+
+def test_benchmark_helpers(spark):
+    r = one(spark, a=benchmarks.hop_class(F.lit("3hop1__12_34")), b=benchmarks.hop_class(F.lit("x__1")), c=benchmarks.chain_text(arr("A", "B", "C"), arr("REFINES", "TESTS")), d=benchmarks.mapped(F.lit("inference"), benchmarks.REASONING))
+    assert (r["a"], r["b"], r["d"]) == ("3hop", None, "2-hop") and r["c"] == "  Hop 0  [A]\n   --[REFINES]--> Hop 1  [B]\n   --[TESTS]--> Hop 2  [C]"

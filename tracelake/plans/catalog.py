@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, stats, text
-from ..operators import agent, agreement, corpus, graph, retrieval, router_model, routing, runs, significance, vectors
+from ..operators import agent, agreement, benchmarks, corpus, graph, judging, reports, retrieval, router_model, routing, runs, significance, vectors
 from ..providers import CitedInContext, QuoteFirst
 from ..scratch import shared_dir, table
 from ..schemas import STRATA
@@ -655,3 +655,93 @@ def streamed_run_keys(spark: SparkSession, sf: str) -> DataFrame:
         append_stream(s, f"{base}/log", f"{base}/checkpoint{i}", ["user_id", "event_type"]).awaitTermination()
     return spark.read.parquet(f"{base}/log")
 
+
+
+# --- benchmark corpora, judgments, reports ----------------------------------------------------------------------------
+
+
+def _multi_hop(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as multi-hop questions: turns are paragraphs, the assistant's are supporting, the number of turns gives the class."""
+    t = table(spark, sf, "conversations")
+    each = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), "text", (F.col("role") == "assistant").alias("is_supporting")))).alias("paragraphs"))
+    kind = F.concat(F.least(F.lit(4), F.greatest(F.lit(2), F.size("paragraphs"))).cast("string"), F.lit("hop__"), F.col("conv_id").cast("string"))
+    x = each.select("conv_id", kind.alias("question_id"), F.format_string("question %d", "conv_id").alias("query"), "paragraphs")
+    return x.withColumn("stratum", benchmarks.mapped(benchmarks.hop_class(F.col("question_id")), benchmarks.HOP_CLASS))
+
+
+_SIZES = {"1-hop": 5, "2-hop": 6, "3+-hop": 7}
+SQL_MULTI = """n AS (SELECT conv_id, least(4, greatest(2, count(*))) AS c FROM conversations GROUP BY 1),
+st AS (SELECT conv_id, c || 'hop__' || conv_id AS question_id, CASE c WHEN 2 THEN '1-hop' WHEN 3 THEN '2-hop' ELSE '3+-hop' END AS stratum FROM n),
+o AS (SELECT *, md5('11|' || conv_id) AS h FROM st), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, conv_id) AS k FROM o),
+sampled AS (SELECT *, row_number() OVER (ORDER BY h, CAST(conv_id AS VARCHAR)) - 1 AS q_idx FROM k WHERE k <= CASE stratum WHEN '1-hop' THEN 5 WHEN '2-hop' THEN 6 ELSE 7 END),
+para AS (SELECT q_idx, question_id, conv_id, stratum, row_number() OVER (PARTITION BY q_idx ORDER BY turn) - 1 AS p_idx, role, text, role = 'assistant' AS sup FROM sampled JOIN conversations USING (conv_id)),
+named AS (SELECT *, printf('CV-%03d-P%02d', q_idx, p_idx) AS id FROM para)"""
+
+
+@query(f"WITH {SQL_MULTI} SELECT id, role || ': ' || text AS text, role AS title, sup AS is_supporting, question_id, q_idx, CAST(p_idx AS INTEGER) AS p_idx FROM named")
+def benchmark_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    q = benchmarks.sampled_questions(_multi_hop(spark, sf), "stratum", _SIZES, "conv_id", 11)
+    return benchmarks.paragraphs(q, "CV", "question_id")
+
+
+@query(f"WITH {SQL_MULTI}, s AS (SELECT id AS source, lead(id) OVER (PARTITION BY q_idx ORDER BY p_idx) AS target FROM named WHERE sup) SELECT source, target, 'REFERENCES' AS rel_type FROM s WHERE target IS NOT NULL")
+def benchmark_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmarks.support_edges(benchmark_paragraphs(spark, sf))
+
+
+@query(f"""WITH {SQL_MULTI}, g AS (SELECT q_idx, string_agg(id, ';' ORDER BY p_idx) AS ids, min(id) AS a, max(id) AS b FROM named WHERE sup GROUP BY 1)
+SELECT q_idx, 'question ' || conv_id AS query, stratum AS type, CAST(CASE stratum WHEN '1-hop' THEN 1 WHEN '2-hop' THEN 2 ELSE 3 END AS INTEGER) AS hop_count, coalesce(ids, '') AS expected_ids, coalesce(a, '') AS source_id, coalesce(b, '') AS target_id
+FROM sampled LEFT JOIN g USING (q_idx)""")
+def benchmark_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    q = benchmarks.sampled_questions(_multi_hop(spark, sf), "stratum", _SIZES, "conv_id", 11)
+    m = benchmarks.manifest(q, benchmarks.paragraphs(q, "CV", "question_id"), "stratum", "CV")
+    return m.select("q_idx", "query", "type", "hop_count", F.array_join("expected_ids", ";").alias("expected_ids"), "source_id", "target_id")
+
+
+def _two_judgments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    r = R.ratings(spark, sf)
+    return r.select("doc_id", "source", F.col("a").alias("faithful")), r.select("doc_id", (~F.col("b")).alias("faithful"))
+
+
+@query(f"""WITH {R.SQL_RATINGS} SELECT source, count(*) AS n, count(*) FILTER (WHERE a AND b) AS to_false, count(*) FILTER (WHERE NOT a AND NOT b) AS to_true,
+round((count(*) FILTER (WHERE a AND b) + count(*) FILTER (WHERE NOT a AND NOT b)) / count(*), 6) AS flip_rate FROM ratings GROUP BY source""")
+def judge_flips(spark: SparkSession, sf: str) -> DataFrame:
+    """A second judgment (not toxic) against the first (quality): how often verdicts flip, and which way."""
+    return judging.flips(*_two_judgments(spark, sf), ["doc_id"], ["source"]).withColumn("flip_rate", r6("flip_rate"))
+
+
+@query(f"""WITH {R.SQL_RUNS} SELECT pipeline AS judge, count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS tokens_in, CAST(sum(n_cited) AS BIGINT) AS tokens_out,
+round(CASE pipeline WHEN 'click' THEN (sum(total_tokens) * 2.5 + sum(n_cited) * 10) / 1e6 WHEN 'view' THEN (sum(total_tokens) * 0.5 + sum(n_cited) * 3) / 1e6 END, 6) AS dollars FROM runs GROUP BY pipeline""")
+def judge_cost(spark: SparkSession, sf: str) -> DataFrame:
+    calls = R.run_log(spark, sf).select(F.col("pipeline").alias("judge"), F.col("total_tokens").alias("tokens_in"), F.size("cited_ids").alias("tokens_out"))
+    return judging.cost(calls, {"click": (2.5, 10.0), "view": (0.5, 3.0)}).withColumn("dollars", r6("dollars"))
+
+
+@query(f"""WITH {R.SQL_HITS}, {R.SQL_CHUNKS}, h AS (SELECT query_id, rank, id, module, heading FROM ranked JOIN chunks USING (id) WHERE rank <= 10)
+SELECT q.query_id, coalesce('Found ' || count(h.id) FILTER (WHERE h.id IS NOT NULL) || ' requirements:' || chr(10) || string_agg('- [' || h.id || '] (' || module || ' :: ' || substring(heading, 1, 60) || ')', chr(10) ORDER BY h.rank), 'No matching requirements found.') AS summary
+FROM (SELECT DISTINCT query_id FROM q) q LEFT JOIN h USING (query_id) GROUP BY q.query_id""")
+def search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    hits = top_k(spark, sf).join(R.chunks(spark, sf).select("id", "module", "heading"), "id")
+    return reports.search_summary(hits, R.questions(spark, sf))
+
+
+@query(f"""WITH {R.SQL_MEANS}, c AS (SELECT pipeline, stratum, avg(score) AS m FROM means GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY m DESC, pipeline) = 1 AS best FROM c),
+t AS (SELECT pipeline, stratum, CASE WHEN best THEN '**' ELSE '' END || printf('%.3f', m) || CASE WHEN best THEN '**' ELSE '' END AS t FROM k)
+SELECT pipeline, coalesce(max(t) FILTER (WHERE stratum = '1-hop'), '---') AS h1, coalesce(max(t) FILTER (WHERE stratum = '2-hop'), '---') AS h2, coalesce(max(t) FILTER (WHERE stratum = '3+-hop'), '---') AS h3 FROM t GROUP BY pipeline""")
+def report_table(spark: SparkSession, sf: str) -> DataFrame:
+    c = _cells(spark, sf).withColumn("lo", F.lit(None).cast("double"))
+    t = reports.table(reports.marked_cells(c, "stratum", "pipeline", "mean_score", "lo", "lo"), "pipeline", "stratum", list(STRATA))
+    return t.toDF("pipeline", "h1", "h2", "h3")
+
+
+@query()
+def significance_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Paired tests of all pipelines in each stratum: Wilcoxon's p, Holm over the family, Cliff's delta, interval of the mean
+    difference, and the joint verdict."""
+    by = ["stratum", "pipeline_i", "pipeline_j"]
+    pairs = _pairs(spark, sf)
+    w = significance.wilcoxon(pairs, ["stratum"]).withColumn("wilcoxon_p", stats.two_sided_p("z"))
+    d = significance.cliffs_delta(pairs, ["stratum"]).select(*by, F.col("delta").alias("cliffs_delta"), F.col("magnitude").alias("cliffs_magnitude"))
+    ci = significance.bca_mean(pairs.withColumn("d", F.col("x") - F.col("y")), by, "d", ["query_id"]).select(*by, F.col("mean").alias("mean_delta"), "ci_lo", "ci_hi", ((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)).alias("ci_excludes_zero"))
+    x = significance.holm(w.select(*by, "n_paired", "wilcoxon_p"), "wilcoxon_p").join(d, by).join(ci, by, "left")
+    return significance.joint_significance(x)
