@@ -35,7 +35,7 @@ TESTS = [
     (0.17060593704847204, 1.0, -0.0431, "negligible", False, False), (4.03008419035985e-06, 8.0601683807197e-05, -0.3089, "small", True, True),
     (0.036646888255682575, 0.4031157708125083, -0.1278, "negligible", True, False), (2.1214689567312465e-05, 0.00038186441221162436, -0.2663, "small", True, True),
     (0.18522502925004725, 1.0, -0.0829, "negligible", True, False), (4.5357477694395914e-05, 0.0007710771208047306, 0.1926, "small", True, True),
-    (3.485735747978668e-12, 9.76005981434027e-11, 0.5241301907968574, "large", True, True), (1.2579023255900373e-12, 3.7737069767701116e-11, 0.5454545454545454, "large", True, True),
+    (3.485735647978668e-12, 9.76005981434027e-11, 0.5241301907968574, "large", True, True), (1.2579023255900373e-12, 3.7737069767701116e-11, 0.5454545454545454, "large", True, True),
     (0.6465446078820333, 1.0, -0.024997449239873484, "negligible", False, False), (8.75409603424417e-09, 2.2760649689034842e-07, 0.37914498520559126, "medium", True, True),
     (0.8992515086102616, 1.0, -0.003264972961942659, "negligible", False, False), (2.710690032696339e-11, 7.318863088280116e-10, -0.556065707580859, "large", True, True),
     (0.0036870797368762187, 0.04424495684251462, -0.15100499948984797, "small", True, True), (2.4152545269503768e-12, 7.004238128156093e-11, -0.5706560555045403, "large", True, True),
