@@ -47,6 +47,17 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """The low six bytes of each token. With the number of its hash range, they name a shingle from here on."""
+    return np.ascontiguousarray(tokens, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _need(n: np.ndarray, pct: int) -> np.ndarray:
     """The least overlap with any set that a set of n tokens needs: ceil(pct n / 100)."""
     return -(-np.asarray(n, np.int64) * pct // 100)
@@ -113,10 +124,10 @@ def _emit(docs: DataFrame, k: int, parts: int) -> DataFrame:
                     o = np.argsort(y, kind="stable")
                     x, y = x[o], y[o]
                     s = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
-                    for c, v in zip(rows, (int(p), unit, kind, y[s].tobytes(), np.diff(np.append(s, len(y))).astype(np.uint32).tobytes(), x.tobytes())):
+                    for c, v in zip(rows, (int(p), unit, kind, y[s].tobytes(), np.diff(np.append(s, len(y))).astype(np.uint32).tobytes(), _pack(x))):
                         c.append(v)
                     if kind == 2:
-                        for c, v in zip(rows, (int(p), unit, 3, b"", b"", np.unique(x).tobytes())):
+                        for c, v in zip(rows, (int(p), unit, 3, b"", b"", _pack(np.unique(x)))):
                             c.append(v)
             yield _batch(kinds, rows)
 
@@ -137,22 +148,22 @@ def _emit(docs: DataFrame, k: int, parts: int) -> DataFrame:
 
 def _shared(blobs: DataFrame) -> DataFrame:
     """For each hash range, hand on to each unit those of its tokens that occur again, with how often (capped to 16 bits)."""
-    kinds = [("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("often", pa.binary())]
+    kinds = [("part", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("often", pa.binary())]
 
     def run(batches):
         mine, hot = [], []
         for batch in batches:
-            for _, unit, kind, docs, counts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, unit, kind, docs, counts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
-                    mine.append((unit, docs, counts, np.frombuffer(tokens, np.uint64)))
+                    mine.append((unit, docs, counts, tokens))
                 elif kind == 3:
-                    hot.append(np.frombuffer(tokens, np.uint64))
+                    hot.append(_unpack(tokens))
                 else:
-                    yield _batch(kinds, [[unit], [kind], [docs], [counts], [tokens], [np.full(len(tokens) // 8, 65535, np.uint16).tobytes()]])
+                    yield _batch(kinds, [[part], [unit], [kind], [docs], [counts], [tokens], [np.full(len(tokens) // 6, 65535, np.uint16).tobytes()]])
         if not mine:
             return
         hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-        every = np.sort(np.concatenate([m[3] for m in mine]))
+        every = np.sort(np.concatenate([_unpack(m[3]) for m in mine]))
         starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         n = np.diff(np.append(starts, len(every)))
         again = n > 1
@@ -164,15 +175,16 @@ def _shared(blobs: DataFrame) -> DataFrame:
         del every, starts
         if not len(values):
             return
-        for unit, docs, counts, tokens in mine:
+        for unit, docs, counts, blob in mine:
+            tokens = _unpack(blob)
             at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
             found = values[at] == tokens
             if found.any():
                 owner = np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(counts, np.uint32))[found]
                 s = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                yield _batch(kinds, [[unit], [0], [owner[s].tobytes()], [np.diff(np.append(s, len(owner))).astype(np.uint32).tobytes()], [tokens[found].tobytes()], [n[at[found]].astype(np.uint16).tobytes()]])
+                yield _batch(kinds, [[part], [unit], [0], [owner[s].tobytes()], [np.diff(np.append(s, len(owner))).astype(np.uint32).tobytes()], [_pack(tokens[found])], [n[at[found]].astype(np.uint16).tobytes()]])
 
-    return blobs.mapInArrow(run, "unit long, kind int, docs binary, counts binary, tokens binary, often binary")
+    return blobs.mapInArrow(run, "part int, unit long, kind int, docs binary, counts binary, tokens binary, often binary")
 
 
 def _candidates(shared: DataFrame, pct: int) -> DataFrame:
@@ -183,12 +195,12 @@ def _candidates(shared: DataFrame, pct: int) -> DataFrame:
         about: dict[int, np.ndarray] = {}
         got: dict[int, list] = {}
         for batch in batches:
-            for unit, kind, docs, counts, tokens, often in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, unit, kind, docs, counts, tokens, often in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 1:
                     about[unit] = np.frombuffer(docs, np.int64).reshape(-1, 4)
                 else:
                     owner = np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(counts, np.uint32))
-                    got.setdefault(unit, []).append((owner, np.frombuffer(tokens, np.uint64), np.frombuffer(often, np.uint16)))
+                    got.setdefault(unit, []).append((owner, _unpack(tokens) | np.uint64(part << 48), np.frombuffer(often, np.uint16)))
         for unit, parts in got.items():
             table = about[unit]
             owner, tokens, often = (np.concatenate([p[i] for p in parts]) for i in range(3))
