@@ -397,5 +397,6 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5) -> DataFrame:
     sizes = written(sizes, "sizes")
     same = sizes.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
     same = same.join(found, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("comp", "least").alias("component"))
+    same = written(same, "same")  # a table of its own: the join can then split the rows of a digest that very many share
     out = sizes.join(same, ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
