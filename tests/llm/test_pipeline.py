@@ -3,8 +3,10 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline
-from tracelake.llm import language_id, mixing, pii
+from tracelake.llm import common, language_id, mixing, pii
 
 from .test_jaccard_join import brute
 from .test_structured_operators import edf
@@ -51,6 +53,16 @@ def test_pipeline_equals_plain_stages(spark):
     assert sum(r["length"] for r in got) == sum(len(ids(r["text"])) for r in kept)
 
 
+@pytest.mark.parametrize("bits", [4, 24])
+def test_rows_without_keys(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    rows = spark.createDataFrame([(i % 50 if i < 190 else None, str(i)) for i in range(200)], "k long, _bits string")
+    drop = spark.createDataFrame([(i,) for i in range(0, 80, 7)], "k long")
+    got = sorted(int(r["_bits"]) for r in common.without(rows.withColumnRenamed("_bits", "t"), drop, "k").withColumnRenamed("t", "_bits").collect())
+    assert got == [i for i in range(200) if i >= 190 or (i % 50) % 7]
+    assert common.without(rows.withColumnRenamed("_bits", "t"), drop.limit(0), "k").count() == 200
+
+
 def test_stages_keep_the_columns_and_odd_rows(spark):
     docs = [(1, None, "en", "s", 0), (2, "12 34", None, None, 5), (3, "the and of the and", "en", "s", 9), (3, "the and of the and", "en", "s", 9), (4, "der die das und mail a@b.co", None, None, 9)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")

@@ -11,7 +11,25 @@ from pyspark.sql import functions as F
 
 from ..scratch import bucket_of, parts_for, plan_bytes, quantile_bounds, shared_dir, table, written
 
-__all__ = ["bucket_of", "chunks", "components", "encoder", "parts_for", "plan_bytes", "quantile_bounds", "shared_dir", "shingle_sets", "table", "text_bytes", "tokenizer_path", "word_hashes", "written"]
+__all__ = ["bucket_of", "chunks", "components", "encoder", "parts_for", "plan_bytes", "quantile_bounds", "shared_dir", "shingle_sets", "table", "text_bytes", "tokenizer_path", "without", "word_hashes", "written"]
+
+
+#: A bit map of dropped keys holds this many bits: 2 MB at most, whatever the input.
+MAP_BITS = 24
+
+
+def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't in drop (column key), exactly. A bit map of fixed size over the dropped keys lets most other rows go by
+    without a shuffle; only rows whose bit is set meet the keys in a join."""
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << MAP_BITS)) + 1  # Spark's bit maps begin at 1
+    slots = drop.select(slot.alias("slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_bucket"), "left")
+    marked = marked.withColumn("_hit", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    clear, hit = (marked.filter(c).select(*rows.columns) for c in (~F.col("_hit"), F.col("_hit")))
+    return clear.union(hit.join(drop.select(key), key, "left_anti").select(*rows.columns))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
