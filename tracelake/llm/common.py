@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
 import numpy as np
@@ -11,7 +13,22 @@ from pyspark.sql import functions as F
 
 from ..scratch import bucket_of, parts_for, plan_bytes, quantile_bounds, shared_dir, table, written
 
-__all__ = ["bucket_of", "chunks", "components", "encoder", "parts_for", "plan_bytes", "quantile_bounds", "shared_dir", "shingle_sets", "table", "text_bytes", "tokenizer_path", "without", "word_hashes", "written"]
+__all__ = ["bucket_of", "chunks", "components", "encoder", "parts_for", "plan_bytes", "quantile_bounds", "shared_dir", "shingle_sets", "table", "text_bytes", "tidy", "tokenizer_path", "without", "word_hashes", "written"]
+
+
+def tidy(run):
+    """A batch function that hands freed memory back to the system when its task ends: workers live on between stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return wrapped
 
 
 #: A bit map of dropped keys holds this many bits: 2 MB at most, whatever the input.

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, parts_for, shingle_sets, text_bytes, written
+from .common import chunks, components, parts_for, shingle_sets, text_bytes, tidy, written
 
 UNIT_TOKENS = 1_000_000
 HOT_IN_UNIT = 256
@@ -83,7 +83,7 @@ def set_sizes(docs: DataFrame, k: int = 5) -> DataFrame:
                 d = [_digest(s) for s in sets]
                 yield _batch(kinds, [ids, [x[0] for x in d], [x[1] for x in d], [len(s) for s in sets]])
 
-    return docs.mapInArrow(run, _SETS)
+    return docs.mapInArrow(tidy(run), _SETS)
 
 
 def _emit(docs: DataFrame, k: int, parts: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _emit(docs: DataFrame, k: int, parts: int) -> DataFrame:
                     ids.clear(), sets.clear()
         yield from flush()
 
-    return docs.mapInArrow(run, _BLOB)
+    return docs.mapInArrow(tidy(run), _BLOB)
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
                 s = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
                 yield _batch(kinds, [[part], [unit], [0], [owner[s].tobytes()], [np.diff(np.append(s, len(owner))).astype(np.uint32).tobytes()], [_pack(tokens[found])], [n[at[found]].astype(np.uint16).tobytes()]])
 
-    return blobs.mapInArrow(run, "part int, unit long, kind int, docs binary, counts binary, tokens binary, often binary")
+    return blobs.mapInArrow(tidy(run), "part int, unit long, kind int, docs binary, counts binary, tokens binary, often binary")
 
 
 def _candidates(shared: DataFrame, pct: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _candidates(shared: DataFrame, pct: int) -> DataFrame:
                     c.append(v)
             yield _batch(kinds, rows)
 
-    return shared.mapInArrow(run, "sid long, d1 long, d2 long, n long, alone long, prefix binary, tokens binary")
+    return shared.mapInArrow(tidy(run), "sid long, d1 long, d2 long, n long, alone long, prefix binary, tokens binary")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _entries(sets: DataFrame) -> DataFrame:
                 t = np.frombuffer(prefix, np.int64)
                 yield _batch(kinds, [t, np.full(len(t), sid), np.full(len(t), n), np.arange(len(t)) + alone])
 
-    return sets.select("sid", "n", "alone", "prefix").mapInArrow(run, "token long, sid long, n long, pos long")
+    return sets.select("sid", "n", "alone", "prefix").mapInArrow(tidy(run), "token long, sid long, n long, pos long")
 
 
 def _lists(batches, width: int):
@@ -290,7 +290,7 @@ def _first_pairs(entries: DataFrame, pct: int) -> DataFrame:
                 pairs.clear()
         yield _pairs_out(pairs)
 
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    return entries.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _next_pairs(entries: DataFrame, pct: int, last: bool) -> DataFrame:
@@ -328,7 +328,7 @@ def _next_pairs(entries: DataFrame, pct: int, last: bool) -> DataFrame:
                 pairs.clear()
         yield _pairs_out(pairs)
 
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    return entries.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -349,7 +349,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             linked = [100 * c >= pct * (p + q - c) for c, p, q in zip(common, na, nb)]
             yield _batch(kinds, [a, b, common, linked])
 
-    return both.mapInArrow(run, "a long, b long, common long, linked boolean")
+    return both.mapInArrow(tidy(run), "a long, b long, common long, linked boolean")
 
 
 def link_components(docs: DataFrame, pct: int = 80, k: int = 5) -> tuple[DataFrame, DataFrame]:

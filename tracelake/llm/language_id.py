@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 PER_LANGUAGE = 600
 LANDMARKS = 400
 RIDGE = 1e-3
@@ -126,7 +128,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
                     sets = [np.unique(c).astype(np.int32).tobytes() for c in _codes(_bytes(text))]
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), *(pa.array([s], pa.binary()) for s in sets)], ["lang", "h", "a", "b", "c"])
 
-    got = sorted(sample.mapInArrow(run, "lang string, h long, a binary, b binary, c binary").collect())  # bounded by per_language
+    got = sorted(sample.mapInArrow(tidy(run), "lang string, h long, a binary, b binary, c binary").collect())  # bounded by per_language
     if not got:
         return None
     languages = sorted({r["lang"] for r in got})
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return picked.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")
 
 
 def predict_languages(docs: DataFrame, **how) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, encoder, parts_for, quantile_bounds, tokenizer_path, written
+from .common import bucket_of, encoder, parts_for, quantile_bounds, tidy, tokenizer_path, written
 
 DIMS, BITS = 4, 10
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,7 +80,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 key = (hilbert_index(grid, BITS) << 22) | tail
                 yield pa.RecordBatch.from_arrays([pa.array(docs_[lo : lo + 256], pa.int64()), pa.array(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([_small(x) for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, ids binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, n long, ids binary")
 
 
 def _small(ids: np.ndarray) -> bytes:
@@ -119,4 +119,4 @@ def pack_along_curve(docs: DataFrame, capacity: int = 1024, path: str | None = N
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
-    return ranged.mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return ranged.mapInArrow(tidy(run), PIECES + ", ids binary" * with_ids)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 #: The words that announce an identifier.
@@ -134,7 +136,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, c in zip(names, out)], names)
 
-    return docs.mapInArrow(run, SPANS)
+    return docs.mapInArrow(tidy(run), SPANS)
 
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -149,4 +151,4 @@ def redact(docs: DataFrame, column: str = "text") -> DataFrame:
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
