@@ -214,3 +214,13 @@ def test_language_edge_rows(spark):
     assert language_id.predict_languages(df.limit(0)).count() == 0
     none = df.withColumn("lang", df.lang.substr(100, 1)).filter("false").union(df.selectExpr("doc_id", "text", "cast(null as string)", "score"))
     assert {r["lang_pred"] for r in language_id.predict_languages(none).collect()} == {"und"}
+
+
+def test_language_sample_stays_bounded_when_a_doc_id_repeats(spark):
+    rows = [(7, f"wort nummer {i % 3}", "de") for i in range(3000)] + [(100 + i, f"word number {i}", "en") for i in range(50)] + [(7, "word", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id", F.lit(11)))
+    got = language_id._sample(df, 20).collect()
+    assert sorted((r["lang"], r["doc_id"]) for r in got if r["lang"] == "de") == [("de", 7)]
+    assert [r["text"] for r in got if r["lang"] == "de"] == ["wort nummer 0"]
+    english = sorted(df.filter("lang = 'en'").select("h", "doc_id").distinct().collect())[:20]
+    assert {r["doc_id"] for r in got if r["lang"] == "en"} == {r["doc_id"] for r in english}

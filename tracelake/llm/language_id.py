@@ -107,18 +107,27 @@ class Model:
         return total
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Learn from (doc_id, text, lang): the rows with a language and a letter that come first by hash, per_language of each."""
-    rows = docs.filter("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(11)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def _sample(rows: DataFrame, per_language: int) -> DataFrame | None:
+    """doc_id, lang, h, text: per_language doc_ids of each language at most, one row each however often a doc_id is repeated
+    (the smallest of its texts). rows carries h, a hash of doc_id."""
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not counts:
         return None
     # a first cut by hash leaves a few times what is needed, so no window sees a whole language
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * per_language / n))))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * per_language / max(n, 1)))))
     near = rows.filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang")))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = near.select("lang", "h", "doc_id").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
-    sample = near.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "h", "text")
+    ids = near.select("lang", "h", "doc_id").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
+    picked = near.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")
+    return picked.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Learn from (doc_id, text, lang): the rows with a language and a letter that come first by hash, per_language of each."""
+    rows = docs.filter("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(11)))
+    sample = _sample(rows, per_language)
+    if sample is None:
+        return None
 
     def run(batches):
         for batch in batches:
