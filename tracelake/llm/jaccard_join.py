@@ -312,6 +312,7 @@ def _next_pairs(entries: DataFrame, pct: int, last: bool) -> DataFrame:
                 other = comp != comp[i]
                 other &= (comp == main) | (np.arange(len(x)) > i)
                 ok = other & _possible(n, pos, int(n[i]), int(pos[i]), pct)
+                ok &= (pivot != sid[i]) & (sid != pivot[i])  # answered
                 if pivot[i] >= 0:
                     known = ok & (pivot == pivot[i])
                     most = np.minimum(common, common[i]) + np.minimum(n - common, n[i] - common[i])
@@ -380,13 +381,18 @@ def link_components(docs: DataFrame, pct: int = 80, k: int = 5) -> tuple[DataFra
         open_ = entries.join(long_, "token").join(about, "sid").select("token", "sid", "n", "pos", "comp", "pivot", "common")
         mixed = open_.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("token")
         open_ = open_.join(mixed, "token").repartition(few, "token").sortWithinPartitions("token", "n", "sid")
-        more = _next_pairs(open_, pct, last=turn == PIVOT_ROUNDS - 1)
-        more = written(more.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        last = turn == PIVOT_ROUNDS - 1
+        asked = written(_next_pairs(open_, pct, last), "asked")
+        more = written(asked.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty() and not last and not asked.isEmpty():
+            last = True  # the lists asked for pivots already answered, which settles nothing: compare their other pairs
+            more = written(_next_pairs(open_, pct, last).join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
         answers = written(answers.union(_overlaps(more, sets, pct)), "answers")
-    else:
-        comps = written(components(answers.filter("linked"), "a", "b"), "comps")
+        if last:
+            comps = written(components(answers.filter("linked"), "a", "b"), "comps")
+            break
     found = sets.join(comps.withColumnRenamed("node", "sid"), "sid").select("d1", "d2", "comp")
     return set_sizes(docs, k), found
 
