@@ -40,35 +40,80 @@ MARKS = frozenset(
 _MARKED = re.compile("advert|sponsor|comment|disqus|respond|cookie|consent|notice|newsletter|subscri|navig|menu|breadcrumb|sidebar|widget|recommend|related|sharing|social|footer|masthead|toolbar|topbar|paginat|promo|banner|popup|modal|overlay")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<([a-zA-Z/])", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+#: Beginnings of words that mark what readers or the site's banners say.
+_OTHERS = re.compile("comment|disqus|respond|repl(?:y|ies)|cookie|consent|gdpr")
+_ATTR = re.compile(r"([^\s\"'>/=]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+WRAPPER, OTHERS, FIXED, BLOCK = 1, 2, 3, 4
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "marked_block")
+    __slots__ = ("tag", "path", "parent", "own", "dropped")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool, marked_block: bool = False):
-        self.tag, self.path, self.parent, self.dropped, self.marked_block = tag, path, parent, dropped, marked_block
+    def __init__(self, tag: str, path: str, parent: Node | None, own: int = 0):
+        """own: WRAPPER or OTHERS by marks or because it is hidden, FIXED by its kind, BLOCK for a marked paragraph or span, or 0."""
+        self.tag, self.path, self.parent, self.own, self.dropped = tag, path, parent, own, False
 
 
 def _words(value: str) -> set[str]:
     return set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
 
 
-def _marks(attrs: str) -> tuple[bool, bool, str]:
-    """Is an element marked as boilerplate, is it hidden, and its class attribute."""
-    found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)}
-    if not found:
-        return False, False, ""
+def _marks(attrs: str) -> tuple[int, bool, str]:
+    """Is an element marked as boilerplate (WRAPPER, OTHERS or 0), is it hidden, and its class attribute."""
+    found: dict[str, str] = {}
+    for k, a, b, c in _ATTR.findall(attrs):
+        found.setdefault(k.lower(), a or b or c or "")
     words = _words(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}")
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return bool(words & MARKS) or any(map(_MARKED.match, words)), hidden, found.get("class", "")
-
-
-def parse(page: str):
-    """(node, kind, text) events in page order: kind 0 is text, 1 a block boundary, 2 text inside a link. Nodes are containers."""
-    root = Node("", "", None, False)
+    marked = bool(words & MARKS) or any(map(_MARKED.match, words))
+    return (OTHERS if any(map(_OTHERS.match, words)) else WRAPPER) if marked else 0, hidden, found.get("class", "")
+
+
+def parse(page: str) -> list[tuple[Node, int, str]]:
+    """(node, kind, text) events in page order: kind 0 is text, 1 a block boundary, 2 text inside a link. Nodes are containers.
+
+    Marks only suggest boilerplate: a marked or hidden wrapper that holds most of the main element's prose (or of the page's, if it
+    has no main; prose in an article counts twice) is kept, and if nothing were left all marks are passed over."""
+    nodes: list[Node] = []
+    events = list(_events(page, nodes))
+    if not any(n.own in (WRAPPER, OTHERS, BLOCK) for n in nodes):
+        _drop(nodes, lambda n: n.own)
+        return events
+    mine: dict[Node, int] = {}
+    for node, kind, text in events:
+        if kind == 0 and (k := len(text.strip())):
+            mine[node] = mine.get(node, 0) + k
+    _drop(nodes, lambda n: n.own >= FIXED)
+    held: dict[Node, list[int]] = {}
+    total = [0, 0]  # prose in main elements; all prose
+    for node, k in mine.items():
+        if not node.dropped:
+            chain = list(_chain(node))
+            own = [k if any(n.tag == "main" and not n.own for n in chain) else 0, 2 * k if any(n.tag == "article" and not n.own for n in chain) else k]
+            total = [a + b for a, b in zip(total, own)]
+            for n in chain:
+                if n.own:
+                    held[n] = [a + b for a, b in zip(held.get(n, (0, 0)), own)]
+    which = 0 if total[0] else 1
+    most = {n for n, h in held.items() if 3 * h[which] > 2 * total[which] and (n.own == WRAPPER or not which and not any(p.tag == "main" for p in _chain(n)))}
+    _drop(nodes, lambda n: n.own and n not in most)
+    if all(n.dropped for n in mine):
+        _drop(nodes, lambda n: n.own == FIXED)
+    return events
+
+
+def _drop(nodes: list[Node], is_dropped) -> None:
+    for n in nodes:  # parents come first
+        n.dropped = bool(n.parent.dropped or is_dropped(n))
+
+
+def _events(page: str, nodes: list[Node]):
+    """The events, and every container below the root added to nodes."""
+    root = Node("", "", None)
     at, pos, end, links = root, 0, len(page), 0
     while pos < end:
         m = _TOKEN.search(page, pos)
@@ -99,13 +144,14 @@ def parse(page: str):
             yield at, 1, ""
             if tag not in VOID:
                 links = 0
-        if at.marked_block and (tag in BLOCKS if not closing else tag == at.tag):  # a marked paragraph or span ends here
+        if at.own == BLOCK and (tag in BLOCKS if not closing else tag == at.tag):  # a marked paragraph or span ends here
             at = at.parent
             if closing:
                 continue
         if tag not in CONTAINERS:
             if not closing and attrs and tag not in VOID and _marks(attrs)[0]:
-                at = Node(tag, at.path, at, True, True)
+                at = Node(tag, at.path, at, BLOCK)
+                nodes.append(at)
             continue
         if closing:
             up = at
@@ -121,11 +167,12 @@ def parse(page: str):
                     up = up.parent
                 if up is not root and up.tag in same:
                     at = up.parent
-            marked, hidden, classes = _marks(attrs) if attrs else (False, False, "")
+            marked, hidden, classes = _marks(attrs) if attrs else (0, False, "")
             header = tag == "header" and not any(p.tag in ("article", "main") for p in _chain(at))
-            marked = marked and tag not in ("html", "body", "main", "article")
+            own = FIXED if header or tag in DROPPED else 0 if tag in ("html", "body", "main", "article") else marked
             name = tag + "".join("." + w for w in sorted(_words(classes)))
-            at = Node(tag, f"{at.path}/{name}", at, at.dropped or hidden or marked or header or tag in DROPPED)
+            at = Node(tag, f"{at.path}/{name}", at, own or (WRAPPER if hidden else 0))
+            nodes.append(at)
 
 
 def _chain(node: Node | None):
