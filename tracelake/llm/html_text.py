@@ -1,16 +1,26 @@
 """Main text of web pages by consensus host paths.
 
-Method. A page is read into a tree of containers; a container's generalised path is its chain of tags and classes, digits left
-out. Each page scores its containers: prose under them counts, links and marked boilerplate count against. Spark sums the
-scores by host and path, so pages of one layout vote together; each host's winning paths are applied to its pages again, and
-their text is what comes out, block by block, without navigation, adverts, forms, scripts, comments of readers and the like. A
-page on which no winning path occurs uses its own best container.
-
-Scale. Votes are folded by (host, path) before the shuffle, so a host with a third of all pages is a few rows a task. One row a
-host is joined back: broadcast only if its measured size allows, else a sort-merge join that splits a hot host.
-
-A null html is empty and gives an empty text; a null or odd url belongs to the host ''; repeated rows give repeated results;
-extra columns are ignored; an empty table gives an empty result. Parsing is linear in the page.
+Method. A page is read into a tree of containers; a container's generalised path is its chain of tags and class words, digits left
+out, named by a chained 64-bit hash. Each page scores its containers (prose below counts, nearer prose more; link text and
+dropped parts don't) and votes for its best. Spark sums by host and path how many pages hold a path and how many vote for it; a
+host's winning paths are those that most of their pages, two at least, vote for. The pages are then read again and their text is
+what lies under a winning path: the most voted one that has text on the page, and inside it a winner of a narrower layout, if
+there is one. A page without a winning path gives the text of its own best container.
+
+Dropped are elements whose kind is boilerplate (navigation, footers, scripts, ...), hidden ones, and those that a whole class or
+id token, role or item type marks: every word of the token is a mark or a word of layout, so `post-comments` and `ad-box` are
+marks, `commentary`, `social-studies`, `has-sidebar` aren't. A marked or hidden wrapper, or a form, that holds the page's main
+element, or nearly all prose where there is none, is kept; if nothing were left all marks but those of forms are passed over.
+
+Scale. Votes are folded by (host, path) before the shuffle, so a host with a third of all pages is a few rows a task. At most
+WINNERS paths a host are joined back (a page with none of them uses its own best container): broadcast only if the table's
+measured size allows, else a sort-merge join that splits a hot host. Reading, scoring and extraction are linear in the page,
+in time and memory, whatever its tags, quotes and nesting.
+
+A null html is empty and gives an empty text; a null or odd url belongs to the host ''; repeated rows give repeated results (and
+vote once each); extra columns are ignored; an empty table gives an empty result. Quotes count only around attribute values;
+one that never ends is an ordinary character. Markup that the page's end cuts off (a tag without its >, a comment, a script) is
+no text. If quoted values swallow every later >, tags end at the next > from there on.
 """
 
 from __future__ import annotations
@@ -19,250 +29,403 @@ import html as entities
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
+
+#: Paths a host hands to its pages.
+WINNERS = 16
 
 #: Element kinds of HTML.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tfoot tr td th ul ol dl li dd dt figure fieldset dialog details menu template noscript iframe object select button search svg hgroup blockquote center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 br hr pre address caption figcaption summary legend option title".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-DROPPED = frozenset("nav aside footer form script style template noscript iframe object select button dialog menu svg search head textarea fieldset".split())
+DROPPED = frozenset("nav aside footer script style template noscript iframe object select button dialog menu svg search textarea fieldset".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-#: Words in a class, id or role that mark what isn't the article.
+#: Words of a class or id token that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion comment comments disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side widget related recommended recommendations share sharing social footer header masthead topbar toolbar pagination pager tags toc form search".split()
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promoted notice notices alert alerts popup popups modal overlay "
+    "newsletter subscribe subscription signup signin login menu menus submenu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars side widget widgets related recommended recommendations "
+    "share sharing sharebar social footer header masthead topbar toolbar pagination pager toc form search searchbox searchform".split()
 )
+#: Words that mark what readers or the site's consent banners say.
+OTHERS_SAY = frozenset("comment comments commentlist disqus respond reply replies discussion talkback cookie cookies consent gdpr".split())
+#: Words of layout, which change nothing about a mark beside them.
+LAYOUT = frozenset(
+    "area article articles author bar bars blog block blocks body bottom box boxes btn button buttons center col column container content contents count cta custom desktop entry fixed float floating global holder icon icons inner "
+    "item items js label left link links list lists main meta mobile module modules outer page pages panel placeholder post posts primary reader readers right row secondary section sections site slot small sticky story stories strip "
+    "text thread title tools top unit units user users view wrap wrapper wrappers zone policy law info message messages email mail top sm md lg xl".split()
+)
+#: Roles and item types that mark what isn't the article.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+_OWN_HEADER = frozenset("article blog entry post story title content section text".split())
 
-#: Beginnings of such words.
-_MARKED = re.compile("advert|sponsor|comment|disqus|respond|cookie|consent|notice|newsletter|subscri|navig|menu|breadcrumb|sidebar|widget|recommend|related|sharing|social|footer|masthead|toolbar|topbar|paginat|promo|banner|popup|modal|overlay")
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<([a-zA-Z/])", re.S)
-#: Beginnings of words that mark what readers or the site's banners say.
-_OTHERS = re.compile("comment|disqus|respond|repl(?:y|ies)|cookie|consent|gdpr")
-_ATTR = re.compile(r"([^\s\"'>/=]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|([!?/]))")
+_UPTO = re.compile(r"[^>=]*+(?:=\s*+)?")
+_ATTR = re.compile(r"([^\s\"'>/=]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 
+WRAPPER, FORM, OTHERS, FIXED = 1, 2, 3, 4
+#: How much prose of a container counts, by its kind; each container hands STEP of it to the one around it.
+_BONUS = {"article": 2.0, "main": 1.5, "section": 1.0, "div": 1.0, "td": 0.8, "body": 0.7, "blockquote": 0.3, "html": 0.5, "": 0.4}
+STEP = 0.75
 
-WRAPPER, OTHERS, FIXED, BLOCK = 1, 2, 3, 4
+#: What an opening tag closes if it is open around it (by place in Node.near), and what keeps it from doing so.
+_CLOSES = {"li": 0, "tr": 1, "td": 2, "th": 2, "dd": 3, "dt": 3}
+_WALLS = {"ul": (0,), "ol": (0,), "menu": (0,), "table": (1, 2), "dl": (3,)}
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "own", "dropped")
-
-    def __init__(self, tag: str, path: str, parent: Node | None, own: int = 0):
-        """own: WRAPPER or OTHERS by marks or because it is hidden, FIXED by its kind, BLOCK for a marked paragraph or span, or 0."""
-        self.tag, self.path, self.parent, self.own, self.dropped = tag, path, parent, own, False
-
-
-def _words(value: str) -> set[str]:
-    return set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-
-
-def _marks(attrs: str) -> tuple[int, bool, str]:
-    """Is an element marked as boilerplate (WRAPPER, OTHERS or 0), is it hidden, and its class attribute."""
+    """An element that can hold text of its own kind: any container, and other elements that are marked."""
+
+    __slots__ = ("tag", "path", "parent", "own", "near", "inside", "dropped", "h1", "paras", "prose", "links", "core", "free", "flow", "others", "fixed", "has")
+
+    def __init__(self, tag: str, path: int, parent: Node | None, own: int = 0):
+        """own: WRAPPER or OTHERS by marks or because it is hidden, FORM, FIXED by its kind, or 0."""
+        self.tag, self.path, self.parent, self.own = tag, path, parent, own
+        self.near = parent.near if parent else (None, None, None, None)
+        self.inside = bool(parent and parent.inside) or tag in ("article", "main")
+        self.dropped = self.core = self.others = self.fixed = self.has = False
+        self.h1, self.paras, self.prose, self.links, self.free, self.flow = False, 0, 0, 0, 0, 0.0
+
+
+def _token_mark(token: str, inside: bool) -> int:
+    """WRAPPER or OTHERS if the token's words are marks and words of layout only, else 0."""
+    words = _WORD.findall(_CAMEL.sub(" ", token).lower())
+    found = 0
+    for w in words:
+        if w in OTHERS_SAY:
+            found = OTHERS
+        elif w in MARKS:
+            if w == "header" and (inside or not _OWN_HEADER.isdisjoint(words)):  # the article's own
+                return 0
+            found = found or WRAPPER
+        elif w not in LAYOUT and len(w) > 1:
+            return 0
+    return found
+
+
+def _marks(attrs: str, inside: bool) -> tuple[int, bool, str]:
+    """How an element is marked (WRAPPER, OTHERS or 0), is it hidden, and its class attribute."""
     found: dict[str, str] = {}
     for k, a, b, c in _ATTR.findall(attrs):
         found.setdefault(k.lower(), a or b or c or "")
-    words = _words(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}")
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    marked = bool(words & MARKS) or any(map(_MARKED.match, words))
-    return (OTHERS if any(map(_OTHERS.match, words)) else WRAPPER) if marked else 0, hidden, found.get("class", "")
-
-
-def parse(page: str) -> list[tuple[Node, int, str]]:
-    """(node, kind, text) events in page order: kind 0 is text, 1 a block boundary, 2 text inside a link. Nodes are containers.
-
-    Marks only suggest boilerplate: a marked or hidden wrapper that holds most of the main element's prose (or of the page's, if it
-    has no main; prose in an article counts twice) is kept, and if nothing were left all marks are passed over."""
-    nodes: list[Node] = []
-    events = list(_events(page, nodes))
-    if not any(n.own in (WRAPPER, OTHERS, BLOCK) for n in nodes):
-        _drop(nodes, lambda n: n.own)
-        return events
-    mine: dict[Node, int] = {}
-    for node, kind, text in events:
-        if kind == 0 and (k := len(text.strip())):
-            mine[node] = mine.get(node, 0) + k
-    _drop(nodes, lambda n: n.own >= FIXED)
-    held: dict[Node, list[int]] = {}
-    total = [0, 0]  # prose in main elements; all prose
-    for node, k in mine.items():
-        if not node.dropped:
-            chain = list(_chain(node))
-            own = [k if any(n.tag == "main" and not n.own for n in chain) else 0, 2 * k if any(n.tag == "article" and not n.own for n in chain) else k]
-            total = [a + b for a, b in zip(total, own)]
-            for n in chain:
-                if n.own:
-                    held[n] = [a + b for a, b in zip(held.get(n, (0, 0)), own)]
-    which = 0 if total[0] else 1
-    most = {n for n, h in held.items() if 3 * h[which] > 2 * total[which] and (n.own == WRAPPER or not which and not any(p.tag == "main" for p in _chain(n)))}
-    _drop(nodes, lambda n: n.own and n not in most)
-    if all(n.dropped for n in mine):
-        _drop(nodes, lambda n: n.own == FIXED)
-    return events
-
-
-def _drop(nodes: list[Node], is_dropped) -> None:
-    for n in nodes:  # parents come first
-        n.dropped = bool(n.parent.dropped or is_dropped(n))
-
-
-def _events(page: str, nodes: list[Node]):
-    """The events, and every container below the root added to nodes."""
-    root = Node("", "", None)
-    at, pos, end, links = root, 0, len(page), 0
+    mark = 0
+    for name in ("class", "id"):
+        for token in found.get(name, "").split():
+            mark = max(mark, _token_mark(token, inside))
+    if found.get("role", "").strip().lower() in ROLES:
+        mark = mark or WRAPPER
+    if found.get("itemprop", "").lower() == "comment" or found.get("itemtype", "").rstrip("/").lower().endswith(("/comment", "/usercomments")):
+        mark = OTHERS
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "style" in found and bool(_HIDDEN.search(found["style"]))
+    return mark, hidden, found.get("class", "")
+
+
+class _Tags:
+    """Where tags end. Each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.none = page, True, set()
+
+    def end(self, pos: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at pos; -1 if no > is left."""
+        page = self.page
+        close = page.find(">", pos)
+        if close < 0 or not self.quotes:
+            return close
+        two, one = page.count('"', pos, close), page.count("'", pos, close)
+        if not two and not one or not one and not two & 1 or not two and not one & 1:
+            return close
+        at = pos
+        while True:
+            m = _UPTO.match(page, at)
+            at = m.end()
+            if at >= len(page):
+                self.quotes = False
+                return close
+            c = page[at]
+            if c == ">":
+                return at
+            if c in "\"'" and m.group().rstrip().endswith("="):
+                stop = -1 if c in self.none else page.find(c, at + 1)
+                if stop < 0:
+                    self.none.add(c)
+                at = max(at, stop) + 1
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
+    """The nodes (parents first) and the events in page order: (node, kind, text), kind 0 being text, 1 a block boundary, 2 text
+    inside a link."""
+    root = Node("", 0, None)
+    nodes, events, open_ = [root], [], {}
+    tags, at, pos, end, link = _Tags(page), root, 0, len(page), False
+    endless: set[str] = set()  # raw elements without an end from here on
+
+    def up_to(node: Node) -> Node:
+        nonlocal at
+        while at is not node:
+            open_[at.tag] -= 1
+            at = at.parent
+        return at
+
+    def push(node: Node) -> None:
+        nonlocal at
+        nodes.append(node)
+        open_[node.tag] = open_.get(node.tag, 0) + 1
+        at = node
+
     while pos < end:
-        m = _TOKEN.search(page, pos)
+        m = _OPEN.search(page, pos)
+        start = m.start() if m else end
+        if start > pos:
+            events.append((at, 2 if link else 0, page[pos:start]))
         if not m:
-            yield at, 2 if links else 0, page[pos:]
-            return
-        if m.start() > pos:
-            yield at, 2 if links else 0, page[pos : m.start()]
-        pos = m.end()
-        if m[4]:  # a tag with an unbalanced quote ends at the next >; without one, it is text
-            close = page.find(">", pos)
-            head = re.match(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", page[m.start() : m.start() + 64])
-            if close < 0 or not head:
-                yield at, 2 if links else 0, page[m.start() : pos]
-                continue
-            closing, tag, attrs, pos = head[1], head[2].lower(), page[m.start() + head.end() : close], close + 1
-        elif m[2] is None:
+            break
+        if m[3]:
+            mark, skip = ("-->", 2) if page.startswith("<!--", start) else (">", 0)
+            close = page.find(mark, start + skip)
+            pos = end if close < 0 else close + len(mark)
             continue
-        else:
-            closing, tag, attrs = m[1], m[2].lower(), m[3]
+        close = tags.end(m.end())
+        if close < 0:
+            break
+        closing, tag, attrs, pos = m[1], m[2].lower(), page[m.end() : close], close + 1
         if tag == "a":
-            links = 0 if closing else 1
+            link = not closing and "href" in attrs.lower()
         if not closing and tag in RAW:
-            stop = re.compile(f"</{tag}\\s*>", re.I).search(page, pos)
-            pos = stop.end() if stop else end
+            stop = None if tag in endless else _RAW_END[tag].search(page, pos)
+            if stop:
+                pos = stop.end()
+            elif tag in ("script", "style"):
+                break
+            else:  # a title or form text that never ends: only its tag goes
+                endless.add(tag)
             continue
         if tag in BLOCKS:
-            yield at, 1, ""
+            events.append((at, 1, ""))
             if tag not in VOID:
-                links = 0
-        if at.own == BLOCK and (tag in BLOCKS if not closing else tag == at.tag):  # a marked paragraph or span ends here
-            at = at.parent
-            if closing:
-                continue
+                link = False
+            if not closing and open_.get("p"):  # no block lies in a paragraph
+                while at.tag != "p":
+                    up_to(at.parent)
+                up_to(at.parent)
+            if tag == "p" and not closing:
+                at.paras += 1
+            elif tag == "h1" and not closing:
+                at.h1 = True
+        if closing:
+            if open_.get(tag):
+                while at.tag != tag:
+                    up_to(at.parent)
+                up_to(at.parent)
+            continue
+        if tag in VOID:
+            continue
         if tag not in CONTAINERS:
-            if not closing and attrs and tag not in VOID and _marks(attrs)[0]:
-                at = Node(tag, at.path, at, BLOCK)
-                nodes.append(at)
+            if open_.get(tag) or attrs.strip():
+                mark, hidden, _ = _marks(attrs, at.inside) if attrs else (0, False, "")
+                if mark or hidden or open_.get(tag):
+                    push(Node(tag, at.path, at, mark or (WRAPPER if hidden else 0)))
             continue
-        if closing:
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                at = up.parent
-        elif not attrs.rstrip().endswith("/") or tag in ("div", "section", "article", "main"):
-            if tag in ("li", "tr", "td", "th", "dd", "dt"):  # an open one of these is closed by the next
-                same = {"td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}.get(tag, (tag,))
-                up, wall = at, ("ul", "ol", "menu") if tag == "li" else ("table", "dl")
-                while up is not root and up.tag not in same and up.tag not in wall:
-                    up = up.parent
-                if up is not root and up.tag in same:
-                    at = up.parent
-            marked, hidden, classes = _marks(attrs) if attrs else (0, False, "")
-            header = tag == "header" and not any(p.tag in ("article", "main") for p in _chain(at))
-            own = FIXED if header or tag in DROPPED else 0 if tag in ("html", "body", "main", "article") else marked
-            name = tag + "".join("." + w for w in sorted(_words(classes)))
-            at = Node(tag, f"{at.path}/{name}", at, own or (WRAPPER if hidden else 0))
-            nodes.append(at)
-
-
-def _chain(node: Node | None):
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-_BONUS = {"article": 2.0, "main": 1.5, "section": 1.0, "div": 1.0, "td": 0.8, "body": 0.7, "blockquote": 0.3, "html": 0.5, "": 0.4}
-
-
-def container_scores(page: str) -> dict[str, float]:
-    """The page's containers by generalised path: prose below each, nearer prose more, weighted by the kind of element."""
-    total: dict[str, float] = {}
-    prose: dict[Node, int] = {}
-    for node, kind, text in parse(page):
-        if kind != 1 and not node.dropped and (n := len(text.strip())):
-            prose[node] = prose.get(node, 0) + (n if kind == 0 else -n)
-    for node, n in prose.items():
-        share = 1.0
-        for up in _chain(node):
-            if up.tag in _BONUS:
-                total[up.path] = total.get(up.path, 0.0) + n * share * _BONUS[up.tag]
-                share *= 0.75
+        if attrs.rstrip().endswith("/") and tag not in ("div", "section", "article", "main"):
+            continue
+        kind = _CLOSES.get(tag)
+        if kind is not None and at.near[kind]:
+            up_to(at.near[kind].parent)
+        mark, hidden, classes = _marks(attrs, at.inside) if attrs else (0, False, "")
+        if tag in DROPPED or tag == "header" and not at.inside:
+            own = FIXED
+        elif tag in ("html", "body", "main"):
+            own = 0
+        elif tag == "article":
+            own = mark if mark == OTHERS else 0
+        else:
+            own = mark
+        own = own or (WRAPPER if hidden else FORM if tag == "form" else 0)
+        name = tag + "".join("." + w for w in sorted(set(_WORD.findall(_CAMEL.sub(" ", classes).lower()))))
+        node = Node(tag, xxhash.xxh64_intdigest(name, seed=at.path) >> 1, at, own)
+        if tag in _WALLS or kind is not None:
+            near = list(node.near)
+            for k in _WALLS.get(tag, ()):
+                near[k] = None
+            if kind is not None:
+                near[kind] = node
+                if tag == "tr":
+                    near[2] = None
+            node.near = tuple(near)
+        push(node)
+    _settle(nodes, events)
+    return nodes, events
+
+
+def _settle(nodes: list[Node], events: list[tuple[Node, int, str]]) -> None:
+    """Decide which nodes are dropped, and note each node's prose and link text."""
+    for node, kind, text in events:
+        if kind != 1 and (n := len(text.strip())):
+            if kind == 0:
+                node.prose += n
+            else:
+                node.links += n
+    if any(n.own for n in nodes):
+        cores, frees, paras = _held(nodes)
+        total, all_ = cores[nodes[0]], frees[nodes[0]]
+
+        def kept(n: Node) -> bool:
+            if total:
+                return cores[n] * 10 > total * 9 if n.core else cores[n] * 3 > total * 2
+            return n.own in (WRAPPER, FORM) and frees[n] * 10 > all_ * 9 and (n.own == WRAPPER or paras[n] > 1)
+
+        for n in nodes[1:]:
+            n.dropped = n.parent.dropped or n.own == FIXED or bool(n.own) and not kept(n)
+        if all(n.dropped or not n.prose and not n.links for n in nodes):
+            for n in nodes[1:]:
+                n.dropped = n.parent.dropped or n.own in (FIXED, FORM)
+    for n in reversed(nodes):
+        n.has |= not n.dropped and (n.prose > 0 or n.links > 0)
+        if n.has and n.parent:
+            n.parent.has = True
+
+
+def _held(nodes: list[Node]) -> tuple[dict, dict, dict]:
+    """By node, below it: prose in main and article elements, prose that no fixed element or readers' part holds, and paragraphs."""
+    for n in nodes:
+        up = n.parent
+        n.fixed = n.own == FIXED or bool(up and up.fixed)
+        n.others = n.own == OTHERS or bool(up and up.others)
+        begins = n.own == 0 and (n.tag == "main" or n.tag == "article" and not n.others)
+        n.core = not n.fixed and (begins or bool(up and up.core) and n.own != OTHERS)
+    cores = {n: n.prose if n.core else 0 for n in nodes}
+    frees = {n: 0 if n.fixed or n.others else n.prose for n in nodes}
+    paras = {n: n.paras for n in nodes}
+    for n in reversed(nodes):
+        if n.parent:
+            for below in (cores, frees, paras):
+                below[n.parent] += below[n]
+    return cores, frees, paras
+
+
+def container_scores(nodes: list[Node]) -> dict[int, float]:
+    """The page's containers by generalised path: prose below each less its link text, nearer prose more, weighted by the kind of
+    element. Paths in page order; only those above 0."""
+    total: dict[int, float] = {n.path: 0.0 for n in nodes if n.tag in _BONUS and n.has}
+    for n in nodes:
+        n.flow = 0.0 if n.dropped else float(n.prose - n.links)
+    for n in reversed(nodes):
+        passed = n.flow
+        if n.tag in _BONUS:
+            if n.path in total:
+                total[n.path] += passed * _BONUS[n.tag]
+            passed *= STEP
+        if n.parent:
+            n.parent.flow += passed
     return {p: s for p, s in total.items() if s > 0}
 
 
-def extract(page: str, paths: set[str] | None = None) -> str:
-    """The text under the outermost containers with one of the paths; if there is none, under the page's best container."""
-    blocks, open_, seen, inside = [], [], False, {}
-
-    def within(node: Node) -> bool:
-        known = inside.get(node)
-        if known is None:
-            known = inside[node] = any(n.path in paths for n in _chain(node))
-        return known
-
-    if paths is None:
-        scores = container_scores(page)
-        if not scores:
-            return ""
-        paths = {max(sorted(scores), key=scores.get)}
-    for node, kind, text in parse(page):
+def best_path(nodes: list[Node]) -> int | None:
+    """The page's own best container, as a path: the highest score, ties to the first in the page. A heading just above it, or a
+    parent whose several children it is, belongs to it. Without prose, an article or main element that has text."""
+    scores = container_scores(nodes)
+    if not scores:
+        return next((n.path for n in nodes if n.tag in ("article", "main") and n.has), None)
+    best = max(scores, key=scores.get)  # the first of equal ones
+    while True:
+        here = [n for n in nodes if n.path == best and n.has and n.tag in _BONUS]
+        above = {n.parent for n in here}
+        up = here[0].parent
+        if len(above) > 1 or here[0].tag in ("article", "main") or not up or up.tag not in ("div", "section", "td") or not (up.h1 or len(here) > 1):
+            return best
+        best = up.path
+
+
+def extract(page: str, winners: list[int] | None = None) -> str:
+    """The text under the outermost containers of the page's winning path; if it has none, of its own best path. winners: paths,
+    the most voted first."""
+    nodes, events = parse(page)
+    path = None
+    if winners:
+        rank = {p: i for i, p in enumerate(winners)}
+        here = [n for n in nodes if n.has and n.tag in _BONUS and n.path in rank]
+        path = min((n.path for n in here), key=rank.get, default=None)
+        while here:  # a winner inside the chosen one belongs to a narrower layout
+            below = _below(nodes, path)
+            here = [n for n in here if n.path != path and n.parent in below]
+            path = min((n.path for n in here), key=rank.get, default=path)
+    if path is None:
+        path = best_path(nodes)
+    if path is None:
+        return ""
+    below = _below(nodes, path)
+    blocks, open_ = [], []
+    for node, kind, text in events:
         if kind == 1:
             if open_:
                 blocks.append("".join(open_))
                 open_ = []
-        elif within(node):
-            seen = True
-            if not node.dropped:
-                open_.append(text)
+        elif node in below and not node.dropped:
+            open_.append(entities.unescape(text) if "&" in text else text)
     blocks.append("".join(open_))
-    if not seen:
-        scores = container_scores(page)
-        return extract(page, {max(sorted(scores), key=scores.get)}) if scores else ""
-    return " ".join(b for b in (" ".join(entities.unescape(x).split()) for x in blocks) if b)
+    return " ".join(b for b in (" ".join(x.split()) for x in blocks) if b)
+
+
+def _below(nodes: list[Node], path: int) -> set[Node]:
+    found: set[Node] = set()
+    for n in nodes:
+        if n.path == path and n.tag in _BONUS or n.parent in found:
+            found.add(n)
+    return found
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: each host's winning container path by the summed votes of its pages (ties: the path first in order)."""
+    """host, path, pages, votes: how many of a host's pages hold text under a container path, and for how many it is the best."""
 
     def run(batches):
         for batch in batches:
-            votes: dict[tuple[str, str], list] = {}
+            votes: dict[tuple[str, int], list[int]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scores = container_scores(page or "")
-                whole = max(scores.values(), default=0)
-                for path, s in scores.items():
-                    v = votes.setdefault((host, path), [0.0, 0])
-                    v[0] += round(s / whole * 1000)
-                    v[1] += 1
-            keys = list(votes)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([int(votes[k][0]) for k in keys], pa.int64())], ["host", "path", "votes"])
+                nodes, _ = parse(page or "")
+                best = best_path(nodes)
+                for path in {n.path for n in nodes if n.has and n.tag in _BONUS}:
+                    v = votes.setdefault((host, path), [0, 0])
+                    v[0] += 1
+                    v[1] += path == best
+                if len(votes) > 500_000:
+                    yield rows(votes)
+                    votes.clear()
+            yield rows(votes)
+
+    def rows(votes):
+        hosts, paths = [k[0] for k in votes], [k[1] for k in votes]
+        counts = [[v[i] for v in votes.values()] for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (paths, *counts))], ["host", "path", "pages", "votes"])
+
+    votes = pages.select("host", "html").mapInArrow(tidy(run), "host string, path long, pages long, votes long")
+    return votes.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("votes").alias("votes"))
+
 
-    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    first = Window.partitionBy("host").orderBy(F.desc("votes"), "path")  # one row a path of the host
-    return votes.withColumn("r", F.row_number().over(first)).filter("r = 1").select("host", "path")
+def winning_paths(paths: DataFrame, most: int = WINNERS) -> DataFrame:
+    """host, paths: the paths that more than half of their pages, and two at least, vote for, most votes first, ties by path."""
+    first = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
+    won = paths.filter("votes >= 2 and 2 * votes > pages").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most)
+    return won.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "path"))).alias("x")).select("host", F.col("x.path").alias("paths"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     x = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    won = written(host_paths(x), "paths")
-    y = x.join(won, "host", "left").select("page_id", "url", "html", "path")
+    won = written(winning_paths(host_paths(x)), "paths")
+    y = x.join(won, "host", "left").select("page_id", "url", "html", "paths")
 
     def run(batches):
         for batch in batches:
             ids, urls, texts, paths = batch.columns
-            out = [extract(t or "", None if p is None else {p}) for t, p in zip(texts.to_pylist(), paths.to_pylist())]
+            out = [extract(t or "", p) for t, p in zip(texts.to_pylist(), paths.to_pylist())]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return y.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return y.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
