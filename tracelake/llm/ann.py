@@ -1,31 +1,40 @@
 """Approximate nearest neighbours by inner product over robust-pruned graphs.
 
-Method. Vectors are dealt to shards of bounded size. A shard's graph is built in growing batches: a greedy beam search over the
-graph so far proposes each new vector's neighbours, relaxed pruning keeps an edge only if no kept neighbour is nearer to the
-candidate by the factor ALPHA (diverse edges), reverse edges are added and over-full nodes pruned again. Queries run a beam
-search in every shard, and the best of all shards are kept, with scores taken anew in double precision on the original vectors.
-Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), M being the largest norm.
+Method. Vectors are dealt to shards of bounded size. In a shard vectors whose norms differ by a factor of two at most form a
+band, and inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), M being the band's largest norm; so no
+vector, however long, flattens the others. A band's graph is built in growing batches: a greedy beam search over the graph so
+far proposes each new vector's neighbours, relaxed pruning keeps an edge only if no kept neighbour is nearer to the candidate by
+the factor ALPHA (diverse edges), reverse edges are added and over-full nodes pruned again. Queries run a beam search in every
+shard, from the longest band on; a band is passed over once |q| times its largest norm can't reach the k-th best. Bands of
+SCANNED vectors or fewer are scanned, and so is a band whose products with a query may leave the range of doubles. The best of
+all shards are kept, with scores taken in double precision on the original vectors.
 
 Scale. Equal vectors are one node that carries its smallest k + 1 ids (a query loses at most one of them, itself), so a vector
-that a third of all rows hold is one node; ranks are limited on the map side. A shard, not the table, bounds a task's memory;
-the queries are a stated set against all rows.
+that a third of all rows hold is one node; ranks are limited on the map side. A shard (SHARD_BYTES of vectors at most), not the
+table, bounds a task's memory, and the beam grows with the square root of the shard, so recall holds as shards grow; the
+queries are a stated set against all rows.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, as candidate or query; only vectors of
-equal length are compared; equal scores rank by vec_id; rows repeated with one vec_id count once; extra columns are ignored; an
-empty table gives an empty result.
+equal length are compared; equal scores rank by vec_id, a score that isn't a number last; rows repeated with one vec_id count
+once (the smallest of their vectors); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 DEGREE, BEAM, WIDE, ALPHA, BATCH = 28, 64, 4, 1.2, 256
-SHARD_ROWS = (4096, 131072)
+QUERY_BEAM = 160
+SHARD_ROWS, SHARD_BYTES = (4096, 131072), 64 << 20
+#: Bands of at most so many vectors are scanned.
+SCANNED = 512
 
 
 class Graph:
@@ -143,66 +152,131 @@ def usable(df: DataFrame) -> DataFrame:
     return x.groupBy("vec_id").agg(F.min("e").alias("e"))
 
 
-def _shard_answers(nodes: DataFrame, queries: DataFrame, shards: int, top_norm: float, k: int, beam: int) -> DataFrame:
-    """For each shard and query: the k best nodes found, with exact scores and their ids. One task holds one shard's nodes, then
-    the queries stream past them."""
+class Shard:
+    """Some vectors of one length with their ids, searched by inner product: bands of norms, each a graph or scanned."""
+
+    def __init__(self, rows: np.ndarray, ids: list[list[int]], beam: int | None = None):
+        """ids: of each row the ascending ids that hold it."""
+        self.e, self.ids = rows, ids
+        self.first = np.array([i[0] for i in ids])
+        _, log = _scaled(rows)
+        order = np.argsort(-log, kind="stable")
+        self.bands: list[tuple[float, np.ndarray, Graph | None]] = []
+        lo = 0
+        while lo < len(order):
+            top = log[order[lo]]
+            hi = int(np.searchsorted(-log[order], 1 - top, "right"))
+            at, graph = order[lo:hi], None
+            if hi - lo > SCANNED:
+                z = np.ldexp(rows[at], -int(np.ceil(top)))
+                square = (z**2).sum(1)
+                graph = Graph(np.concatenate((z, np.sqrt(square.max() - square)[:, None]), 1) / np.sqrt(square.max()))
+                graph.wide = beam or beam_for(hi - lo)
+            self.bands.append((top, at, graph))
+            lo = hi
+
+    def nearest(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: the k best rows found, best first, and their inner products. A product that isn't a number (overflow to
+        both sides) ranks last."""
+        unit, log = _scaled(queries)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            for top, at, graph in self.bands:
+                limit = np.exp2(log + top) * (1 + 1e-9)  # no product in this band or the next ones is larger
+                todo = np.array([len(r) < k or not s[k - 1] > m for (r, s), m in zip(best, limit)], bool)
+                odd = todo & ((log + top > 1000) | (log + top < -900))  # products may leave the range of doubles
+                plain = todo & ~odd
+                found = [self._scan(np.flatnonzero(odd), queries, at, k, 1)]
+                found.append(self._walk(np.flatnonzero(plain), unit, at, graph) if graph else self._scan(np.flatnonzero(plain), queries, at, k))
+                for i, new in chain(*found):
+                    rows = np.concatenate((best[i][0], new))
+                    s = (self.e[rows] * queries[i]).sum(1)
+                    o = np.lexsort((self.first[rows], -s))[:k]
+                    best[i] = rows[o], s[o]
+        return best
+
+    def _scan(self, who: np.ndarray, queries: np.ndarray, at: np.ndarray, k: int, step: int = 64):
+        for lo in range(0, len(who), step):
+            q, e = queries[who[lo : lo + step]], self.e[at]
+            far = np.nan_to_num(-(q @ e.T if step > 1 else (q * e).sum(1)[None]), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+            for i, row in zip(who[lo : lo + step], far):
+                near = np.arange(len(at)) if len(at) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
+                yield i, at[near[np.lexsort((self.first[at[near]], row[near]))][: k + 1]]
+
+    def _walk(self, who: np.ndarray, unit: np.ndarray, at: np.ndarray, graph: Graph):
+        for lo in range(0, len(who), BATCH):
+            part = unit[who[lo : lo + BATCH]]
+            found, _ = graph.search(np.concatenate((part, np.zeros((len(part), 1))), 1), graph.wide)
+            yield from zip(who[lo : lo + BATCH], (at[row[row >= 0]] for row in found))
+
+
+def beam_for(rows: int) -> int:
+    """The beam of a search grows with the square root of the graph."""
+    return max(BEAM, int(QUERY_BEAM * (rows / SHARD_ROWS[0]) ** 0.5))
+
+
+def _scaled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows at norm 1 and the binary logarithms of their norms, by exact powers of two: no square over- or underflows."""
+    _, e = np.frexp(np.abs(rows).max(1))
+    y = np.ldexp(rows, -e[:, None])
+    size = np.sqrt((y**2).sum(1))
+    return y / size[:, None], e + np.log2(size)
+
+
+def _shard_answers(nodes: DataFrame, queries: DataFrame, shards: int, k: int, beam: int | None) -> DataFrame:
+    """For each shard and query: the k best nodes found, how far they are (minus the exact score) and their ids. One task holds one
+    shard's nodes, then the queries stream past them."""
     own = nodes.select(F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int").alias("shard"), "dims", F.lit(-1).cast("long").alias("query"), "e", "ids")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dims", "query", "e", F.lit(None).cast("array<long>").alias("ids"))
-    met = own.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("query") >= 0, "dims")
+    met = own.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("ids").isNull(), "dims")
 
     def run(batches):
-        held: dict[int, list] = {}  # by dimension: vectors and ids, then vectors, ids and graph
+        held: dict[int, list] = {}  # by dimension: vectors and ids until the first query comes, then the shard
         for batch in batches:
-            dims, query = np.array(batch.column(1)), np.array(batch.column(2))
+            dims, query, old = np.array(batch.column(1)), np.array(batch.column(2)), batch.column(4).is_null().to_numpy(zero_copy_only=False)
             for d in np.unique(dims).tolist():
                 for new in (True, False):
-                    at = np.flatnonzero((dims == d) & ((query < 0) == new))
+                    at = np.flatnonzero((dims == d) & (old != new))
                     if not len(at):
                         continue
                     e = np.array(batch.column(3).take(pa.array(at)).flatten(), np.float64).reshape(-1, d)
                     if new:
-                        mine = held.setdefault(d, [[], [], None])
+                        mine = held.setdefault(d, [[], []])
                         mine[0].append(e)
                         mine[1] += batch.column(4).take(pa.array(at)).to_pylist()
                     elif d in held:
-                        yield from answer(held[d], query[at], e)
-
-    def answer(mine: list, names: np.ndarray, q: np.ndarray):
-        if mine[2] is None:
-            mine[0] = np.concatenate(mine[0])
-            last = np.sqrt(np.maximum(top_norm**2 - (mine[0] ** 2).sum(1), 0))
-            mine[2] = Graph(np.concatenate((mine[0], last[:, None]), 1) / top_norm)
-        e, ids, graph = mine
-        size = np.sqrt((q**2).sum(1))[:, None]
-        for lo in range(0, len(q), BATCH):
-            part, out = q[lo : lo + BATCH], ([], [], [])
-            found, _ = graph.search(np.concatenate((part / size[lo : lo + BATCH], np.zeros((len(part), 1))), 1), beam)
-            for i, row in enumerate(found):
-                row = row[row >= 0]
-                s = e[row] @ part[i]
-                best = sorted(range(len(row)), key=lambda j: (-s[j], ids[row[j]][0]))[:k]
-                for c, v in zip(out, ([int(names[lo + i])] * len(best), [float(s[j]) for j in best], [ids[row[j]] for j in best])):
-                    c += v
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], ["query", "score", "ids"])
-
-    return met.mapInArrow(run, "query long, score double, ids array<long>")
-
-
-def nearest(df: DataFrame, every: int = 20, k: int = 20, beam: int = 96, shard_rows: int | None = None) -> DataFrame:
+                        if isinstance(held[d], list):
+                            vectors, ids = held.pop(d)
+                            held[d] = Shard(np.concatenate(vectors), ids, beam)
+                            del vectors, ids
+                        for lo in range(0, len(e), BATCH):
+                            yield answer(held[d], query[at][lo : lo + BATCH], e[lo : lo + BATCH])
+
+    def answer(shard: Shard, names: np.ndarray, q: np.ndarray):
+        out = ([], [], [])
+        for name, (rows, s) in zip(names.tolist(), shard.nearest(q, k)):
+            for c, v in zip(out, ([name] * len(rows), (-s).tolist(), [shard.ids[r] for r in rows])):
+                c += v
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], ["query", "far", "ids"])
+
+    return met.mapInArrow(tidy(run), "query long, far double, ids array<long>")
+
+
+def nearest(df: DataFrame, every: int = 20, k: int = 20, beam: int | None = None, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by every. Shards hold a 48th of the
-    vectors, within the bounds SHARD_ROWS, if no size is given."""
+    vectors, within the bounds SHARD_ROWS, if no size is given, and SHARD_BYTES at most."""
     vectors = usable(df)
     few = Window.partitionBy("e").orderBy("vec_id")
     heads = vectors.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= k + 1)
     nodes = written(heads.groupBy("e").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dims", F.size("e")), "nodes")
     asked = vectors.filter(F.col("vec_id") % every == 0)
     names = written(asked.groupBy("e").agg(F.min("vec_id").alias("query")).withColumn("dims", F.size("e")), "queries")
-    n, top = nodes.agg(F.count("*"), F.max(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))).first()
-    count = max(1, -(-n // (shard_rows or min(max(n // 48, SHARD_ROWS[0]), SHARD_ROWS[1]))))
-    answers = _shard_answers(nodes, names, count, float(top or 1.0) ** 0.5, k + 1, beam)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
+    n, values = nodes.agg(F.count("*"), F.coalesce(F.sum("dims"), F.lit(0))).first()
+    count = max(1, -(-n // (shard_rows or min(max(n // 48, SHARD_ROWS[0]), SHARD_ROWS[1]))), -(-8 * values // SHARD_BYTES))
+    answers = _shard_answers(nodes, names, count, k + 1, beam)
+    best = Window.partitionBy("query").orderBy("far", F.col("ids")[0])
     answers = answers.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
-    each = answers.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "ids")).alias("found"))
+    each = answers.groupBy("query").agg(F.collect_list(F.struct("far", "ids")).alias("found"))
     pairs = F.array_sort(F.flatten(F.transform("found", lambda x: F.transform(x["ids"], lambda i: F.struct(x["far"].alias("far"), i.alias("id"))))))
     each = each.select("query", F.slice(pairs, 1, k + 1).alias("found"))
     who = asked.join(names.select("e", "query"), "e").select("vec_id", "query")
