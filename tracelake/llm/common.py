@@ -8,6 +8,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +50,17 @@ def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     return clear.union(hit.join(drop.select(key), key, "left_anti").select(*rows.columns))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the smallest node reachable over links, for every node of a link.
 
     Each partition first keeps a spanning forest of its links; then large-star and small-star steps (joins and minima) go
-    on until no edge changes. Edges live in written tables; the driver sees two counts a round.
+    on until no edge changes, however many rounds that takes (about the square of the logarithm of the longest chain). Edges live
+    in written tables; the driver sees two counts a round.
     """
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     edges = written(pairs.filter("u <> v").mapInArrow(_forest, "u long, v long"), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -136,7 +138,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     runs = np.diff(np.append(starts, len(a)))
     at = np.arange(len(a) - starts[0], dtype=np.int64) - np.repeat(starts - starts[0], runs)
     body = _BYTE[a[starts[0] :]] * _AT[at & 0xFFFF]
-    return mix(np.add.reduceat(body, starts - starts[0])), counts
+    out = mix(np.add.reduceat(body, starts - starts[0]))
+    for i in np.flatnonzero(runs > len(_AT)).tolist():  # the weights end here: a plain hash of the word
+        word = joined[starts[i] : starts[i] + runs[i]].rstrip(b"\t\n\v\f\r ")
+        if len(word) > len(_AT):
+            out[i] = xxhash.xxh3_64_intdigest(word)
+    return out, counts
 
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:

@@ -4,20 +4,26 @@ Method. A document is the set of its 5-word shingles. Two sets with |A n B| >= t
 prefixes (the first |A| - ceil(t |A|) + 1 tokens in one global order, rare tokens first), so index lists over prefix
 tokens hold every pair that can link. Set relations then save most of the work on those lists:
 
-* index-level skipping: a list is sorted by set size and carries token positions; whole blocks are skipped where the size
-  or position bound forbids a link;
+* index-level skipping: a list is sorted by set size and token position and cut into blocks that know their sizes and the most
+  tokens any entry has left; whole blocks are skipped where the size or position bound forbids a link;
 * answer-level skipping: in a long list each set is first compared with one pivot only. Sets that link with the pivot are
   in one component, so pairs inside it need no comparison. For sets x and y with known overlaps with a pivot p,
   |x n y| <= min(|x n p|, |y n p|) + min(|x - p|, |y - p|), so y's answer "no" against x is derived and not computed.
   Pairs left after some pivot rounds are compared one by one: no link is lost, whatever the data.
 
-Scale. Tokens leave each task as packed blobs for their hash range (no row per token); a range answers which of them other
-sets share. A document of which fewer than ceil(t n) shingles are shared can't link and ends there; only the others' sets
-are kept. A token that many sets of one unit hold is reported once for the unit (hot passages), equal sets become one.
-Nothing but counts reaches the driver.
+A shingle is named by 64 bits of a hash of its words. Two different shingles of one pair of documents share a name with a
+probability of |A| |B| / 2^64 (under 1e-12 for two texts of 4,000 words); that is the only way in which a count can be wrong.
 
-Null or empty texts have the empty set and link with nothing; repeated rows are copies and link (if not empty); extra
-columns are ignored; an empty table gives an empty result. Documents with the same doc_id count as one reachable node.
+Scale. Tokens leave each task as packed blobs for their hash range (no row per token, seven bytes a token or fewer: the range
+gives the rest); a range answers which of them other sets share. Ranges hold about RANGE_BYTES of the table each, however large
+it is; a task that serves several takes them one after the other. A document of which fewer than ceil(t n) shingles are shared
+can't link and ends there; only the others' sets are kept. A token that many sets of one unit hold is reported once for the unit
+(hot passages), equal sets become one. Nothing but counts reaches the driver.
+
+Null or empty texts have the empty set and link with nothing; repeated rows are copies and link (if not empty); rows that share a
+doc_id are one document: it links wherever one of its rows does, and all of them get its component (n_shingles is the row's own);
+a row with a null doc_id is no document: it links nothing and gets the component of the documents that have its set, if there are
+any, else null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, parts_for, shingle_sets, text_bytes, tidy, written
+from .common import chunks, components, parts_for, plan_bytes, shingle_sets, text_bytes, tidy, written
 
 UNIT_TOKENS = 1_000_000
 HOT_IN_UNIT = 256
 SMALL_LIST = 12
 PIVOT_ROUNDS = 3
+SKIP_BLOCK = 64
+OPEN_PAIRS = 32
+#: Bytes of the table to a hash range (a byte of a compressed table is about a quarter of a token), ranges at least, tasks at most.
+RANGE_BYTES, LEAST_RANGES, MOST_TASKS = 8 << 20, 256, 1 << 17
 
 _SETS = "doc_id long, d1 long, d2 long, n long"
 _BLOB = "part int, unit long, kind int, docs binary, counts binary, tokens binary"
@@ -47,15 +57,30 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """The low six bytes of each token. With the number of its hash range, they name a shingle from here on."""
-    return np.ascontiguousarray(tokens, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _ranges(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash range of each token: equal cuts of the token space (2**31 ranges at most)."""
+    return ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _start(part: int, ranges: int) -> np.uint64:
+    """The least token of a range."""
+    return np.uint64(-(-part * (1 << 32) // ranges) << 32)
+
+
+def _width(ranges: int) -> int:
+    """Bytes that tell the tokens of one range apart."""
+    return -(-(64 - (ranges.bit_length() - 1)) // 8)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _pack(tokens: np.ndarray, part: int, ranges: int) -> bytes:
+    """Each token of a range as its distance from the range's start."""
+    return (tokens - _start(part, ranges)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _width(ranges)].tobytes()
+
+
+def _unpack(blob: bytes, part: int, ranges: int) -> np.ndarray:
+    out = np.zeros((len(blob) // _width(ranges), 8), np.uint8)
+    out[:, : _width(ranges)] = np.frombuffer(blob, np.uint8).reshape(-1, _width(ranges))
+    return out.view("<u8").ravel() + _start(part, ranges)
 
 
 def _need(n: np.ndarray, pct: int) -> np.ndarray:
@@ -86,7 +111,7 @@ def set_sizes(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.mapInArrow(tidy(run), _SETS)
 
 
-def _emit(docs: DataFrame, k: int, parts: int) -> DataFrame:
+def _emit(docs: DataFrame, k: int, ranges: int) -> DataFrame:
     """Kind 0: tokens for their hash range, by document of a unit; 1: a unit's table of documents; 2: tokens hot in a unit, by
     document, only to be handed on; 3: the distinct tokens that are hot in a unit."""
     kinds = [("part", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())]
@@ -114,20 +139,20 @@ def _emit(docs: DataFrame, k: int, parts: int) -> DataFrame:
             t, d = tokens[order], docs_[order]
             starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
             hot = np.repeat(np.diff(np.append(starts, len(t))) > HOT_IN_UNIT, np.diff(np.append(starts, len(t))))
-            rows = [[unit % parts], [unit], [1], [about.tobytes()], [b""], [b""]]
+            rows = [[unit % ranges], [unit], [1], [about.tobytes()], [b""], [b""]]
             for kind, which in ((0, ~hot), (2, hot)):
                 tt, dd = t[which], d[which]
-                part = ((tt >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cut)):
-                    x, y = tt[cut[p] : cut[p + 1]], dd[cut[p] : cut[p + 1]]
+                part = _ranges(tt, ranges)
+                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else [0]
+                for lo, hi in zip(cut[:-1], cut[1:]):
+                    p, x, y = int(part[lo]), tt[lo:hi], dd[lo:hi]
                     o = np.argsort(y, kind="stable")
                     x, y = x[o], y[o]
                     s = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
-                    for c, v in zip(rows, (int(p), unit, kind, y[s].tobytes(), np.diff(np.append(s, len(y))).astype(np.uint32).tobytes(), _pack(x))):
+                    for c, v in zip(rows, (p, unit, kind, y[s].tobytes(), np.diff(np.append(s, len(y))).astype(np.uint32).tobytes(), _pack(x, p, ranges))):
                         c.append(v)
                     if kind == 2:
-                        for c, v in zip(rows, (int(p), unit, 3, b"", b"", _pack(np.unique(x)))):
+                        for c, v in zip(rows, (p, unit, 3, b"", b"", _pack(np.unique(x), p, ranges))):
                             c.append(v)
             yield _batch(kinds, rows)
 
@@ -146,24 +171,15 @@ def _emit(docs: DataFrame, k: int, parts: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), _BLOB)
 
 
-def _shared(blobs: DataFrame) -> DataFrame:
-    """For each hash range, hand on to each unit those of its tokens that occur again, with how often (capped to 16 bits)."""
+def _shared(blobs: DataFrame, ranges: int) -> DataFrame:
+    """For each hash range, hand on to each unit those of its tokens that occur again, with how often (capped to 16 bits). Rows come
+    sorted by range; one range is held at a time."""
     kinds = [("part", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("often", pa.binary())]
+    width = _width(ranges)
 
-    def run(batches):
-        mine, hot = [], []
-        for batch in batches:
-            for part, unit, kind, docs, counts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == 0:
-                    mine.append((unit, docs, counts, tokens))
-                elif kind == 3:
-                    hot.append(_unpack(tokens))
-                else:
-                    yield _batch(kinds, [[part], [unit], [kind], [docs], [counts], [tokens], [np.full(len(tokens) // 6, 65535, np.uint16).tobytes()]])
-        if not mine:
-            return
+    def answers(part: int, mine: list, hot: list):
         hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-        every = np.sort(np.concatenate([_unpack(m[3]) for m in mine]))
+        every = np.sort(np.concatenate([_unpack(m[3], part, ranges) for m in mine]))
         starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         n = np.diff(np.append(starts, len(every)))
         again = n > 1
@@ -176,18 +192,35 @@ def _shared(blobs: DataFrame) -> DataFrame:
         if not len(values):
             return
         for unit, docs, counts, blob in mine:
-            tokens = _unpack(blob)
+            tokens = _unpack(blob, part, ranges)
             at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
             found = values[at] == tokens
             if found.any():
                 owner = np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(counts, np.uint32))[found]
                 s = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                yield _batch(kinds, [[part], [unit], [0], [owner[s].tobytes()], [np.diff(np.append(s, len(owner))).astype(np.uint32).tobytes()], [_pack(tokens[found])], [n[at[found]].astype(np.uint16).tobytes()]])
+                yield _batch(kinds, [[part], [unit], [0], [owner[s].tobytes()], [np.diff(np.append(s, len(owner))).astype(np.uint32).tobytes()], [_pack(tokens[found], part, ranges)], [n[at[found]].astype(np.uint16).tobytes()]])
+
+    def run(batches):
+        at, mine, hot = -1, [], []
+        for batch in batches:
+            for part, unit, kind, docs, counts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    if mine:
+                        yield from answers(at, mine, hot)
+                    at, mine, hot = part, [], []
+                if kind == 0:
+                    mine.append((unit, docs, counts, tokens))
+                elif kind == 3:
+                    hot.append(_unpack(tokens, part, ranges))
+                else:
+                    yield _batch(kinds, [[part], [unit], [kind], [docs], [counts], [tokens], [np.full(len(tokens) // width, 65535, np.uint16).tobytes()]])
+        if mine:
+            yield from answers(at, mine, hot)
 
     return blobs.mapInArrow(tidy(run), "part int, unit long, kind int, docs binary, counts binary, tokens binary, often binary")
 
 
-def _candidates(shared: DataFrame, pct: int) -> DataFrame:
+def _candidates(shared: DataFrame, pct: int, ranges: int) -> DataFrame:
     """Put each unit's documents together again: those with enough shared tokens, with these sorted and the open prefix."""
     kinds = [("sid", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("prefix", pa.binary()), ("tokens", pa.binary())]
 
@@ -200,7 +233,7 @@ def _candidates(shared: DataFrame, pct: int) -> DataFrame:
                     about[unit] = np.frombuffer(docs, np.int64).reshape(-1, 4)
                 else:
                     owner = np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(counts, np.uint32))
-                    got.setdefault(unit, []).append((owner, _unpack(tokens) | np.uint64(part << 48), np.frombuffer(often, np.uint16)))
+                    got.setdefault(unit, []).append((owner, _unpack(tokens, part, ranges), np.frombuffer(often, np.uint16)))
         for unit, parts in got.items():
             table = about[unit]
             owner, tokens, often = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -265,6 +298,26 @@ def _pairs_out(pairs: set) -> pa.RecordBatch:
     return _batch([("a", pa.int64()), ("b", pa.int64())], [x[:, 0], x[:, 1]])
 
 
+class _List:
+    """An index list by size and position, in blocks: which entries can link with one of them."""
+
+    def __init__(self, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, pct: int):
+        self.sid, self.n, self.pos, self.pct = sid, n, pos, pct
+        self.starts = np.arange(0, len(n), SKIP_BLOCK)
+        self.least, self.most = n[self.starts], n[np.minimum(self.starts + SKIP_BLOCK, len(n)) - 1]
+        self.room = np.maximum.reduceat(n - pos, self.starts)  # the most tokens an entry has from its position on
+
+    def near(self, i: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """The entries lo..hi that can link with entry i, i itself left out: blocks first, then the entries of the others."""
+        m, left, hi = int(self.n[i]), int(self.n[i] - self.pos[i]), len(self.n) if hi is None else hi
+        need = -(-(self.least + m) * self.pct // (100 + self.pct))
+        live = (self.most * 100 >= self.pct * m) & (self.least * self.pct <= 100 * m) & (np.minimum(self.room, left) >= need)
+        live &= (self.starts + SKIP_BLOCK > lo) & (self.starts < hi)
+        at = (self.starts[live][:, None] + np.arange(SKIP_BLOCK)).ravel()
+        at = at[(at >= lo) & (at < hi) & (at != i)]
+        return at[_possible(self.n[at], self.pos[at], m, int(self.pos[i]), self.pct)]
+
+
 def _first_pairs(entries: DataFrame, pct: int) -> DataFrame:
     """All possible pairs of a short list; of a long one, each set with a pivot of its block of sizes only."""
 
@@ -277,13 +330,12 @@ def _first_pairs(entries: DataFrame, pct: int) -> DataFrame:
                     ok = _possible(n[i + 1 :], pos[i + 1 :], int(n[i]), int(pos[i]), pct)
                     pairs.update((min(a, b), max(a, b)) for a, b in zip(sid[i + 1 :][ok].tolist(), [int(sid[i])] * int(ok.sum())))
             else:
-                i = 0
+                i, held = 0, _List(sid, n, pos, pct)
                 while i < len(x):  # the block that a pivot's size allows; later blocks have their own
                     end = int(np.searchsorted(n, n[i] * 100 // pct, "right"))
                     mid = i + int(np.argmin(sid[i:end]))
-                    ok = _possible(n[i:end], pos[i:end], int(n[mid]), int(pos[mid]), pct)
                     p = int(sid[mid])
-                    pairs.update((min(p, s), max(p, s)) for s in sid[i:end][ok].tolist() if s != p)
+                    pairs.update((min(p, s), max(p, s)) for s in sid[held.near(mid, i, end)].tolist())
                     i = max(end, i + 1)
             if len(pairs) > 500_000:
                 yield _pairs_out(pairs)
@@ -293,6 +345,36 @@ def _first_pairs(entries: DataFrame, pct: int) -> DataFrame:
     return entries.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def _open_pairs(x: np.ndarray, pct: int, last: bool):
+    """(entry, entries) of a long list that no known answer settles, each pair once. Unless it is the last round, a list with many
+    of them yields those of one entry only, a new pivot. Memory follows the list's length."""
+    _, sid, n, pos, comp, pivot, common = x.T
+    group, size = np.unique(comp, return_counts=True)
+    main = group[np.argmax(size)]
+    held = _List(sid, n, pos, pct)
+    kept, total, widest = [], 0, (-1, np.zeros(0, np.int64))
+    for i in np.argsort(sid, kind="stable").tolist():  # an order that sizes don't decide
+        if comp[i] == main:
+            continue
+        y = held.near(i)
+        y = y[(comp[y] != comp[i]) & ((comp[y] == main) | (y > i)) & (pivot[y] != sid[i]) & (sid[y] != pivot[i])]  # the last two: answered
+        if pivot[i] >= 0 and len(y):
+            most = np.minimum(common[y], common[i]) + np.minimum(n[y] - common[y], n[i] - common[i])
+            y = y[(pivot[y] != pivot[i]) | (most >= -(-(n[y] + n[i]) * pct // (100 + pct)))]
+        if not len(y):
+            continue
+        if last:
+            yield i, y
+            continue
+        total += len(y)
+        widest = max(widest, (i, y), key=lambda e: len(e[1]))
+        if total > OPEN_PAIRS * len(x):
+            yield widest
+            return
+        kept.append((i, y))
+    yield from kept
+
+
 def _next_pairs(entries: DataFrame, pct: int, last: bool) -> DataFrame:
     """Possible pairs of a long list that no known answer settles. Entries also carry the set's component, a pivot it was
     compared with, and their overlap. Unless it is the last round, a list with many open pairs gets one new pivot."""
@@ -300,33 +382,15 @@ def _next_pairs(entries: DataFrame, pct: int, last: bool) -> DataFrame:
     def run(batches):
         pairs: set[tuple[int, int]] = set()
         for x in _lists(batches, 7):
-            _, sid, n, pos, comp, pivot, common = x.T
-            if len(x) <= SMALL_LIST or (comp == comp[0]).all():
+            if len(x) <= SMALL_LIST or (x[:, 4] == x[0, 4]).all():
                 continue
-            group, size = np.unique(comp, return_counts=True)
-            main = group[np.argmax(size)]
-            open_ = []
-            for i in range(len(x)):
-                if comp[i] == main:
-                    continue
-                other = comp != comp[i]
-                other &= (comp == main) | (np.arange(len(x)) > i)
-                ok = other & _possible(n, pos, int(n[i]), int(pos[i]), pct)
-                ok &= (pivot != sid[i]) & (sid != pivot[i])  # answered
-                if pivot[i] >= 0:
-                    known = ok & (pivot == pivot[i])
-                    most = np.minimum(common, common[i]) + np.minimum(n - common, n[i] - common[i])
-                    ok &= ~(known & (most < -(-(n + n[i]) * pct // (100 + pct))))
-                if ok.any():
-                    open_.append((i, ok))
-            if not last and sum(int(ok.sum()) for _, ok in open_) > 32 * len(x):
-                open_ = [max(open_, key=lambda e: int(e[1].sum()))]
-            for i, ok in open_:
+            sid = x[:, 1]
+            for i, y in _open_pairs(x, pct, last):
                 s = int(sid[i])
-                pairs.update((min(s, y), max(s, y)) for y in sid[ok].tolist())
-            if len(pairs) > 500_000:
-                yield _pairs_out(pairs)
-                pairs.clear()
+                pairs.update((min(s, t), max(s, t)) for t in sid[y].tolist())
+                if len(pairs) > 500_000:
+                    yield _pairs_out(pairs)
+                    pairs.clear()
         yield _pairs_out(pairs)
 
     return entries.mapInArrow(tidy(run), "a long, b long").distinct()
@@ -357,18 +421,20 @@ def link_components(docs: DataFrame, pct: int = 80, k: int = 5) -> tuple[DataFra
     """(sets, comps) for documents (doc_id, text): each document's set digest and size, and for the sets that link with a
     different one, their digest and component. pct: the Jaccard threshold in hundredths."""
     spark = docs.sparkSession
-    parts = parts_for(docs, 8 << 20)
+    wanted = max(8, -(-plan_bytes(docs) // RANGE_BYTES)) if plan_bytes(docs) < 1 << 55 else parts_for(docs)
+    parts = min(MOST_TASKS, wanted)
+    each = max(-(-wanted // parts), -(-LEAST_RANGES // parts))  # ranges to a task
+    ranges = parts * each
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # a byte of a compressed table is about a quarter of a token, so a range holds some 2 M tokens
-    blobs = _emit(docs.filter("doc_id is not null"), k, parts).repartitionById(parts, F.col("part"))
-    shared = _shared(blobs)
+    blobs = _emit(docs.filter("doc_id is not null"), k, ranges).repartitionById(parts, F.floor(F.col("part") / each).cast("int")).sortWithinPartitions("part")
+    shared = _shared(blobs, ranges)
     units = max(8, parts // 2)
-    cand = _candidates(shared.repartitionById(units, F.pmod(F.xxhash64("unit"), F.lit(units)).cast("int")), pct)
+    cand = _candidates(shared.repartitionById(units, F.pmod(F.xxhash64("unit"), F.lit(units)).cast("int")), pct, ranges)
     rest = [F.first(c).alias(c) for c in ("n", "alone", "prefix", "tokens")]  # equal for equal sets
     sets = written(cand.groupBy("d1", "d2").agg(F.min("sid").alias("sid"), *rest), "sets")
     few = max(8, min(parts, spark.sparkContext.defaultParallelism * 4))
     entries = written(_entries(sets), "entries")
-    index = entries.repartition(few, "token").sortWithinPartitions("token", "n", "sid")
+    index = entries.repartition(few, "token").sortWithinPartitions("token", "n", "pos", "sid")
     answers = written(_overlaps(_first_pairs(index, pct), sets, pct), "answers")
     for turn in range(PIVOT_ROUNDS):
         comps = written(components(answers.filter("linked"), "a", "b"), "comps")
@@ -380,7 +446,7 @@ def link_components(docs: DataFrame, pct: int = 80, k: int = 5) -> tuple[DataFra
         about = about.select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("p.pivot", F.lit(-1)).alias("pivot"), F.coalesce("p.common", F.lit(0)).alias("common"))
         open_ = entries.join(long_, "token").join(about, "sid").select("token", "sid", "n", "pos", "comp", "pivot", "common")
         mixed = open_.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("token")
-        open_ = open_.join(mixed, "token").repartition(few, "token").sortWithinPartitions("token", "n", "sid")
+        open_ = open_.join(mixed, "token").repartition(few, "token").sortWithinPartitions("token", "n", "pos", "sid")
         last = turn == PIVOT_ROUNDS - 1
         asked = written(_next_pairs(open_, pct, last), "asked")
         more = written(asked.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
@@ -404,5 +470,16 @@ def jaccard_components(docs: DataFrame, pct: int = 80, k: int = 5) -> DataFrame:
     same = sizes.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
     same = same.join(found, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("comp", "least").alias("component"))
     same = written(same, "same")  # a table of its own: the join can then split the rows of a digest that very many share
-    out = sizes.join(same, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = sizes.join(same, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    # rows that share a doc_id but not their set join what their sets belong to
+    twice = sizes.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).filter("x <> y")
+    twice = written(twice.select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    bridges = out.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+    whole = written(components(bridges), "whole")
+    out = out.join(whole.select(F.col("node").alias("component"), "comp"), "component", "left").withColumn("component", F.coalesce("comp", "component"))
+    # the document's own rows, the empty ones among them, lie in its component
+    mine = whole.join(twice, whole["node"] == twice["doc_id"], "left_semi").select(F.col("node").alias("doc_id"), F.col("comp").alias("own"))
+    out = out.join(mine, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "component").alias("component_id"))
