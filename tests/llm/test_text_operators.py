@@ -179,6 +179,18 @@ def test_pii_frame_and_redaction(spark):
     assert pii.find_spans("1" * 200000)["ip"] == [] and pii.find_spans("a" * 200000 + "@")["email"] == []
 
 
+def test_many_spans_of_all_kinds_take_linear_time():
+    import time
+
+    text = "mail a@b.co and https://u:p@host/x token = a1b2c3d4 " * 20_000
+    began = time.process_time()
+    found = pii.find_spans(text)
+    assert time.process_time() - began < 10 and len(found["email"]) == 20_000 and len(found["account"]) == 20_000
+    taken = sorted(x for k in pii.BASE for x in found[k])
+    mine = sorted(found["url"] + found["account"])
+    assert all(not any(a < e and s < b for a, b in taken[max(0, i - 3) : i + 3]) for i, (s, e) in enumerate(mine[:100]))
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.select("doc_id", "lang").join(language_id.predict_languages(docs), "doc_id").collect()

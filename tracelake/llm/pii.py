@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -97,8 +99,10 @@ def find_spans(text: str, automaton=None) -> dict[str, list[tuple[int, int]]]:
             extra.append(("account", *m.span(1)))
     if extra:
         taken = sorted(x for k in BASE for x in found[k])
+        starts, ends = [x[0] for x in taken], list(accumulate((x[1] for x in taken), max))  # ends: the last of those so far
         for kind, s, e in extra:
-            if not any(a < e and s < b for a, b in taken) and not (found[kind] and s < found[kind][-1][1]):
+            before = bisect_left(starts, e)
+            if not (before and s < ends[before - 1]) and not (found[kind] and s < found[kind][-1][1]):
                 found[kind].append((s, e))
     return found
 
