@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..schemas import RUN_KEY
-from ..scratch import bucket_of, quantile_bounds
+from ..scratch import bucket_of, quantile_bounds, ranges_for
 
 CONFIG = "pipeline string, embedder string, reranker string"
 
@@ -89,9 +89,9 @@ def quota(rows: DataFrame, group: list[str], item: str, order: str, n: int) -> D
     return first_by_group(first, group, [order, item], n)
 
 
-def row_positions(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
+def row_positions(rows: DataFrame, order: str, parts: int | None = None) -> DataFrame:
     """rows with pos: the place of each in the whole order (from 0), by counts of ranges, not one sorted task. order is unique."""
-    bounds = quantile_bounds(rows, order, parts)
+    bounds = quantile_bounds(rows, order, parts or ranges_for(rows.count()))
     x = rows.withColumn("_b", bucket_of(F.col(order), bounds))
     counts = x.groupBy("_b").agg(F.count("*").alias("_n"))
     base = counts.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_HOMES: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,30 +30,71 @@ def parts_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 8) -> int:
     return max(least, min(1 << 17, -(-plan_bytes(df) // bytes_each)))
 
 
+def ranges_for(rows: int, each: int = 100_000) -> int:
+    """How many ranges a table of so many rows is cut into: some 100,000 rows each, 16,384 ranges at most (larger ones then)."""
+    return max(1, min(1 << 14, -(-rows // each)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session has none (tests on one machine)."""
+    """The folder named by spark.checkpoint.dir. Without it a temporary one, but only where driver and executors are one machine:
+    on a cluster each executor would write to its own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: scratch tables go there")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="tracelake"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return _LOCAL[0]
 
 
+def _home(spark: SparkSession) -> str:
+    """Where this application's scratch tables lie."""
+    return f"{shared_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _home(spark) not in _HOMES:
+        _HOMES.add(_home(spark))
+        atexit.register(clean, spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more: not the results of a query, nor what they are read from."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Results that were not yet collected or stored can't be read after it. It also
+    runs at the program's end, if the session is still open then."""
+    try:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, _home(spark))
+    except Exception:  # noqa: BLE001 - at the program's end the JVM may be gone
+        pass
 
 
 def bucket_of(col: Column, bounds: list) -> Column:
     """How many of the ascending bounds are <= col: a binary search inside one expression, so it stays in the JVM."""
     if not bounds:
         return F.lit(0)
-    b = F.lit(list(bounds))
+    kind = "bigint" if all(type(x) is int for x in bounds) else "double" if all(type(x) in (int, float) for x in bounds) else None
+    # one literal that the optimizer folds to an array, however many bounds there are
+    b = F.split(F.lit(",".join(map(str, bounds))), ",").cast(f"array<{kind}>") if kind else F.lit(list(bounds))
     steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
 
     def halve(s: Column, _: Column) -> Column:
@@ -63,10 +105,13 @@ def bucket_of(col: Column, bounds: list) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
 
 
-def quantile_bounds(df: DataFrame, col: str, parts: int) -> list:
-    """Ascending distinct cut points that split col into about equal parts; as many values as partitions reach the driver."""
+def quantile_bounds(df: DataFrame, col: str, parts: int, weight: Column | None = None) -> list:
+    """Ascending distinct cut points that split col into parts of about equal row counts (of equal sums of weight, a whole number
+    from 1 on, if one is given: a row then counts so many times); as many values as partitions reach the driver."""
     if parts < 2:
         return []
+    if weight is not None:
+        df = df.select(F.explode(F.array_repeat(F.col(col), weight.cast("int"))).alias(col))
     probes = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(col, F.lit(probes), F.lit(max(1000, 10 * parts))).alias("q")).first()["q"]
     return sorted(set(found or []))
@@ -75,7 +120,8 @@ def quantile_bounds(df: DataFrame, col: str, parts: int) -> list:
 def following(df: DataFrame, group: str, order: str, value: str, parts: int | None = None) -> DataFrame:
     """df with next: the value of the row that follows in its group. Groups are cut at quantiles of the order, so a group of any
     size is spread; the first value of each later piece closes the gap. order must be unique within a group."""
-    bounds = quantile_bounds(df, order, parts or parts_for(df))
+    df = written(df, "ordered")  # read several times below, and counted
+    bounds = quantile_bounds(df, order, parts or ranges_for(df.count()))
     x = df.withColumn("_b", bucket_of(F.col(order), bounds))
     inside = Window.partitionBy(group, "_b").orderBy(order)
     heads = x.groupBy(group, "_b").agg(F.min_by(value, order).alias("_first"))
@@ -85,11 +131,12 @@ def following(df: DataFrame, group: str, order: str, value: str, parts: int | No
     return x.withColumn("next", F.coalesce("_in", "_next")).drop("_b", "_c", "_g", "_in", "_next")
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, parts: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, group: list[str], value: str, parts: int | None = None) -> DataFrame:
     """df with rank: the average rank (from 1) of value in its group. Equal values share a bucket, buckets are counted first, so
     no task sees a whole group; the rows of one value are counted, not sorted."""
-    bounds = quantile_bounds(df, value, parts)
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_b", bucket_of(F.col(value), bounds))
+    counts = written(df.groupBy(*group, value).agg(F.count("*").alias("_n")), "counts")
+    bounds = quantile_bounds(counts, value, parts or ranges_for(counts.count()))
+    counts = counts.withColumn("_b", bucket_of(F.col(value), bounds))
     buckets = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = buckets.withColumn("_base", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
