@@ -15,6 +15,10 @@ from .test_text_operators import ids
 SF = "/root/testdata/sf0.001"
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def plain_mix(rows):
     by = defaultdict(list)
     for r in rows:
@@ -34,7 +38,7 @@ def plain_mix(rows):
     end = min(at(s, -(-len(v) // mixing.BLOCK_DOCS)) for s, v in by.items())
     out = []
     for s, v in by.items():
-        v.sort(key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
+        v.sort(key=lambda r: md5(f"{r['doc_id']}|{md5(r['text'] or '')}"))
         out += [r for k, r in enumerate(v) if at(s, k // mixing.BLOCK_DOCS) < end]
     return out
 
@@ -53,14 +57,37 @@ def test_pipeline_equals_plain_stages(spark):
     assert sum(r["length"] for r in got) == sum(len(ids(r["text"])) for r in kept)
 
 
-@pytest.mark.parametrize("bits", [4, 24])
+@pytest.mark.parametrize("bits", [4, 28])
 def test_rows_without_keys(spark, monkeypatch, bits):
-    monkeypatch.setattr(common, "MAP_BITS", bits)
-    rows = spark.createDataFrame([(i % 50 if i < 190 else None, str(i)) for i in range(200)], "k long, _bits string")
+    monkeypatch.setattr(common, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(common, "MOST_BITS", bits)
+    names = ["k", "_bits", "_hit", "_key", "_bucket", "_slot", "u0"]
+    rows = spark.createDataFrame([(i % 50 if i < 190 else None, str(i), True, i, None, "s", "u") for i in range(200)], "k long, a string, b boolean, c long, d long, e string, f string").toDF(*names)
     drop = spark.createDataFrame([(i,) for i in range(0, 80, 7)], "k long")
-    got = sorted(int(r["_bits"]) for r in common.without(rows.withColumnRenamed("_bits", "t"), drop, "k").withColumnRenamed("t", "_bits").collect())
+    out = common.without(rows, drop, "k")
+    assert out.columns == names
+    got = sorted(r["_key"] for r in out.collect() if r["_hit"] and r["_bucket"] is None and r["_bits"] == str(r["_key"]))
     assert got == [i for i in range(200) if i >= 190 or (i % 50) % 7]
-    assert common.without(rows.withColumnRenamed("_bits", "t"), drop.limit(0), "k").count() == 200
+    assert common.without(rows, drop.limit(0), "k").count() == 200
+
+
+#: Names that stages use inside or add, here columns of the user's.
+CLASHING = ["lang_pred", "score", "_text", "_bits", "_bucket", "_hit", "_key", "_slot", "_name", "in_target", "slot", "block", "position", "_r", "_h", "_b", "_tie", "_src", "share", "u0", "u5", "n", "k", "t", "component_id", "n_shingles", "count", "held_out"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    base = [(i, f"the words of document {i} and more of them {i * 7}", "en", f"s{i % 3}", 9) for i in range(40)] + [(50, None, None, None, None), (51, "12 34", None, "s0", 5), (3, "the words of document 3 and more of them 21", "en", "s0", 9)]
+    rows = [(*r, *(f"{c} of {j}" for c in CLASHING)) for j, r in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)).repartition(3)
+    x, alive = df, {r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        x = stage(spark, x, SF)
+        assert x.columns == df.columns and x.dtypes == df.dtypes
+        got = [tuple(r)[5:] for r in x.collect()]
+        assert len(set(got)) == len(got) and set(got) <= alive, name
+    assert len(got) == 40
+    pieces = corpus_pipeline.STAGES[-1][1](spark, x, SF).collect()
+    assert {r["doc_id"] for r in pieces} == set(range(40))
 
 
 def test_stages_keep_the_columns_and_odd_rows(spark):

@@ -23,7 +23,7 @@ def same(spark_df, sql, **tables):
     assert key(spark_df.collect()) == key(want)
 
 
-TURNS = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "bob", "x" * 50), (1, 3, "bob", "x" * 50), (2, None, "user", "a"), (2, 5, None, "b"), (None, 1, "user", "c"), (None, 2, "user", ""), (3, 0, "system", "only")]
+TURNS = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "bob", "x" * 50), (1, 3, "bob", "x" * 50), (2, None, "user", "a"), (2, None, "cy", "zz"), (2, None, "user", "q" * 9), (2, -3, "cy", "m"), (2, 5, None, "b"), (None, 1, "user", "c"), (None, 2, "user", ""), (3, 0, "system", "only")]
 
 
 def test_rotation(spark):
@@ -75,6 +75,27 @@ def test_mix_keeps_all_rows_and_stays_within_a_block(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows_and_missing_ids(spark):
+    rows = [(None, f"t{i}", "a") for i in range(60)] + [(3, "same", "a")] * 20 + [(3, "other", "b"), (None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix_sources(df, block_docs=2, slots=20).collect()
+    assert len(got) == len(rows) and len({x["position"] for x in got}) == len(rows)
+    assert sorted((str(x["doc_id"]), str(x["text"]), str(x["source"])) for x in got) == sorted(tuple(map(str, r)) for r in rows)
+
+
+def test_a_calendar_of_many_sources_is_earliest_deadline_first(spark):
+    r = random.Random(3)
+    names = sorted(f"s{i:04}" for i in range(1500))
+    share = [r.choice([1, 1, 2, 3, 9]) for _ in names]
+    shared = spark.createDataFrame([(n, a, sum(share)) for n, a in zip(names, share)], "source string, share int, period int").repartition(5)
+    got = sorted((x["t"], x["source"], x["k"]) for x in mixing.calendar(shared).collect())
+    want, seen = edf(share), {}
+    assert [x[1] for x in got] == [names[i] for i in want]
+    for _, s, k in got:
+        assert k == seen.get(s, 0)
+        seen[s] = k + 1
+
+
 def test_mix_equals_sql(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     same(mixing.mix_sources(docs, keep=["doc_id", "source"]), mixing.ORACLE, documents=docs.toPandas())

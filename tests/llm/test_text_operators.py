@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -93,6 +94,51 @@ def test_token_rows_round_trip(spark):
     assert token_output.packed_rows(df.limit(0)).count() == 0
 
 
+def test_written_rows_have_one_width(spark, tmp_path):
+    df = frame(spark)
+    token_output.write_packed(token_output.packed_rows(df, 64), str(tmp_path / "ids"))
+    back = spark.read.parquet(str(tmp_path / "ids")).collect()
+    assert {len(r["ids"]) for r in back} == {128} and {len(r["position_ids"]) for r in back} == {256}
+    assert sum(r["n_tokens"] for r in back) == sum(len(ids(t)) for t in TEXTS)
+    wide = token_output.packed_rows(df, 64, pad_id=70_000).collect()  # two bytes don't hold the pad id: four for every row
+    assert {len(r["ids"]) for r in wide} == {256}
+    assert all((np.frombuffer(r["ids"], "<u4")[r["n_tokens"] :] == 70_000).all() for r in wide)
+    odd = spark.createDataFrame([(None, "a b"), (1, "c"), (1, "c")], "doc_id long, text string").coalesce(1)
+    (row,) = token_output.packed_rows(odd, 64).collect()
+    assert sorted(row["doc_ids"], key=str) == [1, 1, None] and row["cu_seqlens"][-1] == sum(len(ids(t)) for t in ("a b", "c", "c"))
+
+
+def test_packing_of_repeated_rows_and_missing_ids(spark):
+    rows = [(None, "one two")] * 50 + [(4, "one two")] * 50 + [(9, None)]
+    got = packing.pack_along_curve(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 64).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 50 * len(ids("one two")) == sum(r["length"] for r in got if r["doc_id"] == 4)
+    keys = packing.token_table(spark.createDataFrame(rows[:50], "doc_id long, text string"), tokenizer_path()).select("key").distinct().count()
+    assert keys > 45  # copies are spread along the curve
+
+
+def test_neighbours_in_content_land_together(spark):
+    r = random.Random(2)
+    topics = [[f"{a}{b}" for b in r.choices("abcdefghijklmnopqrst", k=12)] for a in ("ka", "lo", "mi", "nu")]
+    docs = [(i, " ".join(r.choices(topics[i % 4], k=120)), i % 4) for i in range(400)]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string, topic int")
+    topic = {i: t for i, _, t in docs}
+    held = {}
+    for p in packing.pack_along_curve(df).collect():
+        held.setdefault(p["sequence_id"], []).extend([topic[p["doc_id"]]] * p["length"])
+    same = [max(map(s.count, set(s))) / len(s) for s in held.values()]
+    assert sum(same) / len(same) > 0.8  # a quarter if they were mixed
+
+
+def test_ranges_hold_about_equal_tokens(spark):
+    df = spark.createDataFrame([(i, "word " * (600 if i % 10 == 0 else 20) + str(i)) for i in range(6000)], "doc_id long, text string")
+    tokens = packing.token_table(df, tokenizer_path()).select("key", "n").cache()
+    mean = tokens.agg(F.avg("n")).first()[0]
+    bounds = packing.quantile_bounds(tokens, "key", 10, F.greatest(F.lit(1), F.round(F.col("n") * 2 / mean)).cast("int"))
+    sums = [r[1] for r in tokens.groupBy(packing.bucket_of(F.col("key"), bounds)).sum("n").collect()]
+    assert len(sums) == 10 and max(sums) < 1.5 * sum(sums) / 10
+
+
 def test_best_fit_decreasing_equals_plain_search():
     r = random.Random(5)
     lengths, cap = [r.randint(1, 100) for _ in range(600)], 100
@@ -109,8 +155,13 @@ def test_best_fit_decreasing_equals_plain_search():
     assert sorted(cap - sum(lengths[i] for i in b) for b in bins) == sorted(rooms)
 
 
+def loose(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain_fingerprints(rows):
-    rows = sorted((i, t or "") for i, t in rows)
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] if r[0] is not None else loose(r[1]), r[1]))
     out = set()
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
@@ -130,13 +181,33 @@ def test_fingerprints(spark, monkeypatch, parts):
     assert {tuple(r) for r in fp.fingerprints(frame(spark, ["abcdefgh"])).collect()} == plain_fingerprints([(0, "abcdefgh")])
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_fingerprints_of_repeated_and_missing_ids(spark, monkeypatch, parts):
+    monkeypatch.setattr(fp, "parts_for", lambda *a, **b: parts)
+    rows = [(i % 4 if i % 3 else None, f"{t or ''}{i % 5}") for i, t in enumerate(TEXTS * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in fp.fingerprints(df).collect()]
+    assert set(got) == plain_fingerprints(rows) and len(got) == len(rows)
+    only = [(None, "b"), (None, "a"), (None, "b")]
+    got = [tuple(r) for r in fp.fingerprints(spark.createDataFrame(only, "doc_id long, text string")).collect()]
+    assert set(got) == plain_fingerprints(only) and len(got) == 3
+
+
 def test_digest_clash_is_told_apart_by_bytes(spark):
-    rows = fp.fingerprints(frame(spark), hashed=lambda b: fp.digest(b"x"[: len(b) % 2])).collect()
-    by = {r["doc_id"]: r["fingerprint"] for r in rows}
-    canon = {i * 3: fp.canonical(t or "") for i, t in enumerate(TEXTS)}
-    for a in canon:
-        for b in canon:
-            assert (by[a] == by[b]) == (canon[a] == canon[b])
+    rows = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(6, "another"), (None, "another"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fp.fingerprints(df, hashed=lambda b: fp.digest(b"x"[: len(b) % 2])).collect()
+    assert len(got) == len(rows)
+    sha = {hashlib.sha256((t or "").encode()).hexdigest(): fp.canonical(t or "") for _, t in rows}
+    edited = {r[2] for r in got}
+    texts = {}
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] if r[0] is not None else loose(r[1]), r[1]))
+    for k, (i, t) in enumerate(ordered):
+        new = fp.edited(t, ordered[(k + 1) % len(ordered)][1])
+        texts[i, len(t), hashlib.sha256(new.encode()).hexdigest()] = fp.canonical(t), fp.canonical(new)
+    named = [(r["fingerprint"], texts[r["doc_id"], r["n_chars"], r["edited_sha256"]][0]) for r in got]
+    named += [(r["edited_fingerprint"], texts[r["doc_id"], r["n_chars"], r["edited_sha256"]][1]) for r in got]
+    assert sha and edited and all((a == b) == (x == y) for a, x in named for b, y in named)
 
 
 PIECES = ["bob", "@", "mail.ex-1.com", ".", " ", "1.2.3.4", "300.1.2.3", "5", "+", "(017) 555-7713", "-", "4532 0151 1283 0366", "4111-1111-1111-1111", "x", "+44 20 7946 0958", "0001.2.3.4.5", "a@b.c@d.e", "%", "\n", "é"]
@@ -219,15 +290,52 @@ def test_segments_average_over_the_whole_text(spark):
 
 
 def test_language_edge_rows(spark):
-    rows = [(1, None, "en", 0), (2, "12 + 3 ...", "en", 0), (3, "the and of", None, 0), (4, "the and of", "en", 1), (6, "der die und", "de", 1)]
+    rows = [(1, None, "en", 0), (2, "12 + 3 ...", "en", 0), (3, "the and of", None, 0), (4, "the and of", "en", 1), (6, "der die und", "de", 1), (7, "½ ² ①", "de", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict_languages(df).collect()}
-    assert got[1] == got[2] == ("und", 0.0) and got[3][0] in ("en", "de", "und")
+    assert got[1] == got[2] == got[7] == ("und", 0.0) and got[3][0] in ("en", "de", "und")
     assert language_id.predict_languages(df.limit(0)).count() == 0
     none = df.withColumn("lang", df.lang.substr(100, 1)).filter("false").union(df.selectExpr("doc_id", "text", "cast(null as string)", "score"))
     assert {r["lang_pred"] for r in language_id.predict_languages(none).collect()} == {"und"}
 
 
+def plain_ridge(train, tests):
+    """Kernel ridge regression by whole kernels: landmarks are all training texts, so the Nystroem span is the whole one."""
+    sets = lambda t: [set(c.tolist()) for c in language_id._codes(language_id._bytes(t))]
+    known = [set().union(*(sets(t)[n] for t, _ in train)) for n in range(3)]
+    inside = lambda t: [s & k for s, k in zip(sets(t), known)]
+    kernel = lambda a, b: sum(len(x & y) / (max(1, len(x)) * max(1, len(y))) ** 0.5 for x, y in zip(a, b)) / 3
+    texts, langs = [inside(t) for t, _ in train], sorted({x for _, x in train})
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    n = len(train)
+    w = np.array([n / (len(langs) * sum(y == x for _, y in train)) for _, x in train])
+    y = np.array([[x == c for c in langs] for _, x in train], float)
+    alpha = np.linalg.solve((k * w[:, None]).T @ k + language_id.RIDGE * n * (k + 1e-6 * np.eye(n)), (k * w[:, None]).T @ y)
+    return np.array([[kernel(inside(t), b) for b in texts] for t in tests]) @ alpha
+
+
+def test_model_equals_plain_kernel_ridge(spark):
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(90).collect() if r["lang"] and language_id.has_letter(r["text"])]
+    rows = [(r["doc_id"], r["text"][:500], r["lang"]) for r in docs]
+    model = language_id.train(spark.createDataFrame(rows[:60], "doc_id long, text string, lang string"))
+    tests = [t[: language_id.SEGMENT - 60] for _, t, _ in rows[60:]]
+    assert np.allclose(model.scores(tests), plain_ridge([(t, x) for _, t, x in rows[:60]], tests), atol=2e-3)
+
+
+def test_many_languages_and_many_ngrams(spark):
+    """200 languages, and more n-grams than 16 bits count: nothing is cut, and the driver holds matrices of the landmarks' size."""
+    r = random.Random(1)
+    rows = []
+    for c in range(200):
+        letters = [chr(0x4E00 + 40 * c + i) for i in range(40)]
+        rows += [(1000 * c + i, "".join(r.choices(letters, k=60)), f"x{c:03}") for i in range(8)]
+    model = language_id.train(spark.createDataFrame(rows[:], "doc_id long, text string, lang string").repartition(4))
+    assert len(model.languages) == 200 and len(model.known[2]) > 20_000
+    tests = [("".join(r.choices([chr(0x4E00 + 40 * c + i) for i in range(40)], k=60)), f"x{c:03}") for c in range(0, 200, 3)]
+    got = [model.languages[i] for i in model.scores([t for t, _ in tests]).argmax(1)]
+    assert sum(g == c for g, (_, c) in zip(got, tests)) / len(tests) > 0.95
+
+
 def test_language_sample_stays_bounded_when_a_doc_id_repeats(spark):
     rows = [(7, f"wort nummer {i % 3}", "de") for i in range(3000)] + [(100 + i, f"word number {i}", "en") for i in range(50)] + [(7, "word", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id", F.lit(11)))

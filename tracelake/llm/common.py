@@ -12,9 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import bucket_of, parts_for, plan_bytes, quantile_bounds, shared_dir, table, written
+from ..scratch import bucket_of, forget, parts_for, plan_bytes, quantile_bounds, shared_dir, table, written
 
-__all__ = ["bucket_of", "chunks", "components", "encoder", "parts_for", "plan_bytes", "quantile_bounds", "shared_dir", "shingle_sets", "table", "text_bytes", "tidy", "tokenizer_path", "without", "word_hashes", "written"]
+__all__ = ["bucket_of", "by_place", "chunks", "components", "encoder", "forget", "id_limit", "parts_for", "plan_bytes", "quantile_bounds", "shared_dir", "shingle_sets", "table", "text_bytes", "tidy", "tokenizer_path", "without", "word_hashes", "written"]
 
 
 def tidy(run):
@@ -32,22 +32,32 @@ def tidy(run):
     return wrapped
 
 
-#: A bit map of dropped keys holds this many bits: 2 MB at most, whatever the input.
-MAP_BITS = 24
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns named u0, u1, ... in order: whatever they were called, they clash with no name of an operator's own.
+    toDF(*names) gives the names back."""
+    return df.toDF(*(f"u{i}" for i in range(len(df.columns))))
+
+
+#: A bit map of dropped keys has some 16 bits a key, 2**LEAST_BITS at least and 2**MOST_BITS at most: 32 MB, whatever the input.
+LEAST_BITS, MOST_BITS = 16, 28
 
 
 def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
-    """rows whose key isn't in drop (column key), exactly. A bit map of fixed size over the dropped keys lets most other rows go by
-    without a shuffle; only rows whose bit is set meet the keys in a join."""
-    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << MAP_BITS)) + 1  # Spark's bit maps begin at 1
-    slots = drop.select(slot.alias("slot"))
-    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_bucket"), "left")
-    marked = marked.withColumn("_hit", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
-    clear, hit = (marked.filter(c).select(*rows.columns) for c in (~F.col("_hit"), F.col("_hit")))
-    return clear.union(hit.join(drop.select(key), key, "left_anti").select(*rows.columns))
+    """rows whose key isn't in drop (column key), exactly. A bit map of bounded size over the dropped keys lets most other rows go by
+    without a shuffle (with up to some 50 million keys; beyond that more and more rows take the other way); rows whose bit is set
+    meet the keys in a join. Any other columns are kept as they are, whatever their names."""
+    names, at = rows.columns, f"u{rows.columns.index(key)}"
+    drop = written(drop.select(F.col(key).cast("long").alias("_key")).distinct(), "dropped")
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * drop.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits)) + 1  # noqa: E731 - Spark's bit maps begin at 1
+    slots = drop.select(slot("_key").alias("_slot"))
+    maps = slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    place = F.bitmap_bit_position(slot(at))
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = by_place(rows).join(F.broadcast(maps), F.bitmap_bucket_number(slot(at)) == F.col("_bucket"), "left")
+    marked = marked.withColumn("_hit", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    clear, hit = (marked.filter(c).drop("_bucket", "_bits", "_hit") for c in (~F.col("_hit"), F.col("_hit")))
+    return clear.union(hit.join(drop, hit[at].cast("long") == drop["_key"], "left_anti")).toDF(*names)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -68,7 +78,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every edge points from the larger node to a smaller one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        forget(last)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now == before:
             break
@@ -192,6 +203,7 @@ def chunks(items: list[bytes], size: int = 1 << 19):
 # --- tokenizers --------------------------------------------------------------------------------------------------------
 
 _ENC: dict[str, object] = {}
+_LIMIT: dict[str, int] = {}
 
 
 def encoder(path: str):
@@ -205,6 +217,12 @@ def encoder(path: str):
     return _ENC[path]
 
 
+def id_limit(path: str) -> int:
+    """One more than the largest id of the tokenizer at path."""
+    encoder(path)
+    return _LIMIT[path]
+
+
 #: The split pattern of this family of byte-level tokenizers.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -214,6 +232,9 @@ def _encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    known = spec["model"]["vocab"]
+    ids = known.values() if isinstance(known, dict) else range(len(known))
+    _LIMIT[path] = 1 + max([*ids, *(t["id"] for t in spec.get("added_tokens", []))], default=0)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     plain = model.get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
     if plain:

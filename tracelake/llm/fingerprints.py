@@ -2,7 +2,7 @@
 
 Method. A text is normalised (Unicode NFKC, case folding, runs of white space as one space, trimmed) and hashed with XXH3 to
 128 bits. Rows with equal digests form a bucket; inside a bucket the canonical bytes themselves are compared, and should two
-differ, the later ones in byte order get a suffix: equal fingerprints mean equal canonical texts. The likeness of two
+differ, those after the first by SHA-256 get a suffix: equal fingerprints mean equal canonical texts. The likeness of two
 fingerprints is 1 if their canonical bytes are equal, else 0.
 
 Scale. One range shuffle by doc_id brings each document beside its successor; a range also gets the first document of the
@@ -10,8 +10,9 @@ next one, found from the ids alone. Buckets are checked on the canonical texts o
 size (2 MB at most) lets through their rows, and an aggregate by (digest, bytes) folds copies on the map side, so a group of a
 third of all rows costs one row a task.
 
-A null text is empty; repeated rows have equal fingerprints; rows of one doc_id are ordered by text; null doc_ids come last;
-extra columns are ignored; an empty table gives an empty result, and a single document is its own successor.
+A null text is empty; repeated rows have equal fingerprints and are each other's successors; rows of one doc_id are ordered by
+text; null doc_ids come last, in order of a hash of their text (so they are spread over ranges of their own), then the text; extra
+columns are ignored; an empty table gives an empty result, and a single document is its own successor.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, parts_for, quantile_bounds, written
+from .common import bucket_of, parts_for, quantile_bounds, tidy, written
 
 MAP_BITS = 24
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -47,15 +48,17 @@ def edited(text: str, following: str) -> str:
 
 def _with_successors(docs: DataFrame, parts: int) -> DataFrame:
     """Rows in ranges of doc_id, each range ended by the row that follows it (after the last: the first); extra marks that."""
-    top = (1 << 63) - 1
-    docs = docs.withColumn("at", F.coalesce("doc_id", F.lit(top)))
-    bounds = quantile_bounds(docs.select("at"), "at", parts)
-    docs = docs.withColumn("range", bucket_of(F.col("at"), bounds))
+    loose = F.col("doc_id").isNull()
+    some = not docs.filter(loose).isEmpty()  # texts are read for their hash only if some rows need it
+    docs = docs.withColumn("at", F.coalesce("doc_id", F.xxhash64("text")) if some else F.col("doc_id"))
+    numbered = quantile_bounds(docs.filter(~loose).select("at"), "at", parts)
+    others = quantile_bounds(docs.filter(loose).select("at"), "at", parts) if some else []
+    docs = docs.withColumn("range", F.when(loose, bucket_of(F.col("at"), others) + len(numbered) + 1).otherwise(bucket_of(F.col("at"), numbered)))
     heads = {r["range"]: r["first"] for r in docs.groupBy("range").agg(F.min("at").alias("first")).collect()}  # one a range
     held = sorted(heads)
     before = {r: held[i - 1] for i, r in enumerate(held)}
-    n = len(bounds) + 1
-    head, prev = F.lit([heads.get(r, top) for r in range(n)]), F.lit([before.get(r, 0) for r in range(n)])
+    n = len(numbered) + len(others) + 2
+    head, prev = F.lit([heads.get(r, 0) for r in range(n)]), F.lit([before.get(r, 0) for r in range(n)])
     here = F.struct(F.col("range").alias("to"), F.lit(0).alias("extra"))
     there = F.struct(F.get(prev, F.col("range")).alias("to"), F.lit(1).alias("extra"))
     rows = docs.withColumn("go", F.explode(F.when(F.get(head, F.col("range")) == F.col("at"), F.array(here, there)).otherwise(F.array(here))))
@@ -100,7 +103,7 @@ def neighbour_fingerprints(docs: DataFrame, hashed=digest) -> DataFrame:
                 last, closed = this, bool(extra)
             yield rows()
 
-    return _with_successors(docs, parts).mapInArrow(run, RESULT)
+    return _with_successors(docs, parts).mapInArrow(tidy(run), RESULT)
 
 
 def _repeated(docs: DataFrame, found: DataFrame, hashed) -> DataFrame:
@@ -128,7 +131,7 @@ def _repeated(docs: DataFrame, found: DataFrame, hashed) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], ["doc_id", "name", "canon"])
 
-    return docs.mapInArrow(run, "doc_id long, name string, canon binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, name string, canon binary")
 
 
 def fingerprints(docs: DataFrame, hashed=digest) -> DataFrame:
@@ -141,8 +144,15 @@ def fingerprints(docs: DataFrame, hashed=digest) -> DataFrame:
     clash = written(clash, "clashes")
     if clash.isEmpty():
         return found
-    # different texts of one digest: number them, and name each row by its own bytes
-    labels = texts.join(clash, "name").select("doc_id", F.col("name").alias("fingerprint"), (F.array_position("order", F.sha2("canon", 256)) - 1).alias("k")).distinct()
-    named = F.when(F.coalesce("k", F.lit(0)) > 0, F.concat_ws("-", "fingerprint", "k")).otherwise(F.col("fingerprint"))
-    columns = [x.split()[0] for x in RESULT.split(", ")]
-    return found.join(labels, ["doc_id", "fingerprint"], "left").withColumn("fingerprint", named).select(columns)
+    # different texts share a digest (none does in practice): name each text by its own bytes, and run again
+    order = {r["name"]: r["order"] for r in clash.collect()}
+
+    def named(canon: bytes) -> str:
+        name = hashed(canon)
+        if name not in order:
+            return name
+        sha = hashlib.sha256(canon).hexdigest()
+        k = order[name].index(sha) if sha in order[name] else sha  # an edited text that no document has
+        return f"{name}-{k}" if k else name
+
+    return neighbour_fingerprints(docs, named)

@@ -4,12 +4,14 @@ Method. A document's vector (its token ids, hashed) is projected to a few dimens
 index of that point is its key. Documents are range-sorted by the key and laid end to end along the curve, cut every
 `capacity` tokens; so a sequence holds documents that are near each other, and only the last sequence of a range has room.
 
-Scale. Tokens are made once and written to the shared folder as packed ids; key quantiles come from the key column alone;
-one shuffle then moves the ids to their range. A key ends in bits of a hash of doc_id, so a group of equal documents, however
-large, is spread over as many ranges as its share of rows. A range streams: memory holds one Arrow batch.
-
-A null text is empty (it is its end token alone); repeated rows are packed once each; ties of the key are ordered by doc_id;
-extra columns are ignored; an empty table gives an empty result.
+Scale. Tokens are made once and written to the shared folder as packed ids; key quantiles come from the keys alone, each counted
+by its document's tokens, so ranges hold about equal tokens; one shuffle then moves the ids to their range. A key ends in bits of
+a hash of doc_id and the row's place in its task, so a group of equal documents, or of rows without a doc_id, however large, is
+spread over as many ranges as its share of tokens. A range streams: memory holds one Arrow batch.
+
+A null text is empty (it is its end token alone); a null doc_id stays null; repeated rows are packed once each (their pieces can't
+be told apart but by sequence and offset); ties of the key are ordered by doc_id; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """doc_id, key, n, ids: a document's ids with the end id (unsigned little-endian 32 bits), and its curve key."""
 
     def run(batches):
-        ids_of, matrix = encoder(path), _projection()
+        ids_of, matrix, task, row = encoder(path), _projection(), TaskContext.get().partitionId(), 0
         for batch in batches:
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
@@ -76,7 +78,8 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 hashed = (flat * np.uint32(2654435761)) >> np.uint32(20)
                 points = np.add.reduceat(matrix[hashed], at, axis=0) / np.array([len(x) for x in ids], np.float32)[:, None]
                 grid = np.clip((np.tanh(3 * points) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                tail = np.array([xxhash.xxh3_64_intdigest(str(d).encode()) & 0x3FFFFF for d in docs_[lo : lo + 256]], np.int64)
+                tail = np.array([xxhash.xxh3_64_intdigest(f"{d}:{task}:{row + i}".encode()) & 0x3FFFFF for i, d in enumerate(docs_[lo : lo + 256])], np.int64)
+                row += len(tail)
                 key = (hilbert_index(grid, BITS) << 22) | tail
                 yield pa.RecordBatch.from_arrays([pa.array(docs_[lo : lo + 256], pa.int64()), pa.array(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([_small(x) for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
 
@@ -97,7 +100,9 @@ def pack_along_curve(docs: DataFrame, capacity: int = 1024, path: str | None = N
     there; with_ids adds the ids themselves (binary, unsigned little-endian 32 bits)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = written(token_table(docs, path or tokenizer_path(), end_id), "tokens")
-    bounds = quantile_bounds(tokens, "key", parts_for(tokens, 16 << 20, least=1))
+    share = tokens.agg(F.avg("n")).first()[0] or 1.0
+    weight = F.greatest(F.lit(1), F.round(F.col("n") * 2 / share)).cast("int")  # in halves of the mean document
+    bounds = quantile_bounds(tokens, "key", parts_for(tokens, 16 << 20, least=1), weight)
     parts = len(bounds) + 1
     ranged = tokens.repartitionById(parts, bucket_of(F.col("key"), bounds)).sortWithinPartitions("key", "doc_id", "n")
 

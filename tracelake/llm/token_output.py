@@ -9,7 +9,7 @@ Scale. No shuffle: each task packs windows of a bounded number of tokens out of
 lost task is only run again; the room left over is that of the last sequences of a window. Sequence ids are made of the task,
 the window and the row.
 
-A null text is empty (its end id alone); repeated rows are packed once each; ties in length keep the input's order; extra
+A null text is empty (its end id alone); a null doc_id stays null in its segment; repeated rows are packed once each; ties in length keep the input's order; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, tokenizer_path
+from .common import encoder, id_limit, tidy, tokenizer_path
 
 WINDOW_TOKENS = 4_000_000
 ROWS = "sequence_id long, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
@@ -83,6 +83,7 @@ def packed_rows(docs: DataFrame, capacity: int = 2048, path: str | None = None,
 
     def run(batches):
         ids_of, task, window = encoder(path), TaskContext.get().partitionId(), 0
+        width = "<u2" if max(id_limit(path), end_id + 1, pad_id + 1) <= 1 << 16 else "<u4"  # one for the whole matrix
         pieces: list[tuple[int, int, np.ndarray]] = []
         held = 0
 
@@ -100,7 +101,7 @@ def packed_rows(docs: DataFrame, capacity: int = 2048, path: str | None = None,
                     pos = counting.copy()
                     pos[:total] -= np.repeat(ends[:-1], np.diff(ends)).astype("<u4")
                     pos[total:] = 0
-                    row = ((task << 40) | (window << 24) | k, total, [p[0] for p in got], [p[1] for p in got], ends.tolist(), _narrow(ids), pos.tobytes())
+                    row = ((task << 40) | (window << 24) | k, total, [p[0] for p in got], [p[1] for p in got], ends.tolist(), ids.astype(width).tobytes(), pos.tobytes())
                     for c, v in zip(out, row):
                         c.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -118,11 +119,7 @@ def packed_rows(docs: DataFrame, capacity: int = 2048, path: str | None = None,
                     window, held = window + 1, 0
         yield from flush()
 
-    return docs.mapInArrow(run, ROWS)
-
-
-def _narrow(ids: np.ndarray) -> bytes:
-    return ids.astype("<u2").tobytes() if int(ids.max()) < 65536 else ids.astype("<u4").tobytes()
+    return docs.mapInArrow(tidy(run), ROWS)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
