@@ -105,3 +105,11 @@ def test_stages_keep_the_columns_and_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(900001, "Γειά σου κόσμε, τι κάνεις σήμερα " * 5), (900002, "Привет мир " * 9), (900003, "你好世界今天怎么样" * 9), (900004, "qzxkvw wqxzkj zzqxwk vvkqxz " * 20), (900005, "½ ²")]
+    more = docs.union(spark.createDataFrame(odd, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string)"))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, more, SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if language_id.has_letter(r["text"])}

@@ -282,8 +282,9 @@ def test_segments_average_over_the_whole_text(spark):
     for lo in range(0, len(a), step):
         out = 0
         for n, (known, w) in enumerate(zip(m.known, m.weights), 1):
-            c = {c for c in language_id._codes(a[lo : lo + step + n - 1])[n - 1][:step].tolist()} & set(known.tolist())
-            out = out + w[np.searchsorted(known, sorted(c))].sum(0) / np.sqrt(max(1, len(c)))
+            codes = language_id._codes(a[lo : lo + step + n - 1])[n - 1][:step].tolist()
+            c = set(codes) & set(known.tolist())
+            out = out + w[np.searchsorted(known, sorted(c))].sum(0) / np.sqrt(max(1, len(c) + sum(x not in c for x in codes)))
         parts.append(out * min(step, len(a) - lo))
     assert np.allclose(whole[0], sum(parts) / len(a), atol=1e-4) and np.allclose(whole[0], whole[2])
     assert m.languages[int(whole[0].argmax())] == "de"
@@ -301,17 +302,18 @@ def test_language_edge_rows(spark):
 
 def plain_ridge(train, tests):
     """Kernel ridge regression by whole kernels: landmarks are all training texts, so the Nystroem span is the whole one."""
-    sets = lambda t: [set(c.tolist()) for c in language_id._codes(language_id._bytes(t))]
-    known = [set().union(*(sets(t)[n] for t, _ in train)) for n in range(3)]
-    inside = lambda t: [s & k for s, k in zip(sets(t), known)]
-    kernel = lambda a, b: sum(len(x & y) / (max(1, len(x)) * max(1, len(y))) ** 0.5 for x, y in zip(a, b)) / 3
-    texts, langs = [inside(t) for t, _ in train], sorted({x for _, x in train})
+    codes = lambda t: [c.tolist() for c in language_id._codes(language_id._bytes(t))]
+    known = [set().union(*(codes(t)[n] for t, _ in train)) for n in range(3)]
+    # the n-grams of a text by order, and its size: unknown ones count as often as they occur
+    sized = lambda t: [(set(c), len(set(c) & k) + sum(x not in k for x in c)) for c, k in zip(codes(t), known)]
+    kernel = lambda a, b: sum(len(x & y) / (m * n) ** 0.5 for (x, m), (y, n) in zip(a, b)) / 3
+    texts, langs = [sized(t) for t, _ in train], sorted({x for _, x in train})
     k = np.array([[kernel(a, b) for b in texts] for a in texts])
     n = len(train)
     w = np.array([n / (len(langs) * sum(y == x for _, y in train)) for _, x in train])
     y = np.array([[x == c for c in langs] for _, x in train], float)
     alpha = np.linalg.solve((k * w[:, None]).T @ k + language_id.RIDGE * n * (k + 1e-6 * np.eye(n)), (k * w[:, None]).T @ y)
-    return np.array([[kernel(inside(t), b) for b in texts] for t in tests]) @ alpha
+    return np.array([[kernel(sized(t), b) for b in texts] for t in tests]) @ alpha
 
 
 def test_model_equals_plain_kernel_ridge(spark):

@@ -2,7 +2,7 @@
 
 Method. A text is its set of byte n-grams (n = 1, 2, 3, letters lower-cased, other ASCII characters as spaces). The kernel of
 two texts blends, over n, the number of n-grams that both hold, normalised by their set sizes. Nystroem landmarks are training
-texts, and n-grams that no landmark holds take no part; one-versus-rest ridge regression is solved in the landmarks' span. As the
+texts (n-grams that no landmark holds count for a text's size only); one-versus-rest ridge regression is solved in the landmarks' span. As the
 kernel is an inner product of presence vectors, the landmark products fold into one matrix (n-grams by languages). A text is
 scored in segments of SEGMENT bytes, many segments in one matrix product, and the segments' outputs are averaged by length: a
 text in two languages goes to the longer one.
@@ -83,15 +83,17 @@ class Model:
         tables, total = self._lookup(), np.zeros((len(texts), len(self.languages)), np.float64)
         most = max(16, min(ROWS, (1 << 24) // (1 + max(map(len, self.known)))))
         present = [np.zeros((most, len(k) + 1), np.float32) for k in self.known]
+        unknown = [np.zeros(most, np.float32) for _ in self.known]  # n-grams of a segment that aren't known, with repeats
         owner, weight = np.zeros(most, np.int64), np.zeros(most)
         used = 0
 
         def flush() -> None:
             out = np.zeros((used, len(self.languages)), np.float32)
-            for p, w in zip(present, self.weights):
+            for p, u, w in zip(present, unknown, self.weights):
                 p[:, 0] = 0
-                out += (p[:used, 1:] @ w) / np.sqrt(np.maximum(p[:used].sum(1), 1))[:, None]
+                out += (p[:used, 1:] @ w) / np.sqrt(np.maximum(p[:used].sum(1) + u[:used], 1))[:, None]
                 p[:used] = 0
+                u[:used] = 0
             np.add.at(total, owner[:used], out * weight[:used, None])
 
         for i, text in enumerate(texts):
@@ -104,8 +106,10 @@ class Model:
                     flush()
                     used = 0
                 at = np.arange(n) // SEGMENT + used
-                for p, t, c in zip(present, tables, codes):
-                    p[at[: len(c[:n])], t[c[:n]]] = 1
+                for p, u, t, c in zip(present, unknown, tables, codes):
+                    column = t[c[:n]]
+                    p[at[: len(column)], column] = 1
+                    u += np.bincount(at[: len(column)][column == 0], minlength=most)
                 owner[used : used + rows] = i
                 weight[used : used + rows] = np.minimum(SEGMENT, n - SEGMENT * np.arange(rows)) / len(a)
                 used += rows
@@ -130,14 +134,15 @@ def _sample(rows: DataFrame, per_language: int) -> DataFrame | None:
 
 
 def _presence(sets: list[list[np.ndarray]], known: list[np.ndarray]) -> list[np.ndarray]:
-    """For each order the normalised presence vectors of texts over the known n-grams. sets: a text's n-grams by order."""
+    """For each order the presence vectors of texts over the known n-grams, normalised by all n-grams of the text. sets: a text's
+    n-grams by order."""
     out = []
     for n, codes in enumerate(known):
         x = np.zeros((len(sets), len(codes)), np.float32)
         for i, s in enumerate(sets):
             at = np.minimum(np.searchsorted(codes, s[n]), len(codes) - 1)
             x[i, at[codes[at] == s[n]]] = 1
-        out.append(x / np.sqrt(np.maximum(x.sum(1), 1))[:, None])
+        out.append(x / np.sqrt([max(len(s[n]), 1) for s in sets])[:, None].astype(np.float32))
     return out
 
 
