@@ -49,7 +49,7 @@ OPEN_PAIRS = 32
 RANGE_BYTES, LEAST_RANGES, MOST_TASKS = 8 << 20, 256, 1 << 17
 
 _SETS = "doc_id long, d1 long, d2 long, n long"
-_BLOB = "part int, unit long, kind int, docs binary, counts binary, tokens binary"
+_BLOB = "part int, unit long, kind int, docs binary, tokens binary"
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -83,6 +83,17 @@ def _unpack(blob: bytes, part: int, ranges: int) -> np.ndarray:
     return out.view("<u8").ravel() + _start(part, ranges)
 
 
+def _steps(docs: np.ndarray) -> bytes:
+    """Ascending numbers as steps, after a byte that says how wide these are."""
+    steps = np.diff(docs.astype(np.int64), prepend=0)
+    width = 1 if steps.max() < 1 << 8 else 2 if steps.max() < 1 << 16 else 4
+    return bytes([width]) + steps.astype(f"<u{width}").tobytes()
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", offset=1), dtype=np.int64)
+
+
 def _need(n: np.ndarray, pct: int) -> np.ndarray:
     """The least overlap with any set that a set of n tokens needs: ceil(pct n / 100)."""
     return -(-np.asarray(n, np.int64) * pct // 100)
@@ -114,7 +125,7 @@ def set_sizes(docs: DataFrame, k: int = 5) -> DataFrame:
 def _emit(docs: DataFrame, k: int, ranges: int) -> DataFrame:
     """Kind 0: tokens for their hash range, by document of a unit; 1: a unit's table of documents; 2: tokens hot in a unit, by
     document, only to be handed on; 3: the distinct tokens that are hot in a unit."""
-    kinds = [("part", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())]
+    kinds = [("part", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("tokens", pa.binary())]
 
     def run(batches):
         pid, seq = TaskContext.get().partitionId(), 0
@@ -139,7 +150,7 @@ def _emit(docs: DataFrame, k: int, ranges: int) -> DataFrame:
             t, d = tokens[order], docs_[order]
             starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
             hot = np.repeat(np.diff(np.append(starts, len(t))) > HOT_IN_UNIT, np.diff(np.append(starts, len(t))))
-            rows = [[unit % ranges], [unit], [1], [about.tobytes()], [b""], [b""]]
+            rows = [[unit % ranges], [unit], [1], [about.tobytes()], [b""]]
             for kind, which in ((0, ~hot), (2, hot)):
                 tt, dd = t[which], d[which]
                 part = _ranges(tt, ranges)
@@ -148,11 +159,10 @@ def _emit(docs: DataFrame, k: int, ranges: int) -> DataFrame:
                     p, x, y = int(part[lo]), tt[lo:hi], dd[lo:hi]
                     o = np.argsort(y, kind="stable")
                     x, y = x[o], y[o]
-                    s = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
-                    for c, v in zip(rows, (p, unit, kind, y[s].tobytes(), np.diff(np.append(s, len(y))).astype(np.uint32).tobytes(), _pack(x, p, ranges))):
+                    for c, v in zip(rows, (p, unit, kind, _steps(y), _pack(x, p, ranges))):
                         c.append(v)
                     if kind == 2:
-                        for c, v in zip(rows, (p, unit, 3, b"", b"", _pack(np.unique(x), p, ranges))):
+                        for c, v in zip(rows, (p, unit, 3, b"", _pack(np.unique(x), p, ranges))):
                             c.append(v)
             yield _batch(kinds, rows)
 
@@ -174,12 +184,12 @@ def _emit(docs: DataFrame, k: int, ranges: int) -> DataFrame:
 def _shared(blobs: DataFrame, ranges: int) -> DataFrame:
     """For each hash range, hand on to each unit those of its tokens that occur again, with how often (capped to 16 bits). Rows come
     sorted by range; one range is held at a time."""
-    kinds = [("part", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("often", pa.binary())]
+    kinds = [("part", pa.int32()), ("unit", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("tokens", pa.binary()), ("often", pa.binary())]
     width = _width(ranges)
 
     def answers(part: int, mine: list, hot: list):
         hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-        every = np.sort(np.concatenate([_unpack(m[3], part, ranges) for m in mine]))
+        every = np.sort(np.concatenate([_unpack(m[2], part, ranges) for m in mine]))
         starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         n = np.diff(np.append(starts, len(every)))
         again = n > 1
@@ -191,33 +201,31 @@ def _shared(blobs: DataFrame, ranges: int) -> DataFrame:
         del every, starts
         if not len(values):
             return
-        for unit, docs, counts, blob in mine:
+        for unit, docs, blob in mine:
             tokens = _unpack(blob, part, ranges)
             at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
             found = values[at] == tokens
             if found.any():
-                owner = np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(counts, np.uint32))[found]
-                s = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                yield _batch(kinds, [[part], [unit], [0], [owner[s].tobytes()], [np.diff(np.append(s, len(owner))).astype(np.uint32).tobytes()], [_pack(tokens[found], part, ranges)], [n[at[found]].astype(np.uint16).tobytes()]])
+                yield _batch(kinds, [[part], [unit], [0], [_steps(_numbers(docs)[found])], [_pack(tokens[found], part, ranges)], [n[at[found]].astype(np.uint16).tobytes()]])
 
     def run(batches):
         at, mine, hot = -1, [], []
         for batch in batches:
-            for part, unit, kind, docs, counts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, unit, kind, docs, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if part != at:
                     if mine:
                         yield from answers(at, mine, hot)
                     at, mine, hot = part, [], []
                 if kind == 0:
-                    mine.append((unit, docs, counts, tokens))
+                    mine.append((unit, docs, tokens))
                 elif kind == 3:
                     hot.append(_unpack(tokens, part, ranges))
                 else:
-                    yield _batch(kinds, [[part], [unit], [kind], [docs], [counts], [tokens], [np.full(len(tokens) // width, 65535, np.uint16).tobytes()]])
+                    yield _batch(kinds, [[part], [unit], [kind], [docs], [tokens], [np.full(len(tokens) // width, 65535, np.uint16).tobytes()]])
         if mine:
             yield from answers(at, mine, hot)
 
-    return blobs.mapInArrow(tidy(run), "part int, unit long, kind int, docs binary, counts binary, tokens binary, often binary")
+    return blobs.mapInArrow(tidy(run), "part int, unit long, kind int, docs binary, tokens binary, often binary")
 
 
 def _candidates(shared: DataFrame, pct: int, ranges: int) -> DataFrame:
@@ -228,12 +236,11 @@ def _candidates(shared: DataFrame, pct: int, ranges: int) -> DataFrame:
         about: dict[int, np.ndarray] = {}
         got: dict[int, list] = {}
         for batch in batches:
-            for part, unit, kind, docs, counts, tokens, often in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, unit, kind, docs, tokens, often in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 1:
                     about[unit] = np.frombuffer(docs, np.int64).reshape(-1, 4)
                 else:
-                    owner = np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(counts, np.uint32))
-                    got.setdefault(unit, []).append((owner, _unpack(tokens, part, ranges), np.frombuffer(often, np.uint16)))
+                    got.setdefault(unit, []).append((_numbers(docs), _unpack(tokens, part, ranges), np.frombuffer(often, np.uint16)))
         for unit, parts in got.items():
             table = about[unit]
             owner, tokens, often = (np.concatenate([p[i] for p in parts]) for i in range(3))
