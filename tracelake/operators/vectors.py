@@ -1,7 +1,11 @@
 """Exact filtered top-k by cosine, as block products.
 
-Queries are a stated set and the corpus is dealt to blocks of bounded size; every block meets the queries in one cogrouped
-matrix product and keeps k rows a query, and a window over blocks times k rows is left. Nothing is broadcast.
+Queries are a stated set and the corpus is dealt to blocks of bounded rows and bytes. A task holds one block of the corpus; the
+queries stream past it in batches, each meets the block in a matrix product, and k rows a query and block go on to a window.
+Nothing is broadcast or grouped in memory but the block.
+
+Vectors that are null, empty, zero or hold null or non-finite components take no part, as query or corpus row; only vectors of
+equal length are compared.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 32768
+BLOCK_ROWS, BLOCK_BYTES = 32768, 64 << 20
 
 
 def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
@@ -21,41 +25,66 @@ def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
+def usable(vector: str = "vector") -> Column:
+    v = F.col(vector).cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(1)[:, None]  # so that no square over- or underflows
+    return rows / np.sqrt((rows * rows).sum(1))[:, None]
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, match: bool = False, skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, id, distance (1 - cosine, 6 places), rank. queries: query_id, vector; corpus: id, vector; with match, both have
-    `tag` and only rows of the query's tag are searched. Ties go to the smaller id; null or zero vectors take no part."""
-    blocks = max(1, -(-corpus.count() // block_rows))
+    `tag` and only rows of the query's tag are searched (null and '' being one tag). Ties go to the smaller id."""
     tag = F.coalesce(F.col("tag").cast("string"), F.lit("")) if match else F.lit("")
-    ok = F.col("vector").isNotNull() & F.exists("vector", lambda v: v != 0)
-    c = corpus.filter(ok).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), tag.alias("tag"))
-    q = queries.filter(ok).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), tag.alias("tag"))
+    v = F.col("vector").cast("array<double>").alias("vector")
+    c = corpus.filter(usable()).select(F.col("id").cast("long").alias("name"), v, tag.alias("tag"))
+    n, values = c.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_rows), -(-8 * values // BLOCK_BYTES))
+    c = c.select(F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "name", "vector", "tag", F.size("vector").alias("dims"))
+    q = queries.filter(usable()).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), F.col("query_id").cast("long").alias("name"), v, tag.alias("tag"))
+    met = c.union(q.withColumn("dims", F.size("vector"))).repartitionById(blocks, F.col("block")).sortWithinPartitions("asks", "dims")
 
-    def matrix(t: pa.Table) -> np.ndarray:
-        v = t.column("vector").combine_chunks()
-        m = np.array(v.flatten()).reshape(len(v), -1)
-        return m / np.sqrt((m * m).sum(1))[:, None]
+    def run(batches):
+        held: dict[int, list] = {}  # by length: unit vectors, ids, tags; lists while the block comes in, then arrays
+        for batch in batches:
+            asks, name, dims = (np.array(batch.column(i)) for i in (1, 2, 5))
+            for d in np.unique(dims).tolist():
+                for asked in (0, 1):
+                    at = np.flatnonzero((dims == d) & (asks == asked))
+                    if not len(at) or asked and d not in held:
+                        continue
+                    rows = batch.take(pa.array(at))
+                    x = _unit(np.array(rows.column(3).flatten(), np.float64).reshape(-1, d))
+                    if not asked:
+                        for part, new in zip(held.setdefault(d, [[], [], []]), (x, name[at], np.array(rows.column(4).to_pylist(), object))):
+                            part.append(new)
+                        continue
+                    if isinstance(held[d][0], list):
+                        held[d] = [np.concatenate(p) for p in held[d]]
+                    tags = rows.column(4).to_pylist()
+                    for lo in range(0, len(x), 256):
+                        yield nearest(held[d], x[lo : lo + 256], name[at][lo : lo + 256].tolist(), tags[lo : lo + 256])
 
-    def run(asked, held):
+    def nearest(block, x, names, tags):
+        vectors, ids, have = block
         out: list[list] = [[], [], []]
-        if asked.num_rows and held.num_rows:
-            a, b = matrix(asked), matrix(held)
-            ids, names = np.array(held.column("id")), np.array(asked.column("query_id"))
-            tags, want = np.array(held.column("tag").to_pylist()), asked.column("tag").to_pylist()
-            for lo in range(0, len(a), 256):
-                far = np.round(1 - a[lo : lo + 256] @ b.T, 6) + 0.0
-                for i, row in enumerate(far):
-                    if match:
-                        row = np.where(tags == want[lo + i], row, np.inf)
-                    if skip_self:
-                        row = np.where(ids == names[lo + i], np.inf, row)
-                    cut = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-                    at = np.flatnonzero((row <= cut) & np.isfinite(row))
-                    at = at[np.lexsort((ids[at], row[at]))][:k]
-                    for c_, v in zip(out, ([int(names[lo + i])] * len(at), ids[at].tolist(), row[at].tolist())):
-                        c_ += v
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
-
-    found = q.groupBy("block").cogroup(c.groupBy("block")).applyInArrow(run, "query_id long, id long, distance double")
+        for row, name, tag in zip(np.round(1 - x @ vectors.T, 6) + 0.0, names, tags):
+            if match:
+                row = np.where(have == tag, row, np.inf)
+            if skip_self:
+                row = np.where(ids == name, np.inf, row)
+            cut = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+            at = np.flatnonzero((row <= cut) & np.isfinite(row))
+            at = at[np.lexsort((ids[at], row[at]))][:k]
+            for c_, new in zip(out, ([name] * len(at), ids[at].tolist(), row[at].tolist())):
+                c_ += new
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "id", "distance"])
+
+    found = met.mapInArrow(run, "query_id long, id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
