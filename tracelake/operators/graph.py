@@ -77,9 +77,10 @@ def gold_records(path: DataFrame, node: DataFrame) -> DataFrame:
     return p.select("source_id", "target_id", F.col("hops").alias("hop_count"), F.col("rels").alias("rel_path"), F.col("nodes").alias("expected_ids"), "source_module", "target_module", (F.col("source_module") != F.col("target_module")).alias("is_cross_module"))
 
 
-def walk_ppr(seeds: DataFrame, edges: DataFrame, types=WALK_TYPES, cap: int = 30, alpha: float = 0.15, rounds: int = 20, cut: int = 5) -> DataFrame:
+def walk_ppr(seeds: DataFrame, edges: DataFrame, types=WALK_TYPES, cap: int = 30, alpha: float = 0.15, rounds: int = 20, cut: int = 10) -> DataFrame:
     """query_id, id, hops (1), score, rank by personalized PageRank mass from a query's seeds, seeds left out. Seeds that no edge
-    of any type touches are dropped; a node without an allowed neighbour keeps its mass. Lineage is cut every few rounds."""
+    of any type touches are dropped; a node without an allowed neighbour keeps its mass. Lineage is cut every few rounds; between
+    two cuts the exchange (or broadcast) of the graph's moves is one that all rounds share."""
     near = neighbours(edges, types)
     degree = near.groupBy("a").agg(F.count("*").alias("d"))
     touched = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()

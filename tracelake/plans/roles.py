@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, vectors
-from ..scratch import table
+from ..scratch import table, written
 from ..schemas import LINK_TYPES, WALK_TYPES
 
 EVENTS = ("click", "error", "purchase", "signup", "view")
@@ -35,7 +35,8 @@ def typed_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.resolved(corpus.known_links(typed_links(spark, sf)), chunks(spark, sf))
+    """Written once: walks read them several times, and their ends take a scan of all texts to check."""
+    return written(corpus.resolved(corpus.known_links(typed_links(spark, sf)), chunks(spark, sf)), "edges")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +49,8 @@ def vectors_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf: str, k: int = SEED_COUNT) -> DataFrame:
-    return vectors.top_k(questions(spark, sf), vectors_of(spark, sf), k).select("query_id", "id", "rank")
+    """Written once, as every branch of a context begins with them."""
+    return written(vectors.top_k(questions(spark, sf), vectors_of(spark, sf), k).select("query_id", "id", "rank"), "seeds")
 
 
 def ratings(spark: SparkSession, sf: str) -> DataFrame:
