@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ID_ANY, ids_in
 from ..scratch import written
+from . import retrieval
 
 MAX_ROUNDS, TOP = 3, 10
 
@@ -42,3 +43,20 @@ def after_last_call(messages: DataFrame, thread: str = "conv_id", pos: str = "tu
     """The messages of each thread after its last assistant message: what a tool round has added."""
     last = messages.filter(F.col(role) == "assistant").groupBy(thread).agg(F.max(pos).alias("_last"))
     return messages.join(last, thread).filter(F.col(pos) > F.col("_last")).drop("_last")
+
+
+def looked_up(states: DataFrame, chunk: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """States whose intent is id_lookup with the named ids that exist as their chunks, in the order named; with edges also their
+    one-hop neighbours, after them by id. Their verdict is sufficient, whether or not ids were found; other states stay.
+    chunk: name (as written in a question), id."""
+    asked = states.filter("intent = 'id_lookup'").select("query_id", F.posexplode("extracted_ids").alias("pos", "name"))
+    mine = asked.join(chunk.select("name", "id"), "name").select("query_id", "id", "pos")
+    rows = mine.select("query_id", "id", F.lit(0).alias("hops"), "pos")
+    if edges is not None:
+        near = retrieval.graph_id_lookup(mine, edges, chunk.select("id")).filter("hops = 1")
+        rows = rows.union(near.select("query_id", "id", "hops", F.lit(0)))
+    each = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("hops", "pos", "id"))).alias("f"))  # a question names a few ids
+    x = states.join(each.select("query_id", F.array_distinct(F.col("f.id")).alias("_f")), "query_id", "left")
+    told = F.col("intent") == "id_lookup"
+    x = x.withColumn("chunks", F.when(told, F.coalesce("_f", "chunks")).otherwise(F.col("chunks")))
+    return x.withColumn("verdict", F.when(told, "sufficient").otherwise(F.col("verdict"))).drop("_f")

@@ -85,3 +85,17 @@ def spearman(rows: DataFrame, a: str, b: str, keys: list[str] | None = None) ->
     out = x.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("rho"), F.min("ra").alias("a1"), F.max("ra").alias("a2"), F.min("rb").alias("b1"), F.max("rb").alias("b2"))
     ok = (F.col("n") >= 3) & (F.col("a1") < F.col("a2")) & (F.col("b1") < F.col("b2"))
     return out.select(*[k for k in keys if k != "_all"], "n", F.when(ok, F.col("rho")).alias("spearman_rho"))
+
+
+def interaction(rows: DataFrame, keys: list[str], a: str, b: str, y: str) -> DataFrame:
+    """The interaction of two yes/no factors in a logistic model of y: log_odds, its error and z. With both factors and their product
+    the model is saturated, so its maximum is the difference of two log odds ratios of counts; null if a cell is empty."""
+    n = {(p, q, r): F.count_if((F.col(a) == p) & (F.col(b) == q) & (F.col(y) == r)).alias(f"n{p:d}{q:d}{r:d}") for p in (False, True) for q in (False, True) for r in (False, True)}
+    x = rows.groupBy(*keys).agg(*n.values())
+    c = lambda p, q, r: F.col(f"n{p:d}{q:d}{r:d}").cast("double")
+    odds = lambda p, q: F.log(c(p, q, 1) / c(p, q, 0))
+    cells = [c(p, q, r) for p in (0, 1) for q in (0, 1) for r in (0, 1)]
+    full = F.least(*cells) > 0
+    effect = (odds(1, 1) - odds(1, 0)) - (odds(0, 1) - odds(0, 0))
+    error = F.sqrt(sum((1 / v for v in cells[1:]), 1 / cells[0]))
+    return x.select(*keys, F.when(full, effect).alias("log_odds"), F.when(full, error).alias("error"), F.when(full, effect / error).alias("z"))

@@ -63,3 +63,20 @@ def chain_text(nodes: Column, rels: Column) -> Column:
     """A path as numbered lines for a prompt."""
     steps = F.transform(F.sequence(F.lit(1), F.size(rels)), lambda i: F.concat(F.lit("   --["), F.element_at(rels, i), F.lit("]--> Hop "), i.cast("string"), F.lit("  ["), F.element_at(nodes, i + 1).cast("string"), F.lit("]")))
     return F.concat_ws("\n", F.concat(F.lit("  Hop 0  ["), F.element_at(nodes, 1).cast("string"), F.lit("]")), F.array_join(steps, "\n"))
+
+
+#: How a question about a path is put to a writer, by the number of its hops.
+PHRASES = {
+    1: "Write one question that the link from %s to %s answers.\n%s",
+    2: "Write one question that takes both links between %s and %s to answer.\n%s",
+    3: "Write one question that only the whole chain from %s to %s answers; name neither end's text.\n%s",
+}
+
+
+def question_prompt(nodes: Column, rels: Column) -> Column:
+    """The request for a question about a path (longer ones as three hops): its ends, and the chain as text."""
+    ends = F.element_at(nodes, 1).cast("string"), F.element_at(nodes, -1).cast("string")
+    out = F
+    for hops, phrase in PHRASES.items():
+        out = out.when(F.least(F.size(rels), F.lit(max(PHRASES))) == hops, F.format_string(phrase, *ends, chain_text(nodes, rels)))
+    return out.otherwise(None)

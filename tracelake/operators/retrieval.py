@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import metrics
 from ..functions.text import CONTEXT_GAP, context_block
 from . import graph
 
@@ -72,3 +73,23 @@ def graph_lookup(asked: DataFrame, edges: DataFrame, chunk: DataFrame) -> DataFr
     told = each.select("query_id", "seed", F.concat_ws("\n", head, F.array_join("r.line", "\n")).alias("summary"))
     none = F.concat(F.lit("No traceability links found involving "), F.col("seed").cast("string"), F.lit("."))
     return asked.select("query_id", F.col("id").alias("seed")).distinct().join(told, ["query_id", "seed"], "left").withColumn("summary", F.coalesce("summary", none))
+
+
+def limited(hits: DataFrame, asked: str = "asked", most: int = 10) -> DataFrame:
+    """The hits a caller gets that asked for so many: as many, but no more than `most` and no fewer than one."""
+    return hits.filter(F.col("rank") <= F.greatest(F.lit(1), F.least(F.col(asked), F.lit(most))))
+
+
+def compare_contexts(first: DataFrame, second: DataFrame, gold: DataFrame, strata: DataFrame) -> DataFrame:
+    """stratum (null: all), n, and mean precision and recall of two contexts of the same questions against their gold ids, and the
+    mean Jaccard similarity of the two. Contexts and gold: query_id, id; strata: query_id, stratum. A question without gold or
+    context scores 0."""
+    ids = lambda df, name: df.groupBy("query_id").agg(F.collect_set("id").alias(name))  # noqa: E731 - a context is a few rows
+    x = strata.select("query_id", "stratum")
+    for df, name in ((first, "a"), (second, "b"), (gold, "g")):
+        x = x.join(ids(df, name), "query_id", "left")
+    none = F.array().cast(dict(x.dtypes)["a"])
+    a, b, g = (F.coalesce(c, none) for c in ("a", "b", "g"))
+    scores = {"precision_a": metrics.precision(a, g), "precision_b": metrics.precision(b, g), "recall_a": metrics.recall(a, g), "recall_b": metrics.recall(b, g), "jaccard": metrics.jaccard(a, b)}
+    x = x.select("stratum", *(v.alias(k) for k, v in scores.items()))
+    return x.rollup("stratum").agg(F.count("*").alias("n"), *(F.avg(k).alias(k) for k in scores))

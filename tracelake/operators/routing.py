@@ -61,3 +61,16 @@ def adaptive_compare(routes: DataFrame, scores: DataFrame, oracle: DataFrame, ke
     x = taken.join(oracle.select("query_id", "oracle_score", "base_score"), "query_id")
     r = x.rollup(*keys).agg(F.count("*").alias("n"), F.avg("score").alias("routed"), F.avg("base_score").alias("base"), F.avg("oracle_score").alias("oracle"))
     return r.withColumn("gap_closed", gap_closure(F.col("base"), F.col("routed"), F.col("oracle")))
+
+
+def adaptive_run(routed: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
+    """query_id, pipeline ('adaptive'), routed_to, rule, reason, ids: each routed question (query_id, pipeline, rule, reason) with the
+    context (query_id, id, pos) that the pipeline it was sent to found, in order; none for a pipeline without results."""
+    found = None
+    for name, rows in results.items():
+        part = rows.select("query_id", F.lit(name).alias("pipeline"), "pos", "id")
+        found = part if found is None else found.union(part)
+    mine = found.join(routed.select("query_id", "pipeline"), ["query_id", "pipeline"], "left_semi")  # only what was asked for is gathered
+    each = mine.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("c"))
+    x = routed.join(each, "query_id", "left")
+    return x.select("query_id", F.lit("adaptive").alias("pipeline"), F.col("pipeline").alias("routed_to"), "rule", "reason", F.coalesce(F.col("c.id"), F.array().cast("array<long>")).alias("ids"))

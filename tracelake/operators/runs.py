@@ -117,3 +117,22 @@ def merge_one_to_one(left: DataFrame, right: DataFrame, key: list[str]) -> DataF
         if not df.groupBy(*key).count().filter("count > 1").isEmpty():
             raise ValueError(f"the {side} table holds a key more than once: {key}")
     return left.join(right, key)
+
+
+def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, least, most, mean and (population) deviation of a value per group; nulls don't count."""
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+
+
+def variant(col: Column) -> tuple[Column, Column]:
+    """The pipeline and the variant of a composite name 'pipeline|variant'; without a bar the variant is null."""
+    return F.split_part(col, F.lit("|"), F.lit(1)), F.when(F.contains(col, F.lit("|")), F.split_part(col, F.lit("|"), F.lit(2)))
+
+
+def paced(calls: DataFrame, service: str, at: str, gap: float, order: list[str]) -> DataFrame:
+    """calls with start: when each may begin so that a service's calls, in order of at, begin gap seconds apart or more. A call
+    starts at the latest of at_j + (its number - j) * gap over the calls j up to it: a running maximum, no loop. One service's
+    calls are one window: a log of what one limit holds back."""
+    w = Window.partitionBy(service).orderBy(at, *order)
+    x = calls.withColumn("_n", F.row_number().over(w))
+    return x.withColumn("start", F.max(F.col(at) - F.col("_n") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n") * gap).drop("_n")

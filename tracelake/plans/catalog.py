@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, stats, text
-from ..operators import agent, agreement, benchmarks, corpus, graph, judging, reports, retrieval, router_model, routing, runs, significance, vectors
+from ..operators import agent, agreement, benchmarks, citing, corpus, graph, judging, reports, retrieval, router_model, routing, runs, significance, vectors
 from ..providers import CitedInContext, QuoteFirst
 from ..scratch import shared_dir, table
 from ..schemas import STRATA
@@ -356,11 +356,10 @@ x AS (SELECT p_partkey, brand, 'BRAND-' || p_size AS other FROM p)
 SELECT p_partkey, CASE WHEN other IN (SELECT brand FROM v) AND other <> brand THEN brand || ';' || other ELSE brand END AS cited,
        CASE WHEN other IN (SELECT brand FROM v) THEN '' ELSE other END AS invented FROM x""")
 def citation_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Citations against a vocabulary (the brands, a list of bounded size), with invented near-ids."""
+    """Citations against the table of known identifiers (the brands), with invented ones."""
     a = _answers(spark, sf)
-    vocabulary = [r[0] for r in a.select("brand").distinct().collect()]
-    c = text.citations(F.col("answer"), vocabulary)
-    return a.select("p_partkey", *(F.array_join(v, ";").alias(k) for k, v in c.items()))
+    c = citing.citations(a, a.select(F.col("brand").alias("id")), "p_partkey", "answer")
+    return c.select("p_partkey", *(F.array_join(k, ";").alias(k) for k in ("cited", "invented")))
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, 'sufficient' AS verdict FROM events")

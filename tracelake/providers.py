@@ -1,19 +1,27 @@
 """Models as parameters: what embeds, reranks, answers and judges, with deterministic offline forms.
 
-An embedder maps a text column to a vector column; a reranker and a judge are column expressions too. Remote models plug in as a
-pandas UDF of the same shape.
+An embedder maps a text column to a vector column; a reranker and a judge are column expressions too. Models plug in as pandas
+UDFs of the same shape.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from itertools import islice
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions.text import ID_ANY, ids_in
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
 class Embedder(Protocol):
     def embed_query(self, text: Column) -> Column: ...
     def embed_document(self, text: Column) -> Column: ...
@@ -24,20 +32,27 @@ class Reranker(Protocol):
 
 
 class HashedTerms:
-    """Signed hashed term counts with unit length: lower-cased words to dims buckets. Stays in the JVM."""
+    """The mean of signed hashed word vectors at unit length, over the first `limit` words (an embedder's window) of the prefixed,
+    lower-cased text; a text without words is the zero vector. An Arrow batch at a time: models plug in as the same kind of UDF."""
 
-    def __init__(self, dims: int = 64, query_prefix: str = "", document_prefix: str = ""):
-        self.dims, self.prefixes = dims, (query_prefix, document_prefix)
+    def __init__(self, dims: int = 64, query_prefix: str = "", document_prefix: str = "", limit: int = 512):
+        self.dims, self.prefixes, self.limit = dims, (query_prefix, document_prefix), limit
 
     def _embed(self, text: Column, prefix: str) -> Column:
-        words = F.filter(F.split(F.lower(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        hashed = F.transform(words, lambda w: F.xxhash64(w))
-        slots = F.transform(hashed, lambda h: F.struct(F.pmod(h, F.lit(self.dims)).cast("int").alias("i"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-        # one pass over the words: the vector is the running sum
-        zero = F.array_repeat(F.lit(0.0), self.dims)
-        counts = F.aggregate(slots, zero, lambda v, x: F.transform(v, lambda c, i: F.when(i == x["i"], c + x["s"]).otherwise(c)))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
-        return F.when(norm > 0, F.transform(counts, lambda c: c / norm)).otherwise(counts)
+        dims, limit = self.dims, self.limit
+
+        @F.pandas_udf("array<double>")
+        def embed(texts: pd.Series) -> pd.Series:
+            known: dict[str, int] = {}
+            out = []
+            for t in texts:
+                words = [m[0] for m in islice(_WORD.finditer(t.lower()), limit)]
+                h = np.array([known.get(w) or known.setdefault(w, zlib.crc32(w.encode("utf-8", "replace"))) for w in words], np.int64)
+                v = np.bincount(h % dims, 1.0 - 2.0 * (h >> 31), dims) if len(h) else np.zeros(dims)
+                out.append(v / (np.sqrt((v * v).sum()) or 1.0))
+            return pd.Series(out)
+
+        return embed(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))))
 
     def embed_query(self, text: Column) -> Column:
         return self._embed(text, self.prefixes[0])
@@ -47,11 +62,15 @@ class HashedTerms:
 
 
 class TermOverlap:
-    """Share of the query's distinct words that the text holds."""
+    """Share of the query's distinct words that the text holds, of its first `limit` characters if a limit is given."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit = limit
 
     def score(self, query: Column, text: Column) -> Column:
         words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-        return F.size(F.array_intersect(words(query), words(text))) / F.greatest(F.lit(1), F.size(words(query)))
+        seen = F.substring(text, 1, self.limit) if self.limit else text
+        return F.size(F.array_intersect(words(query), words(seen))) / F.greatest(F.lit(1), F.size(words(query)))
 
 
 class QuoteFirst:
@@ -74,7 +93,7 @@ class CitedInContext:
 
 
 EMBEDDERS = {"local": HashedTerms(64, "query: ", "passage: "), "bge": HashedTerms(64), "remote": HashedTerms(128)}
-RERANKERS = {"local": TermOverlap(), "remote": TermOverlap()}
+RERANKERS = {"local": TermOverlap(), "remote": TermOverlap(200)}
 
 
 def embedder(name: str) -> Embedder:
