@@ -406,12 +406,22 @@ def oracle_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("stratum", "oracle_pipeline").agg(F.count("*").alias("n"), r6(F.avg("oracle_score")).alias("mean_score"))
 
 
-@query()
-def router_v2(spark: SparkSession, sf: str) -> DataFrame:
-    """Out-of-fold routes of the learned router; its target is the class of the question's vector."""
+def _routable(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.when(F.col("label") < 4, "vanilla").when(F.col("label") < 7, "graphrag").otherwise("agentic-graph").alias("target"))
     q = e.join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("query")), "vec_id", "left")
-    return router_model.out_of_fold(router_model.features(q, "query", "embedding"), "target", "vec_id")
+    return router_model.features(q, "query", "embedding")
+
+
+@query()
+def router_v2(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold routes of the learned router (ten folds); its target is the class of the question's vector."""
+    return router_model.out_of_fold(_routable(spark, sf), "target", "vec_id")
+
+
+@query()
+def router_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Macro-F1 of the learned router in five times ten folds."""
+    return router_model.cross_validation(_routable(spark, sf), "target", "vec_id")
 
 
 # --- agreement --------------------------------------------------------------------------------------------------------
@@ -595,9 +605,9 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {R.SQL_SCORED}, o AS (SELECT *, md5('5|' || event_id) AS o FROM scored), k AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY o, event_id) AS k FROM o)
-SELECT event_id, pipeline FROM k WHERE k <= 14 ORDER BY o, event_id LIMIT 70""")
+SELECT event_id, pipeline FROM k WHERE k <= 20 ORDER BY o, event_id LIMIT 100""")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.stratified_sample(R.scored(spark, sf).select("event_id", "pipeline"), "pipeline", 70, ["event_id"], 5)
+    return runs.stratified_sample(R.scored(spark, sf).select("event_id", "pipeline"), "pipeline", 100, ["event_id"], 5)
 
 
 @query(f"""WITH {R.SQL_SCORED}, f AS (SELECT pipeline, stratum, query_id, min(event_id) AS event_id FROM scored GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY pipeline, stratum ORDER BY event_id, query_id) AS k FROM f)
@@ -668,11 +678,11 @@ def _multi_hop(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumn("stratum", benchmarks.mapped(benchmarks.hop_class(F.col("question_id")), benchmarks.HOP_CLASS))
 
 
-_SIZES = {"1-hop": 5, "2-hop": 6, "3+-hop": 7}
+_SIZES = {"1-hop": 67, "2-hop": 67, "3+-hop": 66}
 SQL_MULTI = """n AS (SELECT conv_id, least(4, greatest(2, count(*))) AS c FROM conversations GROUP BY 1),
 st AS (SELECT conv_id, c || 'hop__' || conv_id AS question_id, CASE c WHEN 2 THEN '1-hop' WHEN 3 THEN '2-hop' ELSE '3+-hop' END AS stratum FROM n),
 o AS (SELECT *, md5('11|' || conv_id) AS h FROM st), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, conv_id) AS k FROM o),
-sampled AS (SELECT *, row_number() OVER (ORDER BY h, CAST(conv_id AS VARCHAR)) - 1 AS q_idx FROM k WHERE k <= CASE stratum WHEN '1-hop' THEN 5 WHEN '2-hop' THEN 6 ELSE 7 END),
+sampled AS (SELECT *, row_number() OVER (ORDER BY h, CAST(conv_id AS VARCHAR)) - 1 AS q_idx FROM k WHERE k <= CASE stratum WHEN '1-hop' THEN 67 WHEN '2-hop' THEN 67 ELSE 66 END),
 para AS (SELECT q_idx, question_id, conv_id, stratum, row_number() OVER (PARTITION BY q_idx ORDER BY turn) - 1 AS p_idx, role, text, role = 'assistant' AS sup FROM sampled JOIN conversations USING (conv_id)),
 named AS (SELECT *, printf('CV-%03d-P%02d', q_idx, p_idx) AS id FROM para)"""
 
