@@ -73,3 +73,16 @@ def test_correlation_p(spark):
         assert r["got"] is None if r["n"] < 3 else abs(r["got"] - r["p"]) < 2e-4
     one = spark.range(1).select(stats.correlation_p(F.lit(None).cast("double"), F.lit(5)).alias("p")).first()
     assert one["p"] is None
+
+
+def test_intervals_of_small_and_constant_cells(spark):
+    from tracelake.operators import significance
+
+    rows = [("few", float(i % 2), i) for i in range(4)] + [("flat", 1.0, i) for i in range(9)] + [("some", float(i % 3), i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, v double, i long")
+    plain = {r["k"]: r for r in significance.bca_mean(df, ["k"], "v", ["i"]).collect()}
+    assert plain["few"]["method"] in ("BCa", "percentile") and plain["flat"]["ci_lo"] is None
+    strict = {r["k"]: r for r in significance.bca_mean(df, ["k"], "v", ["i"], least=5, constant_is_point=True).collect()}
+    assert (strict["few"]["ci_lo"], strict["few"]["method"]) == (None, "n<5")
+    assert (strict["flat"]["ci_lo"], strict["flat"]["ci_hi"], strict["flat"]["method"]) == (1.0, 1.0, "constant")
+    assert strict["some"]["ci_lo"] == plain["some"]["ci_lo"] < strict["some"]["mean"] < strict["some"]["ci_hi"]

@@ -48,3 +48,8 @@ def cost(calls: DataFrame, prices: dict[str, tuple[float, float]], judge: str =
     for name, (i, o) in prices.items():
         price = price.when(F.col(judge) == name, (F.col("tokens_in") * i + F.col("tokens_out") * o) / 1e6)
     return x.withColumn("dollars", price.otherwise(None))
+
+
+def cell_means(verdicts: DataFrame, by: list[str], judges: list[str]) -> DataFrame:
+    """by, and for each judge (a boolean column) how many verdicts it gave in the cell and the share that is true."""
+    return verdicts.groupBy(*by).agg(*(e for j in judges for e in (F.count(j).alias(f"n_{j}"), F.avg(F.col(j).cast("int")).alias(f"mean_{j}"))))

@@ -54,7 +54,7 @@ def acceptance(overall: DataFrame, strata: DataFrame, least_gain: float = 0.02,
 
 
 def search_summary(hits: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, summary: the tool text of a search (hits: query_id, rank, id, module, heading)."""
+    """query_id, summary: the tool text of a search (hits: query_id, rank, id, module, heading). Its sentences are fixed values."""
     line = F.concat(F.lit("- ["), F.col("id").cast("string"), F.lit("] ("), "module", F.lit(" :: "), F.substring("heading", 1, 60), F.lit(")"))
     each = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("r"))
     told = each.select("query_id", F.concat(F.lit("Found "), F.size("r").cast("string"), F.lit(" requirements:\n"), F.array_join("r.line", "\n")).alias("summary"))

@@ -62,7 +62,7 @@ def graph_id_lookup(asked: DataFrame, edges: DataFrame, chunk: DataFrame) -> Dat
 
 
 def graph_lookup(asked: DataFrame, edges: DataFrame, chunk: DataFrame) -> DataFrame:
-    """query_id, summary: the tool text that lists an id's neighbours with arrows."""
+    """query_id, summary: the tool text that lists an id's neighbours with arrows. Its sentences are fixed values."""
     near = graph.hop1_directed(asked, edges)
     first = near.groupBy("query_id", "seed", "id").agg(F.min(F.struct(F.expr("if(dir = 'out', 0, 1)").alias("d"), "rel", "dir")).alias("m"))
     rows = first.join(chunk.select("id", "heading"), "id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..scratch import average_ranks
 
+#: Resamples of a bootstrap and its seed.
 RESAMPLES, SEED = 1000, 20260511
 
 
@@ -87,12 +88,12 @@ def _poisson_weights(rows: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     return np.searchsorted(np.array(cuts), u, side="right").astype(np.float64)
 
 
-def bca_mean(values: DataFrame, keys: list[str], value: str, row_id: list[str], resamples: int = RESAMPLES, seed: int = SEED, level: float = 0.95) -> DataFrame:
+def bca_mean(values: DataFrame, keys: list[str], value: str, row_id: list[str], resamples: int = RESAMPLES, seed: int = SEED, level: float = 0.95, least: int = 2, constant_is_point: bool = False) -> DataFrame:
     """mean, ci_lo, ci_hi, method per key: a BCa interval of the mean.
 
     Resamples are Poisson weights drawn from each row's id, so they are sums: tasks add up partial sums per key, and a key of any
-    size is never gathered. For a mean, the jackknife's acceleration is a ratio of central moments. Null under 2 rows or without
-    variance.
+    size is never gathered. For a mean, the jackknife's acceleration is a ratio of central moments. Null under `least` rows, and
+    without variance (or the constant itself, if it is to count as a point; shares of few judgments take 5 rows and that).
     """
     x = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.xxhash64(*row_id, F.lit(seed)).alias("h"))
     kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
@@ -127,8 +128,9 @@ def bca_mean(values: DataFrame, keys: list[str], value: str, row_id: list[str],
         for pdf in pdfs:
             lo, hi, how = [], [], []
             for n, mean, sd, skew, means in zip(*(pdf[c] for c in ("n", "mean", "sd", "skew", "means"))):
-                if n < 2 or not sd > 1e-12 * max(1.0, abs(mean)):
-                    lo.append(None), hi.append(None), how.append("n<2" if n < 2 else "constant")
+                if n < least or not sd > 1e-12 * max(1.0, abs(mean)):
+                    point = float(mean) if constant_is_point and n >= least else None
+                    lo.append(point), hi.append(point), how.append(f"n<{least}" if n < least else "constant")
                     continue
                 m = np.asarray(means)
                 below = (np.sum(m < mean) + np.sum(m == mean) / 2) / len(m)

@@ -93,3 +93,14 @@ def rerank(pairs: DataFrame, score: Column, n: int = 5) -> DataFrame:
     """The n best pairs (query_id, id, ...) of each query by score, with rank; ties go to the smaller id."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+
+
+def mean_pooled(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """keys, pooled: the mean of a group's usable vectors at unit length, summed by place so that no group is gathered; vectors of a
+    group have one length (the places that all of them have are kept)."""
+    x = rows.filter(usable(vector)).select(*keys, F.size(vector).alias("_d"), F.posexplode(F.col(vector).cast("array<double>")).alias("_i", "_v"))
+    means = x.groupBy(*keys, "_i").agg(F.avg("_v").alias("_m"), F.min("_d").alias("_d"))
+    each = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_p"), F.min("_d").alias("_d"))
+    v = F.slice(F.col("_p._m"), F.lit(1), F.col("_d"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a))
+    return each.select(*keys, F.transform(v, lambda a: F.when(norm > 0, a / norm).otherwise(a)).alias("pooled"))

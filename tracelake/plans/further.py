@@ -311,3 +311,81 @@ def index_builds(spark: SparkSession, sf: str) -> DataFrame:
         part = spark.read.parquet(path).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.size("vector")).alias("dims")).withColumn("embedder", F.lit(name)).withColumn("skipped_again", F.lit(skipped))
         out = part if out is None else out.union(part)
     return out.select("embedder", "dims", "n", "first", "last", "skipped_again")
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {R.SQL_CHUNKS} SELECT CAST(id AS VARCHAR) AS id, module, heading, level, object_type, full_text FROM chunks")
+def jsonl_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Corpus rows through JSON lines, among them blank ones, and back."""
+    path = _path(spark, "corpus")
+    rows = R.rows(spark, sf).select(F.col("id").cast("string").alias("id"), "module", "heading", "level", "object_type", "full_text", "text", "outgoing_links")
+    rows.select(F.concat(F.to_json(F.struct(*rows.columns)), F.lit("\n")).alias("value")).write.text(path)  # an empty line after each
+    return corpus.chunks(files.read_chunks(spark, path)).select("id", "module", "heading", "level", "object_type", "full_text")
+
+
+@query("SELECT 'question ' || (conv_id % 20) AS query, CASE WHEN max(conv_id) % 3 = 0 THEN 'unknown' ELSE 'type ' || max(conv_id) END AS type FROM conversations GROUP BY conv_id % 20")
+def manifest_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest in which questions occur again: the last line counts, and a line without a type is 'unknown'."""
+    path = _path(spark, "manifest")
+    c = table(spark, sf, "conversations").select("conv_id").distinct()
+    kind = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("type "), F.col("conv_id").cast("string")))
+    lines = c.select("conv_id", F.concat(F.lit("question "), (F.col("conv_id") % 20).cast("string")).alias("query"), kind.alias("type"))
+    lines.coalesce(1).sortWithinPartitions("conv_id").drop("conv_id").write.json(path)
+    return files.read_manifest(spark, path).select("query", "type")
+
+
+@query(f"""WITH {R.SQL_RUNS} SELECT CAST(event_id AS VARCHAR) AS query, pipeline, latency_ms, total_tokens, CASE WHEN n_cited = 0 THEN '' ELSE array_to_string(['ADS-1', 'FCC-2', 'NAV-3'][1:n_cited], '+') END AS cited, CAST(NULL AS VARCHAR) AS reranker, 'say "x", then' || chr(10) || 'y' AS answer FROM runs""")
+def csv_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A run log written as CSV with a header, quotes and line breaks in cells and id lists joined, and read back typed."""
+    path = _path(spark, "runs")
+    log = R.run_log(spark, sf).select(F.col("event_id").cast("string").alias("query"), "pipeline", "latency_ms", "total_tokens", "cited_ids", F.lit('say "x", then\ny').alias("answer"))
+    files.write_report(log, path)
+    return files.read_runs(spark, path).select("query", "pipeline", "latency_ms", "total_tokens", F.array_join("cited_ids", "+").alias("cited"), "reranker", "answer")
+
+
+@query(f"WITH {R.SQL_EDGES} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, rel FROM edges")
+def jsonl_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges through JSON lines, types in any case and lines without an end left out."""
+    path = _path(spark, "edges")
+    e = R.edges(spark, sf).select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), F.concat(F.lit(" "), F.lower("rel")).alias("rel_type"))
+    e.union(spark.createDataFrame([("1", None, "references"), (None, "2", "references")], e.schema)).write.json(path)
+    return files.read_edges(spark, path)
+
+
+@query(f"""WITH {R.SQL_RATINGS} SELECT source, lang, count(a) AS n_a, round(avg(CAST(a AS INTEGER)), 6) AS mean_a, count(c) AS n_b, round(avg(CAST(c AS INTEGER)), 6) AS mean_b
+FROM (SELECT *, CASE WHEN doc_id % 4 <> 0 THEN b END AS c FROM ratings) GROUP BY 1, 2""")
+def judge_cell_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of several judges' verdicts per cell, each over the verdicts it gave."""
+    r = R.ratings(spark, sf).withColumn("b", F.when(F.col("doc_id") % 4 != 0, F.col("b")))
+    return judging.cell_means(r, ["source", "lang"], ["a", "b"]).select("source", "lang", "n_a", r6("mean_a").alias("mean_a"), "n_b", r6("mean_b").alias("mean_b"))
+
+
+_COUNTS = "SELECT event_type AS pipeline, count(*) AS n_runs FROM events GROUP BY 1"
+
+
+@query(f"""SELECT '| pipeline | n_runs |' || chr(10) || '| - | - |' || chr(10) || string_agg('| ' || pipeline || ' | ' || n_runs || ' |' || chr(10), '' ORDER BY pipeline) AS markdown,
+'pipeline & n\\_runs \\\\' || chr(10) || string_agg(pipeline || ' & ' || n_runs || ' \\\\' || chr(10), '' ORDER BY pipeline) AS latex FROM ({_COUNTS})""")
+def report_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """A small summary as Markdown and as the body of a LaTeX table."""
+    t = table(spark, sf, "events").groupBy(F.col("event_type").alias("pipeline")).agg(F.count("*").alias("n_runs")).orderBy("pipeline")
+    return spark.createDataFrame([(reports.markdown(t), reports.latex(t))], "markdown string, latex string")
+
+
+@query("""SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-9), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def neighbour_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The cosine, with an epsilon in its divisor, of each vector and the one after it."""
+    e = table(spark, sf, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(after, "vec_id").select("vec_id", r6(vectors.cosine(F.col("embedding"), F.col("next"), 1e-9)).alias("similarity"))
+
+
+@query("""WITH x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, generate_series(1, 64) t(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS z FROM x GROUP BY 1)
+SELECT label, CAST(i - 1 AS INTEGER) AS place, round(m / z, 6) AS value FROM x JOIN n USING (label)""")
+def pooled_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean of a label's vectors at unit length."""
+    p = vectors.mean_pooled(table(spark, sf, "embeddings"), ["label"], "embedding")
+    return p.select("label", F.posexplode("pooled").alias("place", "value")).withColumn("value", r6("value"))
