@@ -74,8 +74,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def forget(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more: not the results of a query, nor what they are read from."""
-    for t in tables:
-        _delete(t.sparkSession, t._scratch)
+    for path, spark in {t._scratch: t.sparkSession for t in tables}.items():
+        _delete(spark, path)
 
 
 def clean(spark: SparkSession) -> None:
