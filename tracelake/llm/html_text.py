@@ -46,15 +46,15 @@ DROPPED = frozenset("nav aside footer script style template noscript iframe obje
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 #: Words of a class or id token that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsbygoogle adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promoted notice notices alert alerts popup popups modal overlay "
-    "newsletter subscribe subscription signup signin login menu menus submenu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars side widget widgets related recommended recommendations "
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle adbox adslot banner banners taboola outbrain sponsor sponsors sponsored promo promos promotion promoted notice notices alert alerts popup popups modal overlay "
+    "newsletter subscribe subscription signup signin login menu menus submenu nav navbar navigation topnav subnav sidenav mainnav sitenav navmenu topmenu mainmenu breadcrumb breadcrumbs sidebar sidebars side widget widgets related recommended recommendations "
     "share sharing sharebar social footer header masthead topbar toolbar pagination pager toc form search searchbox searchform".split()
 )
 #: Words that mark what readers or the site's consent banners say.
-OTHERS_SAY = frozenset("comment comments commentlist disqus respond reply replies discussion talkback cookie cookies consent gdpr".split())
+OTHERS_SAY = frozenset("comment comments commentlist disqus respond responses reply replies discussion talkback cookie cookies consent gdpr".split())
 #: Words of layout, which change nothing about a mark beside them.
 LAYOUT = frozenset(
-    "area article articles author bar bars blog block blocks body bottom box boxes btn button buttons center col column container content contents count cta custom desktop entry fixed float floating global holder icon icons inner "
+    "area article articles author bar bars blog block blocks body bottom box boxes btn button buttons center col column container content contents count cta custom desktop entry fixed float floating global google holder icon icons inner "
     "item items js label left link links list lists main meta mobile module modules outer page pages panel placeholder post posts primary reader readers right row secondary section sections site slot small sticky story stories strip "
     "text thread title tools top unit units user users view wrap wrapper wrappers zone policy law info message messages email mail top sm md lg xl".split()
 )
