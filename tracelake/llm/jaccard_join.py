@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, parts_for, plan_bytes, shingle_sets, text_bytes, tidy, written
+from .common import chunks, components, forget, parts_for, plan_bytes, shingle_sets, text_bytes, tidy, written
 
 UNIT_TOKENS = 1_000_000
 HOT_IN_UNIT = 256
@@ -443,8 +443,10 @@ def link_components(docs: DataFrame, pct: int = 80, k: int = 5) -> tuple[DataFra
     entries = written(_entries(sets), "entries")
     index = entries.repartition(few, "token").sortWithinPartitions("token", "n", "pos", "sid")
     answers = written(_overlaps(_first_pairs(index, pct), sets, pct), "answers")
+    spent: list[DataFrame] = [entries]  # deleted at the end: nothing of the result is read from them
     for turn in range(PIVOT_ROUNDS):
         comps = written(components(answers.filter("linked"), "a", "b"), "comps")
+        spent += [comps, answers]
         both = answers.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "common").union(answers.select("b", "a", "common"))
         hub = both.groupBy("pivot").count().filter(F.col("count") > 1)
         near = both.join(hub, "pivot").groupBy("sid").agg(F.max_by(F.struct("pivot", "common"), F.struct("count", "pivot")).alias("p"))
@@ -457,16 +459,20 @@ def link_components(docs: DataFrame, pct: int = 80, k: int = 5) -> tuple[DataFra
         last = turn == PIVOT_ROUNDS - 1
         asked = written(_next_pairs(open_, pct, last), "asked")
         more = written(asked.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        spent += [asked, more]
         if more.isEmpty() and not last and not asked.isEmpty():
             last = True  # the lists asked for pivots already answered, which settles nothing: compare their other pairs
             more = written(_next_pairs(open_, pct, last).join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            spent.append(more)
         if more.isEmpty():
             break
         answers = written(answers.union(_overlaps(more, sets, pct)), "answers")
         if last:
             comps = written(components(answers.filter("linked"), "a", "b"), "comps")
+            spent += [comps, answers]
             break
-    found = sets.join(comps.withColumnRenamed("node", "sid"), "sid").select("d1", "d2", "comp")
+    found = written(sets.join(comps.withColumnRenamed("node", "sid"), "sid").select("d1", "d2", "comp"), "found")
+    forget(*spent, sets)
     return set_sizes(docs, k), found
 
 
