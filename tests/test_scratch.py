@@ -65,3 +65,17 @@ def test_positions_and_ranks_over_ranges(spark, monkeypatch):
     for r in scratch.average_ranks(df.withColumn("g", F.lit(1)), ["g"], "v").collect():
         lo, hi = values.index(r["v"]) + 1, len(values) - values[::-1].index(r["v"])
         assert r["rank"] == (lo + hi) / 2 and r["ties"] == hi - lo + 1
+
+
+def test_paced_calls_equal_a_loop(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(runs, "ranges_for", lambda rows: 6)
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "a", "b", None]), float(r.choice([r.randrange(90), 40]))) for i in range(300)]
+    got = {x["i"]: x["start"] for x in runs.paced(spark.createDataFrame(rows, "i long, s string, due double").repartition(3), "s", "due", 0.75, ["i"]).collect()}
+    last = {}
+    for i, s, due in sorted(rows, key=lambda x: (x[2], x[0])):
+        last[s] = due if s not in last else max(due, last[s] + 0.75)
+        assert abs(got[i] - last[s]) < 1e-9
+    assert len(got) == 300

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..schemas import RUN_KEY
-from ..scratch import bucket_of, quantile_bounds, ranges_for
+from ..scratch import bucket_of, quantile_bounds, ranges_for, written
 
 CONFIG = "pipeline string, embedder string, reranker string"
 
@@ -131,8 +131,17 @@ def variant(col: Column) -> tuple[Column, Column]:
 
 def paced(calls: DataFrame, service: str, at: str, gap: float, order: list[str]) -> DataFrame:
     """calls with start: when each may begin so that a service's calls, in order of at, begin gap seconds apart or more. A call
-    starts at the latest of at_j + (its number - j) * gap over the calls j up to it: a running maximum, no loop. One service's
-    calls are one window: a log of what one limit holds back."""
-    w = Window.partitionBy(service).orderBy(at, *order)
-    x = calls.withColumn("_n", F.row_number().over(w))
-    return x.withColumn("start", F.max(F.col(at) - F.col("_n") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n") * gap).drop("_n")
+    starts at the latest of at_j + (its number - j) * gap over the calls j up to it: a running maximum, no loop. Numbers and maxima
+    are taken in ranges of at and carried from range to range, so a service's log is spread (calls due at one moment share one)."""
+    x = written(calls, "calls")
+    x = x.withColumn("_b", bucket_of(F.col(at), quantile_bounds(x, at, ranges_for(x.count()))))
+    w = Window.partitionBy(service, "_b").orderBy(at, *order)
+    x = x.withColumn("_r", F.row_number().over(w))
+    pieces = x.groupBy(service, "_b").agg(F.count("*").alias("_n"), F.max(F.col(at) - F.col("_r") * gap).alias("_m"))
+    before = Window.partitionBy(service).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    pieces = pieces.withColumn("_prev", F.max(F.col("_m") - F.col("_base") * gap).over(before))
+    pieces = pieces.select(F.col(service).alias("_s"), F.col("_b").alias("_c"), "_base", "_prev")
+    x = x.join(pieces, F.col(service).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c"))).withColumn("_k", F.col("_base") + F.col("_r"))
+    latest = F.greatest("_prev", F.max(F.col(at) - F.col("_k") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.withColumn("start", latest + F.col("_k") * gap).drop("_b", "_r", "_s", "_c", "_base", "_prev", "_k")
