@@ -68,6 +68,10 @@ def test_marked_blocks_go(attr):
         ("<article><p><a href=x>only links</a></article>", "only links"),
         ("<nav><p>menu words</nav>", ""),
         ("<title>never closed<article><p>words</article>", "words"),
+        (f'<article><h1>Short</h1><p>tiny</p><div class="related">{PROSE}</div></article><div class="widget">{PROSE * 9}</div>', "Short tiny"),
+        (f'<div class="entry"><p>tiny</p></div><div class="sidebar">{PROSE * 9}</div>', "tiny"),
+        (f'<main><h1>Head</h1><div class="widget">{PROSE}</div></main>', f"Head {TEXT}"),
+        (f'<table><tr><td class="menu"><a href="x">m</a><td class="content"><h1>Head</h1>{PROSE}</table>', f"Head {TEXT}"),
     ],
 )
 def test_odd_pages(page, text):

@@ -10,7 +10,8 @@ there is one. A page without a winning path gives the text of its own best conta
 Dropped are elements whose kind is boilerplate (navigation, footers, scripts, ...), hidden ones, and those that a whole class or
 id token, role or item type marks: every word of the token is a mark or a word of layout, so `post-comments` and `ad-box` are
 marks, `commentary`, `social-studies`, `has-sidebar` aren't. A marked or hidden wrapper, or a form, that holds the page's main
-element, or nearly all prose where there is none, is kept; if nothing were left all marks but those of forms are passed over.
+element is kept, and so is one that holds nearly all prose and every paragraph of the main element (of the page, if it has none);
+if nothing were left all marks but those of forms are passed over.
 
 Scale. Votes are folded by (host, path) before the shuffle, so a host with a third of all pages is a few rows a task. At most
 WINNERS paths a host are joined back (a page with none of them uses its own best container): broadcast only if the table's
@@ -273,13 +274,15 @@ def _settle(nodes: list[Node], events: list[tuple[Node, int, str]]) -> None:
             else:
                 node.links += n
     if any(n.own for n in nodes):
-        cores, frees, paras = _held(nodes)
-        total, all_ = cores[nodes[0]], frees[nodes[0]]
+        root = nodes[0]
+        cores, frees, core_paras, free_paras = _held(nodes)
+        total, all_ = cores[root], frees[root]
 
         def kept(n: Node) -> bool:
-            if total:
-                return cores[n] * 10 > total * 9 if n.core else cores[n] * 3 > total * 2
-            return n.own in (WRAPPER, FORM) and frees[n] * 10 > all_ * 9 and (n.own == WRAPPER or paras[n] > 1)
+            if total and not n.core:
+                return cores[n] * 3 > total * 2
+            held, whole, paras = (cores, total, core_paras) if total else (frees, all_, free_paras)
+            return n.own in (WRAPPER, FORM) and held[n] * 10 > whole * 9 and paras[n] == paras[root] and (n.own == WRAPPER or paras[n] > 1)
 
         for n in nodes[1:]:
             n.dropped = n.parent.dropped or n.own == FIXED or bool(n.own) and not kept(n)
@@ -292,8 +295,9 @@ def _settle(nodes: list[Node], events: list[tuple[Node, int, str]]) -> None:
             n.parent.has = True
 
 
-def _held(nodes: list[Node]) -> tuple[dict, dict, dict]:
-    """By node, below it: prose in main and article elements, prose that no fixed element or readers' part holds, and paragraphs."""
+def _held(nodes: list[Node]) -> tuple[dict, dict, dict, dict]:
+    """By node, below it: prose in main and article elements, prose that no fixed element or readers' part holds, and the paragraphs
+    of both."""
     for n in nodes:
         up = n.parent
         n.fixed = n.own == FIXED or bool(up and up.fixed)
@@ -302,12 +306,13 @@ def _held(nodes: list[Node]) -> tuple[dict, dict, dict]:
         n.core = not n.fixed and (begins or bool(up and up.core) and n.own != OTHERS)
     cores = {n: n.prose if n.core else 0 for n in nodes}
     frees = {n: 0 if n.fixed or n.others else n.prose for n in nodes}
-    paras = {n: n.paras for n in nodes}
+    core_paras = {n: n.paras if n.core else 0 for n in nodes}
+    free_paras = {n: 0 if n.fixed or n.others else n.paras for n in nodes}
     for n in reversed(nodes):
         if n.parent:
-            for below in (cores, frees, paras):
+            for below in (cores, frees, core_paras, free_paras):
                 below[n.parent] += below[n]
-    return cores, frees, paras
+    return cores, frees, core_paras, free_paras
 
 
 def container_scores(nodes: list[Node]) -> dict[int, float]:
