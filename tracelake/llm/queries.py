@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, fingerprints, html_text, importance, jaccard_join, language_id, manifest, mixing, packing, pii, token_output
+from . import ann, chat, fingerprints, html_text, importance, jaccard_join, language_id, manifest, mixing, packing, pii, quality, token_output
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_pooled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +63,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_perspective_rotation, op3_curve_packing, op4_pruned_graph_neighbours, op5_canonical_fingerprints,
     op6_personal_data, op7_main_text, op8_pfair_mixing, op9_string_kernel_language, op10_packed_token_rows,
-    op12_importance_resampling, op13_merkle_manifest,
+    op11_pooled_quality, op12_importance_resampling, op13_merkle_manifest,
 )}
 
 ORACLES = {"op2_perspective_rotation": chat.ORACLE, "op8_pfair_mixing": mixing.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
