@@ -177,7 +177,9 @@ def verified(docs: DataFrame, seen: Column, arity: int = ARITY) -> DataFrame:
     spark = docs.sparkSession
     fields = {c: F.col(c) for c in FIELDS}
     rows = docs.select(F.col("lang").cast("string").alias("name"), F.col("doc_id").cast("long").alias("key"), leaf_digest(fields).alias("leaf"), leaf_digest(fields | {"text": seen}).alias("seen"))
+    rows = written(rows, "digests")
     leaves = placed(rows)
+    forget(rows)
     nodes = leaves.select("g", "i", "n", F.col("leaf").alias("digest"))
     most, total = leaves.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
     levels = climb(nodes, most, total, arity)

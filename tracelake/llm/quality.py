@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _AT, _BYTE, chunks, forget, mix, plan_bytes, text_bytes, tidy, written
+from .common import _AT, _BYTE, chunks, forget, mix, parts_for, text_bytes, tidy, written
 
 WORDS, DIMS, ENTRIES, WINDOW = 1 << 14, 32, 2, 2
 PER_CLASS, HIDDEN, ROUNDS, BATCH = 4000, 32, 60, 128
@@ -98,7 +98,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((around, seen)).tobytes()], pa.binary())], ["sums"])
 
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    sums = docs.coalesce(max(LEAST_PARTS, -(-plan_bytes(docs) // PART))).mapInArrow(tidy(run), "sums binary").rdd
+    sums = docs.coalesce(parts_for(docs, PART, LEAST_PARTS)).mapInArrow(tidy(run), "sums binary").rdd
     if not sums.getNumPartitions():
         return np.zeros((WORDS, DIMS), np.float32)
     total = sums.map(lambda r: np.frombuffer(r[0], np.int64)).treeReduce(np.add)
