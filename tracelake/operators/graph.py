@@ -5,6 +5,8 @@ Every step is an equi-join from the frontier, never from the whole graph; edges
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,26 +79,79 @@ def gold_records(path: DataFrame, node: DataFrame) -> DataFrame:
     return p.select("source_id", "target_id", F.col("hops").alias("hop_count"), F.col("rels").alias("rel_path"), F.col("nodes").alias("expected_ids"), "source_module", "target_module", (F.col("source_module") != F.col("target_module")).alias("is_cross_module"))
 
 
-def walk_ppr(seeds: DataFrame, edges: DataFrame, types=WALK_TYPES, cap: int = 30, alpha: float = 0.15, rounds: int = 20, cut: int = 10) -> DataFrame:
-    """query_id, id, hops (1), score, rank by personalized PageRank mass from a query's seeds, seeds left out. Seeds that no edge
-    of any type touches are dropped; a node without an allowed neighbour keeps its mass. Lineage is cut every few rounds; between
-    two cuts the exchange (or broadcast) of the graph's moves is one that all rounds share."""
+#: The largest graph (moves: a node's steps to its neighbours) that is sent to the tasks: 24 bytes each.
+MOST_MOVES = 1_000_000
+
+
+def _moves(edges: DataFrame, types) -> DataFrame:
+    """a, b, w: a step from a to each neighbour with equal shares; a node without an allowed neighbour stays where it is."""
     near = neighbours(edges, types)
     degree = near.groupBy("a").agg(F.count("*").alias("d"))
     touched = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     share = near.join(degree, "a").select("a", "b", (F.lit(1.0) / F.col("d")).alias("w"))
     alone = touched.join(degree, touched["id"] == degree["a"], "left_anti").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("w"))
-    moves = written(share.union(alone), "moves")
-    start = seeds.select("query_id", "id").distinct().join(touched, "id", "left_semi")
+    return share.union(alone)
+
+
+def walk_ppr(seeds: DataFrame, edges: DataFrame, types=WALK_TYPES, cap: int = 30, alpha: float = 0.15, rounds: int = 20) -> DataFrame:
+    """query_id, id, hops (1), score, rank by personalized PageRank mass from a query's seeds, seeds left out. Seeds that no edge
+    of any type touches are dropped; a node without an allowed neighbour keeps its mass.
+
+    Two ways to the same rows. A graph of up to MOST_MOVES moves, by count, is sent to the tasks as arrays, and each query's rounds are
+    sums over them: no shuffle a round. A larger one stays a table that is exchanged once for all rounds: they are one plan, in which
+    the state meets the moves by node, and masses are summed up before they travel, so a node with many links is no hot key."""
+    # stated here, the filter is the same in every round: else the last round's differs, and the table is exchanged again for it
+    moves = written(_moves(edges, types), "moves").filter("a is not null and b is not null")
+    start = seeds.select("query_id", "id").distinct().join(moves.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
     each = start.groupBy("query_id").agg(F.count("*").alias("n"))
     start = written(start.join(each, "query_id").select("query_id", "id", (F.lit(1.0) / F.col("n")).alias("mass")), "start")
+    score = (_ppr_arrays if moves.count() <= MOST_MOVES else _ppr_joins)(start, moves, cap, alpha, rounds)
+    rest = score.join(start, ["query_id", "id"], "left_anti").withColumn("score", F.round("mass", 9))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select("query_id", "id", F.lit(1).alias("hops"), "score", "rank")
+
+
+def _ppr_joins(start: DataFrame, moves: DataFrame, cap: int, alpha: float, rounds: int) -> DataFrame:
     score = start
     back = start.select("query_id", "id", (F.col("mass") * alpha).alias("mass"))
-    for i in range(rounds):
+    for _ in range(rounds):
         moved = score.join(moves, score["id"] == moves["a"]).select("query_id", F.col("b").alias("id"), (F.col("mass") * F.col("w") * (1 - alpha)).alias("mass"))
         score = moved.union(back).groupBy("query_id", "id").agg(F.sum("mass").alias("mass"))
-        if (i + 1) % cut == 0 and i + 1 < rounds:
-            score = written(score, "mass")
-    rest = score.join(start, ["query_id", "id"], "left_anti").withColumn("score", F.round("mass", 9))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return rest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select("query_id", "id", F.lit(1).alias("hops"), "score", "rank")
+    return score
+
+
+def _ppr_arrays(start: DataFrame, moves: DataFrame, cap: int, alpha: float, rounds: int) -> DataFrame:
+    """The rows of _ppr_joins that can be among the cap best: those of a mass up to a rounding step below the cap-th."""
+    spark, kind = start.sparkSession, start.schema["id"].dataType
+    t = moves.toArrow()  # MOST_MOVES at most
+    names, at = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
+    a, b = at[: len(t)], at[len(t) :]
+    order = np.argsort(b, kind="stable")
+    graph = spark.sparkContext.broadcast((names, a[order], b[order], t["w"].to_numpy()[order]))
+    asked = start.groupBy("query_id").agg(F.collect_list(F.struct("id", "mass")).alias("s"))  # a query's seeds, each a node of the graph
+    asked = asked.repartition(max(1, min(4096, start.select("query_id").distinct().count() // 4)), "query_id")
+    what = start.schema["query_id"].dataType
+
+    def run(batches):
+        names, a, b, w = graph.value
+        for batch in batches:
+            out = [[], [], []]
+            for query, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first = np.zeros(len(names))
+                place = np.searchsorted(names, np.array([x["id"] for x in seeds], names.dtype))
+                first[place] = [x["mass"] for x in seeds]
+                mass = first
+                for _ in range(rounds):
+                    mass = np.bincount(b, mass[a] * w * (1 - alpha), len(names)) + alpha * first
+                rest = mass.copy()
+                rest[place] = 0
+                found = np.flatnonzero(rest)
+                if len(found) > cap:
+                    found = found[rest[found] >= -np.partition(-rest[found], cap - 1)[cap - 1] - 1e-8]
+                out[0] += [query] * len(found)
+                out[1] += names[found].tolist()
+                out[2] += rest[found].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], id_type), pa.array(out[2], pa.float64())], ["query_id", "id", "mass"])
+
+    id_type = t.schema.field("a").type
+    return asked.mapInArrow(run, f"query_id {what.simpleString()}, id {kind.simpleString()}, mass double")
