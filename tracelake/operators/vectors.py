@@ -39,14 +39,34 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, match: bool = False, skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, id, distance (1 - cosine, 6 places), rank. queries: query_id, vector; corpus: id, vector; with match, both have
     `tag` and only rows of the query's tag are searched (null and '' being one tag). Ties go to the smaller id."""
-    tag = F.coalesce(F.col("tag").cast("string"), F.lit("")) if match else F.lit("")
-    v = F.col("vector").cast("array<double>").alias("vector")
-    c = corpus.filter(usable()).select(F.col("id").cast("long").alias("name"), v, tag.alias("tag"))
+    c = corpus.filter(usable()).select(F.col("id").cast("long").alias("name"), doubles(), tag_of(match))
     n, values = c.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
     blocks = max(1, -(-n // block_rows), -(-8 * values // BLOCK_BYTES))
-    c = c.select(F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "name", "vector", "tag", F.size("vector").alias("dims"))
-    q = queries.filter(usable()).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), F.col("query_id").cast("long").alias("name"), v, tag.alias("tag"))
-    met = c.union(q.withColumn("dims", F.size("vector"))).repartitionById(blocks, F.col("block")).sortWithinPartitions("asks", "dims")
+    c = c.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
+    q = queries.filter(usable()).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("query_id").cast("long").alias("name"), doubles(), tag_of(match))
+    return best(blocks_met(q, c, blocks, k, match, skip_self), k)
+
+
+def doubles(vector: str = "vector") -> Column:
+    return F.col(vector).cast("array<double>").alias("vector")
+
+
+def tag_of(match: bool) -> Column:
+    return (F.coalesce(F.col("tag").cast("string"), F.lit("")) if match else F.lit("")).alias("tag")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """found (query_id, id, distance) with rank, the k nearest of each query; ties go to the smaller id."""
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def blocks_met(q: DataFrame, c: DataFrame, blocks: int, k: int, match: bool = False, skip_self: bool = False) -> DataFrame:
+    """query_id, id, distance: the k nearest rows of c in each block that a query is sent to. Both: block (below blocks), name,
+    vector (doubles, usable), tag. A task holds one block; the queries stream past it."""
+    x = c.select("block", F.lit(0).alias("asks"), "name", "vector", "tag", F.size("vector").alias("dims"))
+    y = q.select("block", F.lit(1).alias("asks"), "name", "vector", "tag", F.size("vector").alias("dims"))
+    met = x.union(y).repartitionById(blocks, F.col("block")).sortWithinPartitions("asks", "dims")
 
     def run(batches):
         held: dict[int, list] = {}  # by length: unit vectors, ids, tags; lists while the block comes in, then arrays
@@ -84,9 +104,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, match: bool = Fals
                 c_ += new
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "id", "distance"])
 
-    found = met.mapInArrow(run, "query_id long, id long, distance double")
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return met.mapInArrow(run, "query_id long, id long, distance double")
 
 
 def rerank(pairs: DataFrame, score: Column, n: int = 5) -> DataFrame:

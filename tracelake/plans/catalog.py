@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import metrics, stats, text
 from ..operators import agent, agreement, benchmarks, citing, corpus, graph, judging, reports, retrieval, router_model, routing, runs, significance, vectors
 from ..providers import CitedInContext, QuoteFirst
-from ..scratch import shared_dir, table
+from ..scratch import folder, table
 from ..schemas import STRATA
+from ..sources.keyed import KeyedTable
+from ..sources.vector_index import VectorIndex
 from . import roles as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,13 +159,27 @@ def rerank_walked(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.rerank(w.join(q, "query_id").join(v, "id"), r6(vectors.cosine(F.col("qv"), F.col("vector"))), 5).select("query_id", "id", "score", "rank")
 
 
-@query("SELECT vec_id, CASE WHEN label = 3 THEN 103 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000000, label FROM embeddings WHERE label = 4")
+@query("SELECT vec_id, CASE WHEN label = 3 THEN 103 ELSE label END AS label, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings UNION ALL SELECT vec_id + 1000000000, label, CAST(len(embedding) AS INTEGER) FROM embeddings WHERE label = 4")
 def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.files import upsert
+    """A stored table of vectors with some rows changed and some added, every change given twice."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    changes = e.filter("label = 3").withColumn("label", F.lit(103)).union(e.filter("label = 4").select(F.col("vec_id") + 1000000000, "label", "embedding"))
+    t = KeyedTable.create(e, folder(spark, "vectors"), ["vec_id"], vector="embedding")
+    t.upsert(changes.union(changes))
+    return t.read().select("vec_id", "label", F.size("embedding").alias("dims"))
 
-    e = table(spark, sf, "embeddings").select("vec_id", "label")
-    changes = e.filter("label = 3").withColumn("label", F.lit(103)).union(e.filter("label = 4").select(F.col("vec_id") + 1000000000, "label"))
-    return upsert(e, changes.union(changes), ["vec_id"])
+
+@query(f"WITH {R.SQL_HITS} SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
+def index_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of top_k out of a stored index: near cells first, then those that could hold a nearer vector."""
+    index, _ = VectorIndex.build(R.vectors_of(spark, sf), folder(spark, "index"))
+    return index.search(R.questions(spark, sf), 10, exact=True)
+
+
+@query(ORACLES["top_k_filtered"])
+def index_top_k_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    index, _ = VectorIndex.build(R.vectors_of(spark, sf), folder(spark, "index"))
+    return index.search(R.questions(spark, sf), 10, match=True, exact=True)
 
 
 # --- graph ------------------------------------------------------------------------------------------------------------
@@ -653,11 +669,9 @@ def answer_and_judge(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def streamed_run_keys(spark: SparkSession, sf: str) -> DataFrame:
     """events as a stream, appended once a key, then the same stream again as a new run: nothing is added twice."""
-    import uuid
-
     from ..streaming.append import append_stream
 
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     kind = table(spark, sf, "events").schema
     for i in range(2):
         s = spark.readStream.schema(kind).parquet(f"{sf}/events.parque[t]").select("user_id", "event_type")  # a pattern may be a file or a folder

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators import agent, agreement, benchmarks, corpus, graph, judging, reports, retrieval, routing, runs, significance, vectors
 from ..providers import EMBEDDERS
-from ..scratch import shared_dir, table, written
+from ..scratch import folder, table, written
 from ..sources import files
 from . import roles as R
 from .catalog import SQL_PPR_CONTEXT, SQL_RAG, SQL_V1, _cells, _pairs, _questions_text, query, r6, sql_context
@@ -101,7 +99,7 @@ def paced_calls(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, event_type, count(*) > 0 AS logged FROM events GROUP BY 1, 2")
 def appended_runs(spark: SparkSession, sf: str) -> DataFrame:
     """A log written in two goes, the second over everything: no run is in it twice."""
-    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    path = folder(spark, "log")
     keys = table(spark, sf, "events").select("user_id", "event_type").distinct().withColumn("logged", F.lit(True))
     files.append_new(None, keys.filter("user_id % 2 = 0"), path, ["user_id", "event_type"])
     files.append_new(spark.read.parquet(path), keys, path, ["user_id", "event_type"])
@@ -298,29 +296,42 @@ def text_helpers(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", text.strip_quotes(quoted).alias("bare"), text.shorten(F.col("p_name"), 8).alias("short"), text.is_transient(error).alias("transient"), files.join_ids(ids).alias("ids"), F.size(ids).alias("n_ids"))
 
 
-@query("""SELECT e AS embedder, dims, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, true AS skipped_again FROM documents, (VALUES ('local', 64), ('bge', 64), ('remote', 128)) v(e, dims) GROUP BY 1, 2""")
+SQL_CRC = """tab AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def sql_crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes; t is the table of SQL_CRC."""
+    each = f"list_transform(range(1, strlen({text}) + 1), lambda i: CAST('0x' || substr(hex({text}), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(f"""WITH {SQL_CRC}, v AS (SELECT * FROM (VALUES ('local', 64, 'passage: '), ('bge', 64, ''), ('remote', 128, '')) v(e, dims, prefix)),
+w AS (SELECT e, dims, doc_id, unnest(regexp_extract_all(lower(prefix || coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')[1:512]) AS word FROM documents, v),
+h AS (SELECT word, {sql_crc("word")} AS h FROM (SELECT DISTINCT word FROM w), tab),
+x AS (SELECT e, doc_id, h % dims AS place, CAST(sum(1 - 2 * (h >> 31)) AS DOUBLE) AS value FROM w JOIN h USING (word) GROUP BY 1, 2, 3),
+n AS (SELECT e, doc_id, sqrt(sum(value * value)) AS norm FROM x GROUP BY 1, 2), s AS (SELECT e, sum((place + 1) * value / norm) AS s FROM x JOIN n USING (e, doc_id) WHERE norm > 0 GROUP BY 1)
+SELECT e AS embedder, dims, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, round(max(s) / count(*), 5) AS checksum, true AS skipped_again, true AS forced FROM documents, v JOIN s USING (e) GROUP BY 1, 2""")
 def index_builds(spark: SparkSession, sf: str) -> DataFrame:
-    """One index of the documents for each embedder, with their metadata; a second build of the same content writes nothing."""
-    base, out = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", None
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), (F.col("lang") == "en").alias("is_supporting"), F.substring("text", 1, 512).alias("text"))
+    """One index of the documents for each embedder, with their metadata; a second build of the same content writes nothing, unless
+    it is forced. The checksum is the mean over vectors of their components times their places."""
+    base, out = folder(spark, "index"), None
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), (F.col("lang") == "en").alias("is_supporting"), "text")
     for name, embedder in EMBEDDERS.items():
         index = written(d.select("doc_id", "title", "is_supporting", embedder.embed_document(F.col("text")).alias("vector")), "vectors")
         path = f"{base}/embedder={name}"
         files.build_index(index, path)
-        skipped = not files.build_index(index, path)
-        part = spark.read.parquet(path).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.size("vector")).alias("dims")).withColumn("embedder", F.lit(name)).withColumn("skipped_again", F.lit(skipped))
+        skipped, forced = not files.build_index(index, path), files.build_index(index, path, force=True)
+        sums = F.aggregate(F.transform("vector", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+        part = spark.read.parquet(path).agg(F.max(F.size("vector")).alias("dims"), F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.round(F.avg(sums), 5).alias("checksum"))
+        part = part.select(F.lit(name).alias("embedder"), "*", F.lit(skipped).alias("skipped_again"), F.lit(forced).alias("forced"))
         out = part if out is None else out.union(part)
-    return out.select("embedder", "dims", "n", "first", "last", "skipped_again")
-
-
-def _path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return out
 
 
 @query(f"WITH {R.SQL_CHUNKS} SELECT CAST(id AS VARCHAR) AS id, module, heading, level, object_type, full_text FROM chunks")
 def jsonl_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus rows through JSON lines, among them blank ones, and back."""
-    path = _path(spark, "corpus")
+    path = folder(spark, "corpus")
     rows = R.rows(spark, sf).select(F.col("id").cast("string").alias("id"), "module", "heading", "level", "object_type", "full_text", "text", "outgoing_links")
     rows.select(F.concat(F.to_json(F.struct(*rows.columns)), F.lit("\n")).alias("value")).write.text(path)  # an empty line after each
     return corpus.chunks(files.read_chunks(spark, path)).select("id", "module", "heading", "level", "object_type", "full_text")
@@ -329,7 +340,7 @@ def jsonl_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'question ' || (conv_id % 20) AS query, CASE WHEN max(conv_id) % 3 = 0 THEN 'unknown' ELSE 'type ' || max(conv_id) END AS type FROM conversations GROUP BY conv_id % 20")
 def manifest_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     """A manifest in which questions occur again: the last line counts, and a line without a type is 'unknown'."""
-    path = _path(spark, "manifest")
+    path = folder(spark, "manifest")
     c = table(spark, sf, "conversations").select("conv_id").distinct()
     kind = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("type "), F.col("conv_id").cast("string")))
     lines = c.select("conv_id", F.concat(F.lit("question "), (F.col("conv_id") % 20).cast("string")).alias("query"), kind.alias("type"))
@@ -340,7 +351,7 @@ def manifest_last_wins(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {R.SQL_RUNS} SELECT CAST(event_id AS VARCHAR) AS query, pipeline, latency_ms, total_tokens, CASE WHEN n_cited = 0 THEN '' ELSE array_to_string(['ADS-1', 'FCC-2', 'NAV-3'][1:n_cited], '+') END AS cited, CAST(NULL AS VARCHAR) AS reranker, 'say "x", then' || chr(10) || 'y' AS answer FROM runs""")
 def csv_runs(spark: SparkSession, sf: str) -> DataFrame:
     """A run log written as CSV with a header, quotes and line breaks in cells and id lists joined, and read back typed."""
-    path = _path(spark, "runs")
+    path = folder(spark, "runs")
     log = R.run_log(spark, sf).select(F.col("event_id").cast("string").alias("query"), "pipeline", "latency_ms", "total_tokens", "cited_ids", F.lit('say "x", then\ny').alias("answer"))
     files.write_report(log, path)
     return files.read_runs(spark, path).select("query", "pipeline", "latency_ms", "total_tokens", F.array_join("cited_ids", "+").alias("cited"), "reranker", "answer")
@@ -349,7 +360,7 @@ def csv_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {R.SQL_EDGES} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, rel FROM edges")
 def jsonl_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges through JSON lines, types in any case and lines without an end left out."""
-    path = _path(spark, "edges")
+    path = folder(spark, "edges")
     e = R.edges(spark, sf).select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), F.concat(F.lit(" "), F.lower("rel")).alias("rel_type"))
     e.union(spark.createDataFrame([("1", None, "references"), (None, "2", "references")], e.schema)).write.json(path)
     return files.read_edges(spark, path)

@@ -59,13 +59,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{_home(spark)}/{tag}-{uuid.uuid4().hex}"
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path among this application's scratch tables, for what a query writes and reads itself."""
     if _home(spark) not in _HOMES:
         _HOMES.add(_home(spark))
         atexit.register(clean, spark)
+    return f"{_home(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, and a lost executor loses nothing of it."""
+    spark = df.sparkSession
+    path = folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
