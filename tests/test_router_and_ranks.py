@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracelake.functions import stats
-from tracelake.operators import router_model
+from tracelake.operators import router_model, significance
 
 
 def table(spark, n=240):
@@ -55,14 +55,24 @@ def test_cross_validation_and_bounded_samples(spark):
 
 
 def test_exact_signed_rank_p_equals_enumeration(spark):
-    cases = [(w, n) for n in (1, 2, 5, 9) for w in range(n * (n + 1) // 2 + 1)]
-    df = spark.createDataFrame([(float(w), n) for w, n in cases] + [(3.0, 60), (None, 4)], "w double, n long")
-    got = {(r["w"], r["n"]): r["p"] for r in df.withColumn("p", stats.wilcoxon_exact_p("w", "n")).collect()}
-    for w, n in cases:
-        sums = [sum(s) for r in range(n + 1) for s in itertools.combinations(range(1, n + 1), r)]
-        low = min(w, n * (n + 1) // 2 - w)
-        assert abs(got[w, n] - min(1, 2 * sum(s <= low for s in sums) / 2**n)) < 1e-12
-    assert got[3.0, 60] is None and got[None, 4] is None
+    ranks = [[1.0], [1.0, 2.0], [2.0, 2.0, 2.0], [1.5, 1.5, 3.0, 4.5, 4.5], [float(i) for i in range(1, 10)], [1.0, 2.5, 2.5, 4.0, 6.0, 6.0, 6.0, 8.0]]
+    cases = [(r, float(w)) for r in ranks for w in sorted({sum(s) for k in range(len(r) + 1) for s in itertools.combinations(r, k)})]
+    df = spark.createDataFrame([*cases, (None, 3.0), ([], 0.0)], "r array<double>, w double")
+    got = {(tuple(x["r"] or ()), x["w"]): x["p"] for x in df.withColumn("p", stats.signed_rank_p("r", "w")).collect()}
+    for r, w in cases:
+        sums = [sum(x for x, s in zip(r, signs) if s) for signs in itertools.product((0, 1), repeat=len(r))]
+        low, high = sum(s <= w for s in sums) / len(sums), sum(s >= w for s in sums) / len(sums)
+        p = got[tuple(r), w]
+        assert abs(p["two"] - min(1, 2 * min(low, high))) < 1e-12 and abs(p["upper"] - high) < 1e-12
+    assert got[(2.0, 2.0, 2.0), 4.0]["two"] == 1.0  # three equal differences, one of them negative
+
+
+def test_cells_of_ties_and_large_cells(spark):
+    rows = [("s", "a", "b", float(i % 3), 0.0) for i in range(1, 30)] + [("t", "a", "b", 1.0 + i, 0.0) for i in range(60)] + [("u", "a", "b", 1.0, 1.0)] * 3
+    w = {r["stratum"]: r for r in significance.signed_rank_p(significance.wilcoxon(spark.createDataFrame(rows, "stratum string, pipeline_i string, pipeline_j string, x double, y double"), ["stratum"])).collect()}
+    assert w["s"]["n_nonzero"] == 20 and w["s"]["exact_p"] == w["s"]["wilcoxon_p"] == 2 / 2**20 and w["s"]["upper_p"] == 1 / 2**20
+    assert w["t"]["exact_p"] is None and w["t"]["wilcoxon_p"] < 1e-9 and w["t"]["upper_p"] < 1e-9
+    assert w["u"]["wilcoxon_p"] is None and w["u"]["n_nonzero"] == 0
 
 
 def test_correlation_p(spark):

@@ -8,7 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 Z95 = 1.959964
 
@@ -105,21 +105,32 @@ def upper_p(z: pd.Series) -> pd.Series:
 NORMAL = NormalDist()
 
 
-@F.pandas_udf(DoubleType())
-def wilcoxon_exact_p(w: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p of a signed-rank sum w of n untied differences, by counting the subsets of 1..n of each sum; null over 50
-    differences, where the normal statistic serves. For summary rows."""
+#: Fixed value: up to so many differences a signed-rank p is exact.
+EXACT = 50
 
-    def one(w, n):
-        if pd.isna(w) or pd.isna(n) or not 1 <= n <= 50:
-            return None
-        n, ways = int(n), [1]
-        for k in range(1, n + 1):
-            ways = [(ways[s] if s < len(ways) else 0) + (ways[s - k] if s >= k else 0) for s in range(len(ways) + k)]
-        low = math.floor(min(w, n * (n + 1) / 2 - w))
-        return min(1.0, 2 * sum(ways[: low + 1]) / 2**n)
 
-    return pd.Series([one(a, b) for a, b in zip(w, n)], dtype="float64")
+def _sign_flips(ranks) -> list[int]:
+    """How many choices of signs give each rank sum, in halves: average ranks are halves."""
+    ways = [1]
+    for r in ranks:
+        k = round(2 * r)
+        ways = [(ways[s] if s < len(ways) else 0) + (ways[s - k] if s >= k else 0) for s in range(len(ways) + k)]
+    return ways
+
+
+@F.pandas_udf(StructType([StructField("two", DoubleType()), StructField("upper", DoubleType())]))
+def signed_rank_p(ranks: pd.Series, w: pd.Series) -> pd.DataFrame:
+    """Exact p, two-sided and one-sided (greater), of a signed-rank sum w: over all choices of signs of these very ranks, tied or not.
+    Null without ranks. For summary rows of EXACT ranks at most."""
+
+    def one(ranks, w):
+        if ranks is None or not len(ranks) or pd.isna(w):
+            return None, None
+        ways, at = _sign_flips(ranks), round(2 * w)
+        low, high = sum(ways[: at + 1]) / 2 ** len(ranks), sum(ways[at:]) / 2 ** len(ranks)
+        return min(1.0, 2 * min(low, high)), high
+
+    return pd.DataFrame([one(a, b) for a, b in zip(ranks, w)], columns=["two", "upper"], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())

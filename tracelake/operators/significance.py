@@ -30,7 +30,7 @@ def pairwise_delta(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def wilcoxon(long: DataFrame, keys: list[str]) -> DataFrame:
     """Signed-rank test, zeros dropped, average ranks on 9 places, tie-corrected normal statistic: w_plus, n, z (null if under 2
-    pairs or no difference)."""
+    pairs or no difference); and the exact p, two-sided and one-sided (greater), of cells of up to EXACT differences."""
     by = [*keys, "pipeline_i", "pipeline_j"]
     x = long.filter("x is not null and y is not null").withColumn("d", F.round(F.col("x") - F.col("y"), 9))
     pairs = x.groupBy(*by).agg(F.count("*").alias("n_paired"))
@@ -40,7 +40,16 @@ def wilcoxon(long: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48
     z = F.when((F.col("n_paired") >= 2) & (var > 0), (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var))
-    return pairs.join(t, by, "left").select(*by, "n_paired", F.coalesce("n", F.lit(0)).alias("n_nonzero"), "w_plus", z.alias("z"))
+    small = t.filter(F.col("n") <= stats.EXACT).select(*by)
+    ranks = r.join(small, by, "left_semi").groupBy(*by).agg(F.collect_list("rank").alias("ranks"))  # EXACT at most
+    x = pairs.join(t, by, "left").join(ranks, by, "left")
+    p = x.withColumn("p", stats.signed_rank_p("ranks", "w_plus")).withColumn("z", z)
+    return p.select(*by, "n_paired", F.coalesce("n", F.lit(0)).alias("n_nonzero"), "w_plus", "z", F.nanvl("p.two", F.lit(None)).alias("exact_p"), F.nanvl("p.upper", F.lit(None)).alias("exact_upper_p"))
+
+
+def signed_rank_p(tests: DataFrame) -> DataFrame:
+    """tests (of wilcoxon) with wilcoxon_p and upper_p: exact where that is known, else of the normal statistic."""
+    return tests.withColumn("wilcoxon_p", F.coalesce("exact_p", stats.two_sided_p("z"))).withColumn("upper_p", F.coalesce("exact_upper_p", stats.upper_p("z")))
 
 
 def cliffs_delta(long: DataFrame, keys: list[str]) -> DataFrame:

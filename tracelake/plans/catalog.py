@@ -763,7 +763,7 @@ def significance_matrix(spark: SparkSession, sf: str) -> DataFrame:
     difference, and the joint verdict."""
     by = ["stratum", "pipeline_i", "pipeline_j"]
     pairs = _pairs(spark, sf)
-    w = significance.wilcoxon(pairs, ["stratum"]).withColumn("wilcoxon_p", stats.two_sided_p("z"))
+    w = significance.signed_rank_p(significance.wilcoxon(pairs, ["stratum"]))
     d = significance.cliffs_delta(pairs, ["stratum"]).select(*by, F.col("delta").alias("cliffs_delta"), F.col("magnitude").alias("cliffs_magnitude"))
     ci = significance.bca_mean(pairs.withColumn("d", F.col("x") - F.col("y")), by, "d", ["query_id"]).select(*by, F.col("mean").alias("mean_delta"), "ci_lo", "ci_hi", ((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)).alias("ci_excludes_zero"))
     x = significance.holm(w.select(*by, "n_paired", "wilcoxon_p"), "wilcoxon_p").join(d, by).join(ci, by, "left")

@@ -174,13 +174,42 @@ def acceptance_checks(spark: SparkSession, sf: str) -> DataFrame:
     return a.withColumn("gain", r6("gain")).withColumn("closed", r6("closed"))
 
 
-@query()
+SQL_SIGNED = f"""{R.SQL_MEANS}, d AS (SELECT stratum, pipeline_i, pipeline_j, round(x - y, 9) AS d FROM pairs WHERE round(x - y, 9) <> 0),
+r AS (SELECT *, 2 * rank() OVER (PARTITION BY stratum, pipeline_i, pipeline_j ORDER BY abs(d)) + count(*) OVER (PARTITION BY stratum, pipeline_i, pipeline_j, abs(d)) - 1 AS r2,
+        row_number() OVER (PARTITION BY stratum, pipeline_i, pipeline_j ORDER BY abs(d), d) AS k, count(*) OVER (PARTITION BY stratum, pipeline_i, pipeline_j) AS n FROM d),
+small AS (SELECT * FROM r WHERE n <= {stats.EXACT}),
+flips AS (SELECT stratum, pipeline_i, pipeline_j, n, 0 AS k, CAST(0 AS BIGINT) AS s, CAST(1 AS DOUBLE) AS ways FROM small WHERE k = 1
+  UNION ALL SELECT stratum, pipeline_i, pipeline_j, n, k, s, sum(ways) FROM (
+    SELECT f.stratum, f.pipeline_i, f.pipeline_j, f.n, f.k + 1 AS k, unnest([f.s, f.s + r.r2]) AS s, f.ways
+    FROM flips f JOIN small r ON r.stratum = f.stratum AND r.pipeline_i = f.pipeline_i AND r.pipeline_j = f.pipeline_j AND r.k = f.k + 1) GROUP BY 1, 2, 3, 4, 5, 6),
+w AS (SELECT stratum, pipeline_i, pipeline_j, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) AS BIGINT) AS w2 FROM r GROUP BY 1, 2, 3),
+p AS (SELECT w.stratum, w.pipeline_i, w.pipeline_j, sum(ways) FILTER (WHERE s <= w2) / pow(2, max(w.n)) AS low, sum(ways) FILTER (WHERE s >= w2) / pow(2, max(w.n)) AS high
+      FROM w JOIN flips f ON w.stratum = f.stratum AND w.pipeline_i = f.pipeline_i AND w.pipeline_j = f.pipeline_j AND f.k = f.n GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_SIGNED} SELECT stratum, pipeline_i, pipeline_j, n AS n_nonzero, w2 / 2 AS w_plus, round(least(1.0, 2 * least(low, high)), 9) AS exact_p, round(high, 9) AS exact_upper_p FROM w LEFT JOIN p USING (stratum, pipeline_i, pipeline_j)""")
 def rank_test_p(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact signed-rank p of small cells, the normal one of others, and the p of rank correlations. Tests hold them against
-    enumeration and published values."""
+    """Exact signed-rank p, two-sided and one-sided, of cells of up to 50 differences, over the ranks as they are, tied or not; null
+    for larger cells, where the normal statistic serves (query wilcoxon, and the p values of significance_matrix)."""
     by = ["stratum", "pipeline_i", "pipeline_j"]
-    w = significance.wilcoxon(_pairs(spark, sf), ["stratum"])
-    return w.select(*by, "n_nonzero", "w_plus", F.coalesce(stats.wilcoxon_exact_p("w_plus", "n_nonzero"), stats.two_sided_p("z")).alias("p"))
+    w = significance.wilcoxon(_pairs(spark, sf), ["stratum"]).filter("n_nonzero > 0")
+    return w.select(*by, "n_nonzero", "w_plus", F.round("exact_p", 9).alias("exact_p"), F.round("exact_upper_p", 9).alias("exact_upper_p"))
+
+
+@query(f"""WITH {R.SQL_RATINGS}, l AS (SELECT source, doc_id, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(n_chars > 1000 AS INTEGER) AS yes FROM ratings)
+SELECT source, count(*) AS n_items, round(avg(CASE WHEN yes IN (0, 3) THEN 1 ELSE 0 END), 6) AS unanimous FROM l GROUP BY 1""")
+def unanimous_share(spark: SparkSession, sf: str) -> DataFrame:
+    """How often three raters all say the same."""
+    r = R.ratings(spark, sf)
+    each = F.explode(F.array("a", "b", F.col("n_chars") > 1000))
+    return agreement.unanimity(r.select("source", F.col("doc_id").alias("item"), each.alias("rating")), ["source"]).withColumn("unanimous", r6("unanimous"))
+
+
+@query()
+def rank_correlation_p(spark: SparkSession, sf: str) -> DataFrame:
+    """Spearman's rho of lengths and verdicts per language, with its p by Student's t. Tests hold the p against published values."""
+    x = agreement.spearman(R.ratings(spark, sf).withColumn("v", F.col("a").cast("int")), "n_chars", "v", ["lang"])
+    return x.withColumn("p", stats.correlation_p("spearman_rho", "n"))
 
 
 # --- contexts and runs ------------------------------------------------------------------------------------------------
@@ -240,23 +269,39 @@ def agent_with_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("query_id", "intent", "verdict", F.array_join(F.col("chunks").cast("array<string>"), ";").alias("chunks"))
 
 
-SQL_PICKED = f"""{SQL_V1}, picked AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS k, rule FROM routed),
-sent AS (SELECT 100 * k AS query_id, rule, CASE rule WHEN 'R1' THEN 'agentic-graph' WHEN 'R2' THEN 'vanilla' WHEN 'R3' THEN 'graphrag' WHEN 'R4' THEN 'graphrag' WHEN 'R5' THEN 'vanilla' ELSE 'agentic' END AS to_ FROM picked)"""
+SQL_PICKED = f"""{SQL_V1}, picked AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS k, rule, query FROM routed),
+sent AS (SELECT 100 * k AS query_id, rule, query, CASE rule WHEN 'R1' THEN 'agentic-graph' WHEN 'R2' THEN 'vanilla' WHEN 'R3' THEN 'graphrag' WHEN 'R4' THEN 'graphrag' WHEN 'R5' THEN 'vanilla' ELSE 'agentic' END AS to_ FROM picked),
+told AS (SELECT query_id, name, min(pos) AS pos FROM (SELECT query_id, unnest(n) AS name, generate_subscripts(n, 1) AS pos FROM (
+    SELECT query_id, regexp_extract_all(query, '\\b([A-Z]{{2,5}}-(?:[A-Z]?\\d+))\\b', 1) AS n FROM sent WHERE to_ = 'agentic-graph')) GROUP BY 1, 2),
+meant AS (SELECT query_id, id, min(pos) AS pos FROM told JOIN (SELECT 'SW-' || id AS name, id FROM chunks UNION ALL SELECT 'REQ-' || id, id FROM chunks) USING (name) GROUP BY 1, 2),
+round_about AS (SELECT DISTINCT query_id, b AS id FROM (SELECT query_id, dst AS b FROM meant JOIN walkable ON src = id UNION SELECT query_id, src FROM meant JOIN walkable ON dst = id) t
+  WHERE NOT EXISTS (SELECT 1 FROM meant m WHERE m.query_id = t.query_id AND m.id = t.b) AND b IN (SELECT id FROM chunks)),
+looked AS (SELECT query_id, id, 0 AS hops, pos FROM meant UNION ALL SELECT query_id, id, 1, 0 FROM round_about)"""
 
 
 @query(f"""WITH {SQL_RAG}, {SQL_PICKED},
 van AS (SELECT query_id, id, rank AS pos FROM ranked WHERE rank <= 5)
 SELECT s.query_id, 'adaptive' AS pipeline, to_ AS routed_to, rule, coalesce(CASE WHEN to_ = 'vanilla' THEN (SELECT string_agg(id, ';' ORDER BY pos) FROM van v WHERE v.query_id = s.query_id)
-  WHEN to_ IN ('graphrag', 'agentic-graph') THEN (SELECT string_agg(id, ';' ORDER BY pos) FROM context c WHERE c.query_id = s.query_id) END, '') AS ids FROM sent s""")
+  WHEN to_ = 'graphrag' THEN (SELECT string_agg(id, ';' ORDER BY pos) FROM context c WHERE c.query_id = s.query_id)
+  WHEN to_ = 'agentic-graph' THEN (SELECT string_agg(id, ';' ORDER BY hops, pos, id) FROM looked l WHERE l.query_id = s.query_id)
+  ELSE (SELECT string_agg(id, ';' ORDER BY rank) FROM ranked r WHERE r.query_id = s.query_id AND rank <= least(30, 10 + 10 * (s.query_id // 100 % 4))) END, '') AS ids FROM sent s""")
 def adaptive_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Each question goes to the pipeline that the rules pick, and its context comes back with the route. (The questions' texts are
-    the conversations'; their vectors are those of the stated query set, in order. The agentic pipeline isn't run here.)"""
+    """Each question goes to the pipeline that the rules pick, and its context comes back with the route; a pipeline sees the questions
+    sent to it only. (The questions' texts are the conversations'; their vectors are those of the stated query set, in order. SW-n and
+    REQ-n name chunk n; a question's need says when an agent's rounds have enough.)"""
     asked = runs.row_positions(_questions_text(spark, sf).withColumn("o", F.col("conv_id") * 100000 + F.col("turn")), "o")
-    routed = routing.route_v1(asked).select((F.col("pos") * 100).alias("query_id"), "pipeline", "rule", "reason")
-    s, e, c = R.seeds(spark, sf), R.edges(spark, sf), R.chunks(spark, sf)
-    walked = written(retrieval.graphrag(s, e, c).select("query_id", "id", "pos"), "walked")
-    near = vectors.top_k(R.questions(spark, sf), R.vectors_of(spark, sf), 5).select("query_id", "id", F.col("rank").alias("pos"))
-    x = routing.adaptive_run(routed, {"vanilla": near, "graphrag": walked, "agentic-graph": walked})
+    routed = written(routing.route_v1(asked).select((F.col("pos") * 100).alias("query_id"), "query", "pipeline", "rule", "reason"), "routed")
+    sent = lambda name: routed.filter(F.col("pipeline") == name)
+    q, v, e, c = R.questions(spark, sf), R.vectors_of(spark, sf), R.edges(spark, sf), R.chunks(spark, sf)
+    hits = lambda name, k: vectors.top_k(q.join(sent(name).select("query_id"), "query_id", "left_semi"), v, k)
+    near = hits("vanilla", 5).select("query_id", "id", F.col("rank").alias("pos"))
+    walked = retrieval.graphrag(written(hits("graphrag", R.SEED_COUNT).select("query_id", "id", "rank"), "seeds"), e, c).select("query_id", "id", "pos")
+    named = c.select("id", F.explode(F.array(*(F.concat(F.lit(x), F.col("id").cast("string")) for x in ("SW-", "REQ-")))).alias("name"))
+    enough = F.size("chunks") >= 5 + 10 * (F.floor(F.col("query_id") / 100) % 4)
+    agents = {"agentic": agent.rounds(written(agent.looked_up(agent.start(sent("agentic")), named), "states"), hits("agentic", 30), enough)}
+    agents["agentic-graph"] = agent.looked_up(agent.start(sent("agentic-graph")), named, e)
+    kept = {name: states.select("query_id", F.posexplode("chunks").alias("pos", "id")).select("query_id", "id", "pos") for name, states in agents.items()}
+    x = routing.adaptive_run(routed, {"vanilla": near, "graphrag": walked, **kept})
     return x.select("query_id", "pipeline", "routed_to", "rule", F.array_join(F.col("ids").cast("array<string>"), ";").alias("ids"))
 
 
