@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import agent, agreement, benchmarks, corpus, graph, judging, reports, retrieval, routing, runs, significance, vectors
+from ..operators import agent, agreement, benchmarks, corpus, graph, judging, reports, retrieval, routing, runs, significance, tools, vectors
 from ..providers import EMBEDDERS
 from ..scratch import folder, table, written
 from ..sources import files
 from . import roles as R
-from .catalog import SQL_PPR_CONTEXT, SQL_RAG, SQL_V1, _cells, _pairs, _questions_text, query, r6, sql_context
+from ..sources.keyed import KeyedTable
+from ..streaming.agent_state import keep_threads
+from .catalog import ORACLES, SQL_PPR_CONTEXT, SQL_RAG, SQL_V1, _cells, _pairs, _questions_text, query, r6, sql_context
 
 # --- run logs ---------------------------------------------------------------------------------------------------------
 
@@ -312,6 +314,51 @@ def question_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.paths(R.edges(spark, sf), 2, 2).select(benchmarks.question_prompt(F.col("nodes"), F.col("rels")).alias("prompt"))
 
 
+# --- tools in SQL, threads in a stream --------------------------------------------------------------------------------
+
+
+@query(ORACLES["graph_lookup"])
+def graph_lookup_function(spark: SparkSession, sf: str) -> DataFrame:
+    """The tool's texts by SQL, as a table function over the seeds' links."""
+    tools.register(spark)
+    links = tools.links_of(R.seeds(spark, sf), R.edges(spark, sf), R.chunks(spark, sf))
+    return spark.sql("SELECT query_id, seed, summary FROM graph_lookup(TABLE({links}))", links=links)
+
+
+@query(ORACLES["search_documents"])
+def search_documents_function(spark: SparkSession, sf: str) -> DataFrame:
+    tools.register(spark)
+    q, hits = R.questions(spark, sf).select("query_id"), vectors.top_k(R.questions(spark, sf), R.vectors_of(spark, sf), 10)
+    found = hits.join(R.chunks(spark, sf).select("id", "module", "heading"), "id").select("query_id", "rank", "id", "module", "heading")
+    return spark.sql("SELECT query_id, summary FROM search_documents(TABLE({hits}))", hits=q.join(found, "query_id", "left"))
+
+
+@query(ORACLES["identifiers"])
+def named_ids_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers that questions name, by a table function at each row's side."""
+    tools.register(spark)
+    asked = _questions_text(spark, sf)
+    sql = """WITH named AS (SELECT conv_id, turn, array_join(sort_array(array_agg(i.id)), ';') AS ids FROM {asked}, LATERAL named_ids(query) i GROUP BY conv_id, turn)
+             SELECT conv_id, turn, coalesce(ids, '') AS ids FROM {asked} LEFT JOIN named USING (conv_id, turn)"""
+    return spark.sql(sql, asked=asked)
+
+
+@query(ORACLES["agent_rounds"])
+def streamed_agent_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The rounds of agent_rounds as a stream of outputs: a query folds the first round into the threads' states and ends; another one
+    goes on from its checkpoint with the rest."""
+    inbox, state, checkpoint = (folder(spark, x) for x in ("inbox", "threads", "checkpoint"))
+    ranked = vectors.top_k(R.questions(spark, sf), R.vectors_of(spark, sf), 30)
+    each = ranked.groupBy("query_id", F.floor((F.col("rank") - 1) / 10).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("h"))
+    need = 5 + 10 * (F.floor(F.col("query_id") / 100) % 4)
+    outputs = written(each.select("query_id", "seq", F.col("h.id").alias("chunks"), F.create_map(F.lit("calls"), F.lit(1).cast("long")).alias("tokens"), need.alias("need")), "outputs")
+    for part in ("seq = 0", "seq > 0"):
+        outputs.filter(part).write.mode("append").parquet(inbox)
+        keep_threads(spark.readStream.schema(outputs.schema).parquet(inbox), state, checkpoint).awaitTermination()
+    done = KeyedTable(spark, state).read()
+    return done.select("query_id", F.lit("semantic").alias("intent"), "verdict", "iter_count", F.size("chunks").alias("n_chunks"))
+
+
 # --- in and out -------------------------------------------------------------------------------------------------------
 
 
