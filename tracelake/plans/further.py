@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import agent, agreement, benchmarks, corpus, graph, judging, reports, retrieval, routing, runs, significance, tools, vectors
+from ..operators import agent, agreement, benchmarks, corpus, graph, judging, regression, reports, retrieval, routing, runs, significance, tools, vectors
 from ..providers import EMBEDDERS
 from ..scratch import folder, table, written
 from ..sources import files
@@ -145,6 +145,32 @@ def factor_interaction(spark: SparkSession, sf: str) -> DataFrame:
     return agreement.interaction(r, ["source"], "english", "b", "a").select("source", r6("log_odds").alias("log_odds"), r6("error").alias("error"))
 
 
+@query(ORACLES["factor_interaction"])
+def logistic_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    """The same effect as the last coefficient of a logistic model fitted by Newton steps over sums of all rows; the SQL has its closed
+    form."""
+    r = R.ratings(spark, sf).select("source", F.col("lang").eqNullSafe("en").cast("int").alias("english"), F.col("b").cast("int").alias("b"), "a")
+    m = regression.logistic(r.withColumn("both", F.col("english") * F.col("b")), ["source"], ["english", "b", "both"], "a")
+    last = F.element_at("terms", -1)
+    return m.select("source", r6(last["coefficient"]).alias("log_odds"), r6(last["error"]).alias("error"))
+
+
+@query("""WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, generate_series(1, 64) t(i)), m AS (SELECT i, avg(v) AS m FROM x GROUP BY 1)
+SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(avg((a.v - p.m) * (b.v - q.m)), 6) AS covariance FROM x a JOIN x b USING (vec_id) JOIN m p ON p.i = a.i JOIN m q ON q.i = b.i GROUP BY 1, 2""")
+def vector_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    """What principal components are made from: the covariance of all vectors."""
+    _, _, c = regression.moments(table(spark, sf, "embeddings"), "embedding")
+    return spark.createDataFrame([(i, j, round(float(v), 6) + 0.0) for i, row in enumerate(c) for j, v in enumerate(row)], "i int, j int, covariance double")
+
+
+@query()
+def principal_projections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector along the eight axes of largest variance. Tests hold the axes against a plain decomposition."""
+    e = table(spark, sf, "embeddings")
+    mean, axes, _ = regression.principal_components(e, "embedding", 8)
+    return regression.projected(e.select("vec_id", "embedding"), "embedding", mean, axes).select("vec_id", "projection")
+
+
 SQL_STATED = f"""{R.SQL_MEANS}, m AS (SELECT stratum, pipeline_i, pipeline_j, avg(x - y) AS d, 1.96 * stddev_samp(x - y) / sqrt(count(*)) AS h, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
 cd AS (SELECT a.stratum, a.pipeline AS pipeline_i, b.pipeline AS pipeline_j, avg(sign(a.score - b.score)) AS delta FROM means a JOIN means b ON a.stratum = b.stratum AND a.pipeline < b.pipeline GROUP BY 1, 2, 3),
 t AS (SELECT m.*, cd.delta, round(least(1.0, abs(h) / (abs(d) + abs(h)) / 10), 9) AS p FROM m JOIN cd USING (stratum, pipeline_i, pipeline_j)),
