@@ -9,7 +9,9 @@ there is one. A page without a winning path gives the text of its own best conta
 
 Dropped are elements whose kind is boilerplate (navigation, footers, scripts, ...), hidden ones, and those that a whole class or
 id token, role or item type marks: every word of the token is a mark or a word of layout, so `post-comments` and `ad-box` are
-marks, `commentary`, `social-studies`, `has-sidebar` aren't. A marked or hidden wrapper, or a form, that holds the page's main
+marks, `commentary`, `social-studies`, `has-sidebar` aren't. Words that also name parts of an article (`discussion`, `widget`) mark
+an element of one only if it reads like boilerplate: without a paragraph, with much link text, with a form, or as a thread (several
+children of one path). A marked or hidden wrapper, or a form, that holds the page's main
 element is kept, and so is one that holds nearly all prose and every paragraph of the main element (of the page, if it has none);
 if nothing were left all marks but those of forms are passed over.
 
@@ -49,15 +51,18 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle adbox adslot banner banners taboola outbrain sponsor sponsors sponsored promo promos promotion promoted notice notices alert alerts popup popups modal overlay "
     "newsletter subscribe subscription signup signin login menu menus submenu nav navbar navigation topnav subnav sidenav mainnav sitenav navmenu topmenu mainmenu breadcrumb breadcrumbs sidebar sidebars side widget widgets related recommended recommendations "
-    "share sharing sharebar social footer header masthead topbar toolbar pagination pager toc form search searchbox searchform".split()
+    "share sharing sharebar social footer header masthead topbar toolbar pagination pager toc form search searchbox searchform "
+    "werbung anzeige anzeigen reklame publicite annonce annonces publicidad anuncio anuncios".split()
 )
 #: Words that mark what readers or the site's consent banners say.
-OTHERS_SAY = frozenset("comment comments commentlist disqus respond responses reply replies discussion talkback cookie cookies consent gdpr".split())
+OTHERS_SAY = frozenset("comment comments commentlist disqus respond responses reply replies discussion talkback feedback cookie cookies consent gdpr kommentar kommentare commentaire commentaires comentario comentarios".split())
+#: Of those words, the ones that also name parts of an article.
+EITHER = frozenset("discussion responses respond feedback widget widgets".split())
 #: Words of layout, which change nothing about a mark beside them.
 LAYOUT = frozenset(
     "area article articles author bar bars blog block blocks body bottom box boxes btn button buttons center col column container content contents count cta custom desktop entry fixed float floating global google holder icon icons inner "
     "item items js label left link links list lists main meta mobile module modules outer page pages panel placeholder post posts primary reader readers right row secondary section sections site slot small sticky story stories strip "
-    "text thread title tools top unit units user users view wrap wrapper wrappers zone policy law info message messages email mail top sm md lg xl".split()
+    "text thread title tools top unit units user users view wrap wrapper wrappers zone policy law info message messages email mail top sm md lg xl fb facebook gpt dfp".split()
 )
 #: Roles and item types that mark what isn't the article.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -72,6 +77,8 @@ _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)"
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 
 WRAPPER, FORM, OTHERS, FIXED = 1, 2, 3, 4
+#: Added to a mark that only words of EITHER make, until the element has been read.
+EITHER_WAY = 8
 #: How much prose of a container counts, by its kind; each container hands STEP of it to the one around it.
 _BONUS = {"article": 2.0, "main": 1.5, "section": 1.0, "div": 1.0, "td": 0.8, "body": 0.7, "blockquote": 0.3, "html": 0.5, "": 0.4}
 STEP = 0.75
@@ -96,9 +103,10 @@ class Node:
 
 
 def _token_mark(token: str, inside: bool) -> int:
-    """WRAPPER or OTHERS if the token's words are marks and words of layout only, else 0."""
+    """WRAPPER or OTHERS if the token's words are marks and words of layout only, else 0; EITHER_WAY is added inside an article if all
+    those marks are words of EITHER."""
     words = _WORD.findall(_CAMEL.sub(" ", token).lower())
-    found = 0
+    found, either = 0, inside
     for w in words:
         if w in OTHERS_SAY:
             found = OTHERS
@@ -108,7 +116,10 @@ def _token_mark(token: str, inside: bool) -> int:
             found = found or WRAPPER
         elif w not in LAYOUT and len(w) > 1:
             return 0
-    return found
+        else:
+            continue
+        either = either and w in EITHER
+    return found + EITHER_WAY if found and either else found
 
 
 def _marks(attrs: str, inside: bool) -> tuple[int, bool, str]:
@@ -119,9 +130,9 @@ def _marks(attrs: str, inside: bool) -> tuple[int, bool, str]:
     mark = 0
     for name in ("class", "id"):
         for token in found.get(name, "").split():
-            mark = max(mark, _token_mark(token, inside))
+            mark = max(mark, _token_mark(token, inside), key=lambda m: (m != 0, m < EITHER_WAY, m))  # a plain mark outweighs one that may go
     if found.get("role", "").strip().lower() in ROLES:
-        mark = mark or WRAPPER
+        mark = mark if 0 < mark < EITHER_WAY else WRAPPER
     if found.get("itemprop", "").lower() == "comment" or found.get("itemtype", "").rstrip("/").lower().endswith(("/comment", "/usercomments")):
         mark = OTHERS
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "style" in found and bool(_HIDDEN.search(found["style"]))
@@ -232,7 +243,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
             if open_.get(tag) or attrs.strip():
                 mark, hidden, _ = _marks(attrs, at.inside) if attrs else (0, False, "")
                 if mark or hidden or open_.get(tag):
-                    push(Node(tag, at.path, at, mark or (WRAPPER if hidden else 0)))
+                    push(Node(tag, at.path, at, WRAPPER if hidden and mark > EITHER_WAY else mark or (WRAPPER if hidden else 0)))
             continue
         if attrs.rstrip().endswith("/") and tag not in ("div", "section", "article", "main"):
             continue
@@ -245,10 +256,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
         elif tag in ("html", "body", "main"):
             own = 0
         elif tag == "article":
-            own = mark if mark == OTHERS else 0
+            own = mark if mark % EITHER_WAY == OTHERS else 0
         else:
             own = mark
-        own = own or (WRAPPER if hidden else FORM if tag == "form" else 0)
+        own = WRAPPER if hidden and own > EITHER_WAY else own or (WRAPPER if hidden else FORM if tag == "form" else 0)
         name = tag + "".join("." + w for w in sorted(set(_WORD.findall(_CAMEL.sub(" ", classes).lower()))))
         node = Node(tag, xxhash.xxh64_intdigest(name, seed=at.path) >> 1, at, own)
         if tag in _WALLS or kind is not None:
@@ -273,6 +284,8 @@ def _settle(nodes: list[Node], events: list[tuple[Node, int, str]]) -> None:
                 node.prose += n
             else:
                 node.links += n
+    if any(n.own > EITHER_WAY for n in nodes):
+        _weigh(nodes)
     if any(n.own for n in nodes):
         root = nodes[0]
         cores, frees, core_paras, free_paras = _held(nodes)
@@ -295,6 +308,24 @@ def _settle(nodes: list[Node], events: list[tuple[Node, int, str]]) -> None:
             n.parent.has = True
 
 
+def _weigh(nodes: list[Node]) -> None:
+    """Decide the marks that may go either way by what lies below them: prose, link text, paragraphs, forms, children of one path."""
+    prose, links, paras = ({n: v(n) for n in nodes} for v in (lambda n: n.prose, lambda n: n.links, lambda n: n.paras))
+    forms = {n: n.tag == "form" for n in nodes}
+    for n in reversed(nodes):
+        if n.parent:
+            for below in (prose, links, paras, forms):
+                below[n.parent] += below[n]
+    children: dict[Node, list[int]] = {}
+    for n in nodes[1:]:
+        if n.parent.own > EITHER_WAY and n.tag in CONTAINERS and (prose[n] or links[n]):
+            children.setdefault(n.parent, []).append(n.path)
+    for n in nodes:
+        if n.own > EITHER_WAY:
+            thread = len(children.get(n, ())) > len(set(children.get(n, ())))
+            n.own = n.own - EITHER_WAY if not paras[n] or 3 * links[n] > prose[n] or forms[n] or thread else 0
+
+
 def _held(nodes: list[Node]) -> tuple[dict, dict, dict, dict]:
     """By node, below it: prose in main and article elements, prose that no fixed element or readers' part holds, and the paragraphs
     of both."""
