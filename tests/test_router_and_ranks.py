@@ -96,3 +96,29 @@ def test_intervals_of_small_and_constant_cells(spark):
     assert (strict["few"]["ci_lo"], strict["few"]["method"]) == (None, "n<5")
     assert (strict["flat"]["ci_lo"], strict["flat"]["ci_hi"], strict["flat"]["method"]) == (1.0, 1.0, "constant")
     assert strict["some"]["ci_lo"] == plain["some"]["ci_lo"] < strict["some"]["mean"] < strict["some"]["ci_hi"]
+
+
+def test_draws_of_a_tree_are_a_multinomial():
+    n = 256 * 37 + 11
+    leaves = -(-n // significance.LEAF)
+    draws = np.array([significance.leaf_draws(5, n, i, 1000, 3) for i in range(leaves)])
+    assert (draws.sum(0) == n).all()
+    size = np.array([significance.LEAF] * (leaves - 1) + [11])
+    p = size / n
+    assert np.abs(draws.mean(1) - n * p).max() < 5 * np.sqrt(n * p.max() / 1000) and np.abs(draws.var(1) / (n * p * (1 - p)) - 1).max() < 0.25
+    cov = np.cov(draws[:3])
+    assert abs(cov[0, 1] / (-n * p[0] * p[1]) - 1) < 12  # small and negative, within noise
+
+
+def test_resamples_have_exactly_as_many_draws(spark, monkeypatch):
+    from tracelake.operators import significance as sig
+
+    monkeypatch.setattr(sig, "ranges_for", lambda rows: 5)
+    rows = [(k, i, float(i % 7)) for k, n in (("a", 1000), ("b", 3), (None, 300)) for i in range(n)] + [("a", 5, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(4)
+    got = sig.resampled_sums(df, ["k"], "v", ["i"], resamples=200).collect()
+    assert len(got) == 600 and {(r["k"], r["w"]) for r in got} == {("a", 1000), ("b", 3), (None, 300)}
+    means = np.array([r["s"] / r["w"] for r in got if r["k"] == "a"])
+    plain = np.array([x[2] for x in rows if x[0] == "a" and x[2] is not None])
+    assert abs(means.mean() - plain.mean()) < 4 * plain.std() / np.sqrt(1000 * 200) and abs(means.std() / (plain.std() / np.sqrt(1000)) - 1) < 0.2
+    assert sig.resampled_sums(df.limit(0), ["k"], "v", ["i"]).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..scratch import average_ranks
+from ..scratch import average_ranks, ranges_for, written
 
 #: Resamples of a bootstrap and its seed.
 RESAMPLES, SEED = 1000, 20260511
@@ -81,53 +81,102 @@ def joint_significance(tests: DataFrame) -> DataFrame:
     return tests.withColumn("significant", c)
 
 
-def _poisson_weights(rows: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """A Poisson(1) weight for each row hash and resample, from a counter-based generator: the same on any machine."""
-    h = rows[:, None] + np.arange(resamples, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
-        h ^= h >> np.uint64(shift)
-        if mul:
-            h *= np.uint64(mul)
-    u = (h >> np.uint64(11)).astype(np.float64) / 2.0**53
-    cuts, p, total = [], np.exp(-1.0), np.exp(-1.0)
-    for k in range(1, 12):
-        cuts.append(total)
-        p /= k
-        total += p
-    return np.searchsorted(np.array(cuts), u, side="right").astype(np.float64)
+#: Rows whose draws one step deals out at once.
+LEAF = 256
+
+
+def _generator(key: int, seed: int, lo: int, hi: int) -> np.random.Generator:
+    """The generator of a node of a key's tree: the same on any machine."""
+    return np.random.Generator(np.random.Philox(key=(key & (1 << 64) - 1) ^ seed, counter=[0, 0, lo, hi]))
+
+
+def leaf_draws(key: int, n: int, leaf: int, resamples: int, seed: int) -> np.ndarray:
+    """How many of a resample's n draws fall on a leaf's rows (LEAF of a key's n rows, by place), for every resample. Down a tree of
+    ranges, each node splits its draws by a binomial in proportion to its halves' rows; so all leaves together get exactly n."""
+    lo, hi, draws = 0, -(-n // LEAF), np.full(resamples, n, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = _generator(key, seed, lo, hi).binomial(draws, (mid - lo) * LEAF / (min(hi * LEAF, n) - lo * LEAF))
+        lo, hi, draws = (lo, mid, left) if leaf < mid else (mid, hi, draws - left)
+    return draws
+
+
+def _resampled(values: np.ndarray, key: int, n: int, leaf: int, resamples: int, seed: int) -> np.ndarray:
+    """(2, resamples): the sum of a leaf's values over its draws, and the number of draws."""
+    draws = leaf_draws(key, n, leaf, resamples, seed)
+    picked = _generator(key, seed + 1, leaf, leaf + 1).integers(0, len(values), int(draws.sum()))
+    return np.stack((np.bincount(np.repeat(np.arange(resamples), draws), values[picked], resamples), draws))
+
+
+def resampled_sums(values: DataFrame, keys: list[str], value: str, row_id: list[str], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """keys, b, s, w: for each key and resample b the sum of the values drawn and the number of draws, which is the key's number of
+    rows: a multinomial bootstrap in which no key is gathered. Rows are placed by a hash of their id, in ranges of it that are counted
+    first; a task deals out the draws of the leaves it holds, and sums them."""
+    kinds = {f.name: f.dataType.simpleString() for f in values.schema.fields}
+    x = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.xxhash64(*row_id, F.lit(seed)).alias("h"), F.to_json(F.struct(F.lit(0).alias("_"), *keys)).alias("kk"))
+    x = written(x, "values")
+    total = x.count()
+    parts = ranges_for(total)
+    x = x.withColumn("_r", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * parts))
+    counts = x.groupBy("kk", "_r").agg(F.count("*").alias("_m"))
+    before = Window.partitionBy("kk").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # ranges of a key
+    counts = counts.select("kk", "_r", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_base"), F.sum("_m").over(Window.partitionBy("kk")).alias("n"))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy("kk", "_r").orderBy("h", "v")) - 1
+    y = x.join(counts, ["kk", "_r"]).withColumn("at", place).withColumn("leaf", F.floor(F.col("at") / LEAF)).withColumn("kh", F.xxhash64("kk"))
+    dealt = y.select(*keys, "kk", "kh", "leaf", "at", "n", "v").repartition(max(8, min(1 << 14, total // 20_000)), "kk", "leaf").sortWithinPartitions("kk", "leaf", "at")
+
+    def run(batches):
+        sums: dict[str, list] = {}
+        open_: list = []  # the leaf that is being read: its key's name, keys, (hash, n, leaf), values
+
+        def close():
+            name, mine, (kh, n, leaf), parts = open_
+            found = _resampled(np.concatenate(parts), kh, n, leaf, resamples, seed)
+            held = sums.setdefault(name, [mine, np.zeros_like(found, np.float64)])
+            held[1] += found
+
+        for batch in batches:
+            kh, leaf, n, v = (np.array(batch.column(c)) for c in ("kh", "leaf", "n", "v"))
+            cuts = np.flatnonzero((kh[1:] != kh[:-1]) | (leaf[1:] != leaf[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(v)]):
+                if lo == hi:
+                    continue
+                which = (int(kh[lo]), int(n[lo]), int(leaf[lo]))
+                if open_ and open_[2] == which:
+                    open_[3].append(v[lo:hi])
+                    continue
+                if open_:
+                    close()
+                open_ = [batch.column("kk")[lo].as_py(), [batch.column(k)[lo] for k in keys], which, [v[lo:hi]]]
+            if len(sums) > 2000:
+                yield out(sums)
+                sums = {}
+        if open_:
+            close()
+        yield out(sums)
+
+    def out(sums):
+        held = list(sums.values())
+        arrays = [pa.array([mine[i].as_py() for mine, _ in held for _ in range(resamples)], types[k]) for i, k in enumerate(keys)]
+        flat = lambda i: pa.array(np.concatenate([f[i] for _, f in held]) if held else [], pa.float64())
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.tile(np.arange(resamples, dtype=np.int32), len(held))), flat(0), flat(1)], [*keys, "b", "s", "w"])
+
+    types = {f.name: f.type for f in dealt.limit(0).toArrow().schema}
+    reps = dealt.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "b int, s double, w double"]))
+    return reps.groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("w").cast("long").alias("w"))
 
 
 def bca_mean(values: DataFrame, keys: list[str], value: str, row_id: list[str], resamples: int = RESAMPLES, seed: int = SEED, level: float = 0.95, least: int = 2, constant_is_point: bool = False) -> DataFrame:
     """mean, ci_lo, ci_hi, method per key: a BCa interval of the mean.
 
-    Resamples are Poisson weights drawn from each row's id, so they are sums: tasks add up partial sums per key, and a key of any
-    size is never gathered. For a mean, the jackknife's acceleration is a ratio of central moments. Null under `least` rows, and
-    without variance (or the constant itself, if it is to count as a point; shares of few judgments take 5 rows and that).
+    Resamples are those of resampled_sums: multinomial, and sums, so a key of any size is never gathered. For a mean, the jackknife's
+    acceleration is a ratio of central moments. Null under `least` rows, and without variance (or the constant itself, if it is to
+    count as a point; shares of few judgments take 5 rows and that).
     """
-    x = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.xxhash64(*row_id, F.lit(seed)).alias("h"))
+    reps = resampled_sums(values, keys, value, row_id, resamples, seed)
+    x = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
-
-    def partial(batches):
-        for batch in batches:
-            names = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
-            v, h = np.array(batch.column("v")), np.array(batch.column("h")).view(np.uint64)
-            at: dict[tuple, list[int]] = {}
-            for i, n in enumerate(names):
-                at.setdefault(n, []).append(i)
-            rows = []
-            for n, idx in at.items():
-                sums = np.zeros((2, resamples))
-                for lo in range(0, len(idx), 512):
-                    part = idx[lo : lo + 512]
-                    w = _poisson_weights(h[part], resamples, seed)
-                    sums += np.stack((v[part] @ w, w.sum(0)))
-                rows.append((n, sums))
-            arrays = [pa.array([r[0][i] for r in rows for _ in range(resamples)], batch.schema.field(k).type) for i, k in enumerate(keys)]
-            arrays += [pa.array(np.tile(np.arange(resamples, dtype=np.int32), len(rows))), pa.array(np.concatenate([r[1][0] for r in rows]) if rows else [], pa.float64()), pa.array(np.concatenate([r[1][1] for r in rows]) if rows else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keys, "b", "s", "w"])
-
-    reps = x.mapInArrow(partial, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "b int, s double, w double"]))
-    reps = reps.groupBy(*keys, "b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("means"))  # resamples values a key
+    reps = reps.select(*keys, F.try_divide("s", "w").alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("means"))  # resamples values a key
     m1 = x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.skewness("v").alias("skew"))
     y = m1.join(reps, keys) if keys else m1.crossJoin(reps)
     tail = (1 - level) / 2
