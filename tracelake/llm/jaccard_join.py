@@ -439,15 +439,20 @@ def link_components(docs: DataFrame, pct: int = 80, k: int = 5) -> tuple[DataFra
     cand = _candidates(shared.repartitionById(units, F.pmod(F.xxhash64("unit"), F.lit(units)).cast("int")), pct, ranges)
     rest = [F.first(c).alias(c) for c in ("n", "alone", "prefix", "tokens")]  # equal for equal sets
     sets = written(cand.groupBy("d1", "d2").agg(F.min("sid").alias("sid"), *rest), "sets")
+    # sets of one doc_id share a name: an overlap with it is that of any of them, and says nothing about the others
+    shared_names = written(sets.groupBy("sid").count().filter("count > 1").select("sid"), "names")
+    unclear = not shared_names.isEmpty()
     few = max(8, min(parts, spark.sparkContext.defaultParallelism * 4))
     entries = written(_entries(sets), "entries")
     index = entries.repartition(few, "token").sortWithinPartitions("token", "n", "pos", "sid")
     answers = written(_overlaps(_first_pairs(index, pct), sets, pct), "answers")
-    spent: list[DataFrame] = [entries]  # deleted at the end: nothing of the result is read from them
+    spent: list[DataFrame] = [entries, shared_names]  # deleted at the end: nothing of the result is read from them
     for turn in range(PIVOT_ROUNDS):
         comps = written(components(answers.filter("linked"), "a", "b"), "comps")
         spent += [comps, answers]
         both = answers.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "common").union(answers.select("b", "a", "common"))
+        if unclear:
+            both = both.join(shared_names, "sid", "left_anti").join(shared_names.withColumnRenamed("sid", "pivot"), "pivot", "left_anti").select("sid", "pivot", "common")
         hub = both.groupBy("pivot").count().filter(F.col("count") > 1)
         near = both.join(hub, "pivot").groupBy("sid").agg(F.max_by(F.struct("pivot", "common"), F.struct("count", "pivot")).alias("p"))
         long_ = entries.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL_LIST).select("token")
