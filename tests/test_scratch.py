@@ -79,3 +79,16 @@ def test_paced_calls_equal_a_loop(spark, monkeypatch):
         last[s] = due if s not in last else max(due, last[s] + 0.75)
         assert abs(got[i] - last[s]) < 1e-9
     assert len(got) == 300
+
+
+def test_queries_leave_no_folder_behind(spark):
+    """What queries write lies in the application's folder and goes with it."""
+    from tracelake.plans import catalog, further  # noqa: F401
+
+    scratch.clean(spark)
+    before = set(os.listdir(scratch.shared_dir(spark)))
+    for name in ("appended_runs", "jsonl_edges", "manifest_last_wins", "csv_runs", "streamed_run_keys", "vector_upsert", "index_top_k"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert set(os.listdir(scratch.shared_dir(spark))) - before == {os.path.basename(scratch._home(spark))}
+    scratch.clean(spark)
+    assert set(os.listdir(scratch.shared_dir(spark))) == before

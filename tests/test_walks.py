@@ -56,3 +56,23 @@ def test_a_hub_is_not_expanded(spark):
     walk(plan)
     assert rows and max(n for name, n in rows if "LeftSemi" not in name) <= 2 * leaves + 10  # the links themselves, semi-joined once
     assert sorted(n for _, n in rows)[-2] < 1000 or sorted(n for _, n in rows)[-1] < 1000
+
+
+def plain_paths(edges, least, most):
+    out, grown = [], [([a, b], [r], [i]) for i, (a, b, r) in enumerate(edges) if r in graph.WALK_TYPES]
+    for hops in range(1, most + 1):
+        if hops >= least:
+            out += [(*n, *r) for n, r, _ in grown if n[0] != n[-1]]
+        grown = [([*n, b], [*r, rel], [*u, i]) for n, r, u in grown for i, (a, b, rel) in enumerate(edges) if rel in graph.WALK_TYPES and a == n[-1] and i not in u]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least, most", [(1, 1), (2, 2), (3, 4), (4, 4), (1, 5)])
+def test_paths_equal_step_by_step_growth(spark, least, most):
+    r = random.Random(most)
+    edges = [(r.choice("abcdefgh"), r.choice("abcdefgh"), r.choice(["REFINES", "VERIFIES", "MENTIONS"])) for _ in range(22)]
+    edges += edges[:2]
+    df = graph.paths(spark.createDataFrame(edges, "src string, dst string, rel string"), least, most)
+    assert sorted((*x["nodes"], *x["rels"]) for x in df.collect()) == plain_paths(edges, least, most)
+    joins = df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    assert joins == {(1, 1): 0, (2, 2): 1, (4, 4): 3}.get((least, most), joins)  # the half of two edges is made for each side

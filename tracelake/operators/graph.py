@@ -5,6 +5,8 @@ Every step is an equi-join from the frontier, never from the whole graph; edges
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -75,20 +77,24 @@ def edges_with_ends(edges: DataFrame, node: DataFrame, types=WALK_TYPES) -> Data
 
 def paths(edges: DataFrame, least: int, most: int, types=WALK_TYPES) -> DataFrame:
     """nodes, rels, hops of directed paths of least..most edges. No edge is used twice; nodes may be; the ends differ. Edges
-    that occur several times are different edges, so each gives its own path."""
+    that occur several times are different edges, so each gives its own path.
+
+    A longer path is two halves that meet at a node and share no edge, so paths of four edges need those of two, and none of three."""
     order = Window.partitionBy("src", "dst", "rel").orderBy(F.lit(0))
     e = whitelisted(edges, types).select("src", "dst", "rel").withColumn("copy", F.row_number().over(order))
-    e = e.select("src", "dst", "rel", F.struct("src", "dst", "rel", "copy").alias("eid"))
-    x = e.select(F.array("src", "dst").alias("nodes"), F.array("rel").alias("rels"), F.array("eid").alias("used"), F.col("dst").alias("at"))
-    found = None
-    for hops in range(1, most + 1):
-        if hops > 1:
-            y = x.join(e, (x["at"] == e["src"]) & ~F.array_contains(x["used"], e["eid"]))
-            x = y.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"), F.concat("used", F.array("eid")).alias("used"), F.col("dst").alias("at"))
-        if hops >= least:
-            part = x.filter(F.element_at("nodes", 1) != F.element_at("nodes", -1)).select("nodes", "rels", F.lit(hops).alias("hops"))
-            found = part if found is None else found.union(part)
-    return found
+    one = e.select("src", "dst", F.array("src", "dst").alias("nodes"), F.array("rel").alias("rels"), F.array(F.struct("src", "dst", "rel", "copy")).alias("used"))
+    made = {1: one}
+
+    def of(hops: int) -> DataFrame:
+        if hops not in made:
+            x, y = of(hops - hops // 2), of(hops // 2).toDF("mid", "end", "nodes2", "rels2", "used2")
+            met = x.join(y, (x["dst"] == y["mid"]) & ~F.arrays_overlap(x["used"], y["used2"]))
+            tail = F.slice("nodes2", 2, hops // 2)
+            made[hops] = met.select("src", F.col("end").alias("dst"), F.concat("nodes", tail).alias("nodes"), F.concat("rels", "rels2").alias("rels"), F.concat("used", "used2").alias("used"))
+        return made[hops]
+
+    parts = [of(h).filter("src <> dst").select("nodes", "rels", F.lit(h).alias("hops")) for h in range(least, most + 1)]
+    return reduce(DataFrame.union, parts)
 
 
 def gold_records(path: DataFrame, node: DataFrame) -> DataFrame:

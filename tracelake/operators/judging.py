@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .runs import is_ok, pending
 
 KEY = ["query", "pipeline", "repeat"]
@@ -21,6 +22,14 @@ def judged(runs: DataFrame, judges: dict[str, Callable[[Column, Column, Column],
     return x if done is None else pending(x, done, [*KEY, "judge", "judged_on"])
 
 
+def recorded(answers: DataFrame, judged_on: str, raw: str = "raw", tokens: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What judges said (KEY, judge, raw text) as judgments (with reason and tokens), and as errors (with the error): an answer that
+    can't be read is no judgment, and stays to be asked again."""
+    x = answers.withColumn("_r", text.judge_record(F.col(raw), F.col(tokens) if tokens else None)).withColumn("judged_on", F.lit(judged_on).cast("date"))
+    fine = x.filter("_r.error is null").select(*KEY, "judge", "judged_on", "_r.faithful", "_r.reason", "_r.tokens")
+    return fine, x.filter("_r.error is not null").select(*KEY, "judge", "judged_on", "_r.error")
+
+
 def wide(judgments: DataFrame, judges: list[str], keys: list[str] | None = None) -> DataFrame:
     """One row a run, one verdict column a judge. Verdicts of different dates stay in different rows."""
     return judgments.groupBy(*(keys or KEY), "judged_on").pivot("judge", judges).agg(F.first("faithful", ignorenulls=True))

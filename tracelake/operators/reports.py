@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP = "---"
+#: Rows of a rendered table; a larger one is no report.
+MOST_ROWS = 10_000
 
 
 def cell(mean: Column, lo: Column, hi: Column) -> Column:
@@ -31,16 +33,24 @@ def table(cells: DataFrame, row: str, column: str, columns: list[str], bold: tup
     return x.na.fill(GAP, columns).orderBy(row)
 
 
+def _rows(summary: DataFrame) -> list:
+    """A summary's rows on the driver; an error if there are more than MOST_ROWS."""
+    rows = summary.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report of more than {MOST_ROWS} rows: write the table instead")
+    return rows
+
+
 def markdown(summary: DataFrame) -> str:
-    """A summary table as Markdown (its rows come to the driver: a report is small)."""
-    rows = [summary.columns, ["-"] * len(summary.columns), *([str(v) for v in r] for r in summary.collect())]
+    """A summary table as Markdown."""
+    rows = [summary.columns, ["-"] * len(summary.columns), *([str(v) for v in r] for r in _rows(summary))]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
 
 
 def latex(summary: DataFrame) -> str:
     """The same as the body of a LaTeX tabular."""
     clean = lambda v: str(v).replace("_", r"\_").replace("%", r"\%")
-    return "".join(" & ".join(map(clean, r)) + r" \\" + "\n" for r in [summary.columns, *summary.collect()])
+    return "".join(" & ".join(map(clean, r)) + r" \\" + "\n" for r in [summary.columns, *_rows(summary)])
 
 
 def acceptance(overall: DataFrame, strata: DataFrame, least_gain: float = 0.02, least_significant: int = 2, least_closed: float = 0.3) -> DataFrame:

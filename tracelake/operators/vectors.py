@@ -113,12 +113,71 @@ def rerank(pairs: DataFrame, score: Column, n: int = 5) -> DataFrame:
     return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
+#: What a paced reranker takes: candidates, characters of each text; and what it gives back.
+RERANK_INPUT, RERANK_CHARS, RERANK_OUTPUT = 10, 200, 5
+
+
+def rerank_limited(pairs: DataFrame, score, text: str = "full_text", n: int = RERANK_OUTPUT, most: int = RERANK_INPUT, chars: int = RERANK_CHARS) -> DataFrame:
+    """The n best of each query's first `most` pairs (query_id, id, rank, text) by score, a function of the first `chars` characters of
+    the text; what lies beyond is not scored. rank is the new place, found the old one; ties keep their order."""
+    near = pairs.filter(F.col("rank") <= most).withColumnRenamed("rank", "found")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "found", "id")
+    scored = near.withColumn("score", score(F.substring(text, 1, chars)))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+def normalised(v: Column) -> Column:
+    """A vector at unit length; one of (nearly) no length is divided by 1e-12."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a))
+    return F.transform(v, lambda a: a / F.greatest(norm, F.lit(1e-12)))
+
+
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """A text's vector out of its tokens' (an array of arrays): the mean of those whose mask is 1, at unit length; null if there are
+    none."""
+    kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, t)), lambda t: t.isNotNull())
+    add = lambda s, t: F.zip_with(s, t.cast("array<double>"), lambda p, q: p + q)
+    first = F.get(kept, F.lit(0)).cast("array<double>")
+    total = F.aggregate(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), first, add)
+    return F.when(F.size(kept) > 0, normalised(F.transform(total, lambda a: a / F.size(kept))))
+
+
+def first_token(tokens: Column) -> Column:
+    """A text's vector as that of its first token, at unit length; null without tokens."""
+    return F.when(F.size(tokens) > 0, normalised(F.get(tokens, F.lit(0)).cast("array<double>")))
+
+
 def mean_pooled(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """keys, pooled: the mean of a group's usable vectors at unit length, summed by place so that no group is gathered; vectors of a
-    group have one length (the places that all of them have are kept)."""
-    x = rows.filter(usable(vector)).select(*keys, F.size(vector).alias("_d"), F.posexplode(F.col(vector).cast("array<double>")).alias("_i", "_v"))
-    means = x.groupBy(*keys, "_i").agg(F.avg("_v").alias("_m"), F.min("_d").alias("_d"))
-    each = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_p"), F.min("_d").alias("_d"))
-    v = F.slice(F.col("_p._m"), F.lit(1), F.col("_d"))
+    """keys, pooled: the mean of a group's usable vectors at unit length. A task adds up its rows of each group and hands on one sum, so
+    no group is gathered. A group whose vectors differ in length is an error."""
+    x = rows.filter(usable(vector)).select(*keys, F.col(vector).cast("array<double>").alias("_v"), F.to_json(F.struct(F.lit(0).alias("_"), *keys)).alias("_k"))
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+
+    def run(batches):
+        sums: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            codes = batch.column("_k").dictionary_encode()
+            where, sizes, v = np.array(codes.indices), np.array(batch.column("_v").value_lengths()), np.array(batch.column("_v").flatten(), np.float64)
+            ends = np.cumsum(sizes)
+            for i, name in enumerate(codes.dictionary.to_pylist()):
+                for d in np.unique(sizes[where == i]).tolist():
+                    mine = np.flatnonzero((where == i) & (sizes == d))
+                    held = sums.setdefault((name, d), [batch.slice(int(mine[0]), 1), 0, np.zeros(d)])
+                    held[1] += len(mine)
+                    held[2] += v[(ends[mine] - d)[:, None] + np.arange(d)].sum(0)
+            if sum(d for _, d in sums) > 4_000_000:
+                yield from out(sums)
+                sums = {}
+        yield from out(sums)
+
+    def out(sums):
+        for first, n, total in sums.values():
+            yield pa.RecordBatch.from_arrays([*(first.column(k) for k in keys), pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], [*keys, "_n", "_s"])
+
+    parts = x.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_n long, _s array<double>"]))
+    one = parts.select(*keys, "_n", F.size("_s").alias("_d"), F.posexplode("_s").alias("_i", "_v"))
+    means = one.groupBy(*keys, "_i").agg((F.sum("_v") / F.sum("_n")).alias("_m"), F.min("_d").alias("_d"), F.max("_d").alias("_e"))
+    each = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_p"), F.min("_d").alias("_d"), F.max("_e").alias("_e"))
+    v = F.when(F.col("_d") == F.col("_e"), F.col("_p._m")).otherwise(F.raise_error("vectors of a group have different lengths"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a))
     return each.select(*keys, F.transform(v, lambda a: F.when(norm > 0, a / norm).otherwise(a)).alias("pooled"))

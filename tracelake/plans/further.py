@@ -171,6 +171,43 @@ def principal_projections(spark: SparkSession, sf: str) -> DataFrame:
     return regression.projected(e.select("vec_id", "embedding"), "embedding", mean, axes).select("vec_id", "projection")
 
 
+@query("""WITH x AS (SELECT event_id, event_type AS judge, event_id % 6 AS c FROM events)
+SELECT event_id, judge, CASE WHEN c IN (0, 1, 2, 5) THEN c IN (0, 5) END AS faithful, CASE c WHEN 0 THEN 'cites {both}' WHEN 1 THEN '' WHEN 2 THEN repeat('long ', 40) WHEN 5 THEN 'yes' END AS reason,
+CASE WHEN c IN (0, 1, 2, 5) THEN event_id % 100 END AS tokens, CASE c WHEN 3 THEN 'no JSON object in the answer' WHEN 4 THEN 'the answer''s JSON can''t be read' END AS error FROM x""")
+def judge_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Judges' answers as text, read into verdicts with reasons and tokens, and into errors."""
+    c = F.col("event_id") % 6
+    raw = F.when(c == 0, 'Here: {"faithful": true, "reason": "cites {both}"} as asked').when(c == 1, '{"other": 1}').when(c == 2, F.concat(F.lit('{"faithful": false, "reason": "'), F.repeat(F.lit("long "), 60), F.lit('"}')))
+    raw = raw.when(c == 3, "I think so").when(c == 4, "{faithful: yes, so}").otherwise('```{"faithful": 1, "reason": "yes"}```')
+    x = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("query"), F.lit("p").alias("pipeline"), F.lit(0).alias("repeat"), F.col("event_type").alias("judge"), raw.alias("raw"), (F.col("event_id") % 100).alias("tokens"))
+    said, failed = judging.recorded(x, "2026-05-11", tokens="tokens")
+    both = said.select("query", "judge", "faithful", "reason", "tokens", F.lit(None).cast("string").alias("error")).union(failed.select("query", "judge", F.lit(None).cast("boolean"), F.lit(None).cast("string"), F.lit(None).cast("long"), "error"))
+    return both.select(F.col("query").cast("long").alias("event_id"), "judge", "faithful", "reason", "tokens", "error")
+
+
+@query("""WITH t AS (SELECT vec_id, i, [CAST(embedding[8 * i + j] AS DOUBLE) FOR j IN range(1, 9)] AS v, i < vec_id % 9 AS kept FROM embeddings, range(8) r(i)),
+x AS (SELECT vec_id, j, avg(v[j]) FILTER (WHERE kept) AS m, max(v[j]) FILTER (WHERE i = 0) AS f FROM t, range(1, 9) s(j) GROUP BY 1, 2),
+n AS (SELECT vec_id, sqrt(sum(m * m)) AS zm, sqrt(sum(f * f)) AS zf FROM x GROUP BY 1)
+SELECT vec_id, CAST(j - 1 AS INTEGER) AS place, round(m / zm, 6) AS mean_value, round(f / zf, 6) AS first_value FROM x JOIN n USING (vec_id)""")
+def token_pooling(spark: SparkSession, sf: str) -> DataFrame:
+    """Text vectors out of token vectors, by masked means and by first tokens: an embedding's 64 numbers as eight tokens of eight, of
+    which vec_id modulo 9 count."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i < F.col("vec_id") % 9).cast("int"))
+    x = table(spark, sf, "embeddings").select("vec_id", vectors.masked_mean(tokens, mask).alias("m"), vectors.first_token(tokens).alias("f"))
+    each = x.select("vec_id", F.posexplode("f").alias("place", "first_value"), "m")
+    return each.select("vec_id", "place", r6(F.get("m", F.col("place"))).alias("mean_value"), r6("first_value").alias("first_value"))
+
+
+@query(f"""WITH {R.SQL_HITS}, {R.SQL_CHUNKS}, h AS (SELECT query_id, id, rank AS found, length(left(full_text, 200)) - length(replace(left(full_text, 200), 'e', '')) AS score FROM ranked JOIN chunks USING (id) WHERE rank <= 10),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, found) AS rank FROM h) SELECT query_id, id, CAST(found AS INTEGER) AS found, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
+def limited_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """A reranker that takes ten candidates and 200 characters of each: of 20 hits, the others aren't scored."""
+    hits = vectors.top_k(R.questions(spark, sf), R.vectors_of(spark, sf), 20).join(R.chunks(spark, sf).select("id", "full_text"), "id")
+    score = lambda t: F.length(t) - F.length(F.replace(t, F.lit("e"), F.lit("")))
+    return vectors.rerank_limited(hits, score).select("query_id", "id", "found", "rank")
+
+
 SQL_STATED = f"""{R.SQL_MEANS}, m AS (SELECT stratum, pipeline_i, pipeline_j, avg(x - y) AS d, 1.96 * stddev_samp(x - y) / sqrt(count(*)) AS h, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
 cd AS (SELECT a.stratum, a.pipeline AS pipeline_i, b.pipeline AS pipeline_j, avg(sign(a.score - b.score)) AS delta FROM means a JOIN means b ON a.stratum = b.stratum AND a.pipeline < b.pipeline GROUP BY 1, 2, 3),
 t AS (SELECT m.*, cd.delta, round(least(1.0, abs(h) / (abs(d) + abs(h)) / 10), 9) AS p FROM m JOIN cd USING (stratum, pipeline_i, pipeline_j)),
