@@ -208,50 +208,78 @@ def limited_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.rerank_limited(hits, score).select("query_id", "id", "found", "rank")
 
 
-SQL_STATED = f"""{R.SQL_MEANS}, m AS (SELECT stratum, pipeline_i, pipeline_j, avg(x - y) AS d, 1.96 * stddev_samp(x - y) / sqrt(count(*)) AS h, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
+SQL_SIGNED = f"""{R.SQL_MEANS}, d AS (SELECT stratum, pipeline_i, pipeline_j, round(x - y, 9) AS d FROM pairs WHERE round(x - y, 9) <> 0),
+r AS (SELECT *, 2 * rank() OVER (PARTITION BY stratum, pipeline_i, pipeline_j ORDER BY abs(d)) + count(*) OVER (PARTITION BY stratum, pipeline_i, pipeline_j, abs(d)) - 1 AS r2,
+        row_number() OVER (PARTITION BY stratum, pipeline_i, pipeline_j ORDER BY abs(d), d) AS k, count(*) OVER (PARTITION BY stratum, pipeline_i, pipeline_j) AS n FROM d),
+small AS (SELECT * FROM r WHERE n <= {stats.EXACT}),
+flips AS (SELECT stratum, pipeline_i, pipeline_j, n, 0 AS k, CAST(0 AS BIGINT) AS s, CAST(1 AS DOUBLE) AS ways FROM small WHERE k = 1
+  UNION ALL SELECT stratum, pipeline_i, pipeline_j, n, k, s, sum(ways) FROM (
+    SELECT f.stratum, f.pipeline_i, f.pipeline_j, f.n, f.k + 1 AS k, unnest([f.s, f.s + r.r2]) AS s, f.ways
+    FROM flips f JOIN small r ON r.stratum = f.stratum AND r.pipeline_i = f.pipeline_i AND r.pipeline_j = f.pipeline_j AND r.k = f.k + 1) GROUP BY 1, 2, 3, 4, 5, 6),
+w AS (SELECT stratum, pipeline_i, pipeline_j, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) AS BIGINT) AS w2 FROM r GROUP BY 1, 2, 3),
+p AS (SELECT w.stratum, w.pipeline_i, w.pipeline_j, sum(ways) FILTER (WHERE s <= w2) / pow(2, max(w.n)) AS low, sum(ways) FILTER (WHERE s >= w2) / pow(2, max(w.n)) AS high
+      FROM w JOIN flips f ON w.stratum = f.stratum AND w.pipeline_i = f.pipeline_i AND w.pipeline_j = f.pipeline_j AND f.k = f.n GROUP BY 1, 2, 3)"""
+
+
+
+
+def sql_upper(z: str) -> str:
+    """The normal distribution's upper tail at z, by Simpson's rule on 400 pieces."""
+    h = f"(abs({z}) / 400)"
+    half = f"list_sum(list_transform(range(0, 401), lambda k: CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(k * {h}, 2) / 2))) * {h} / 3 / sqrt(2 * pi())"
+    return f"(0.5 - sign({z}) * {half})"
+
+
+SQL_TESTED = f"""{SQL_SIGNED},
+tied AS (SELECT stratum, pipeline_i, pipeline_j, sum(t * t - 1) AS t FROM (SELECT *, count(*) OVER (PARTITION BY stratum, pipeline_i, pipeline_j, abs(d)) AS t FROM d) GROUP BY 1, 2, 3),
+v AS (SELECT w.*, t, n * (n + 1) * (2 * n + 1) / 24 - t / 48 AS var FROM w JOIN tied USING (stratum, pipeline_i, pipeline_j)),
+zs AS (SELECT *, CASE WHEN var > 0 THEN (w2 / 2 - n * (n + 1) / 4) / sqrt(var) END AS z FROM v),
+tested AS (SELECT zs.*, CASE WHEN n <= {stats.EXACT} THEN least(1.0, 2 * least(low, high)) ELSE 2 * {sql_upper("abs(z)")} END AS p, CASE WHEN n <= {stats.EXACT} THEN high ELSE {sql_upper("z")} END AS upper
+           FROM zs LEFT JOIN p USING (stratum, pipeline_i, pipeline_j))"""
+SQL_JOINT = f"""{SQL_TESTED}, m AS (SELECT stratum, pipeline_i, pipeline_j, avg(x - y) AS d, 1.96 * stddev_samp(x - y) / sqrt(count(*)) AS h FROM pairs GROUP BY 1, 2, 3),
 cd AS (SELECT a.stratum, a.pipeline AS pipeline_i, b.pipeline AS pipeline_j, avg(sign(a.score - b.score)) AS delta FROM means a JOIN means b ON a.stratum = b.stratum AND a.pipeline < b.pipeline GROUP BY 1, 2, 3),
-t AS (SELECT m.*, cd.delta, round(least(1.0, abs(h) / (abs(d) + abs(h)) / 10), 9) AS p FROM m JOIN cd USING (stratum, pipeline_i, pipeline_j)),
-f AS (SELECT *, row_number() OVER (ORDER BY p, stratum, pipeline_i, pipeline_j) AS k, count(*) OVER () AS c FROM t WHERE p IS NOT NULL),
-hp AS (SELECT *, least(1.0, max((c - k + 1) * p) OVER (ORDER BY k)) AS holm_p FROM f)"""
+f AS (SELECT *, row_number() OVER (ORDER BY p, stratum, pipeline_i, pipeline_j) AS k, count(*) OVER () AS c FROM tested),
+hp AS (SELECT f.*, m.d AS mean, m.h, delta, least(1.0, max((c - k + 1) * p) OVER (ORDER BY k)) AS holm_p FROM f JOIN m USING (stratum, pipeline_i, pipeline_j) JOIN cd USING (stratum, pipeline_i, pipeline_j))"""
 
 
-@query(f"""WITH {SQL_STATED} SELECT stratum, pipeline_i, pipeline_j, round(holm_p, 6) AS holm_p, (d - h > 0 OR d + h < 0) AND holm_p < 0.05 AND abs(delta) >= 0.147 AS significant FROM hp""")
+def _tests(spark: SparkSession, sf: str) -> DataFrame:
+    return significance.signed_rank_p(significance.wilcoxon(_pairs(spark, sf), ["stratum"])).filter("n_nonzero > 0")
+
+
+@query(f"WITH RECURSIVE {SQL_TESTED} SELECT stratum, pipeline_i, pipeline_j, n AS n_nonzero, round(p, 6) AS p, round(upper, 6) AS upper_p FROM tested")
+def signed_rank_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """The p of every pair of pipelines in each stratum, two-sided and one-sided: exact up to 50 differences, else normal."""
+    return _tests(spark, sf).select("stratum", "pipeline_i", "pipeline_j", "n_nonzero", r6("wilcoxon_p").alias("p"), r6("upper_p").alias("upper_p"))
+
+
+@query(f"""WITH RECURSIVE {SQL_JOINT} SELECT stratum, pipeline_i, pipeline_j, round(holm_p, 6) AS holm_p, (mean - h > 0 OR mean + h < 0) AND holm_p < 0.05 AND abs(delta) >= 0.147 AS significant FROM hp""")
 def joint_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval, corrected p and effect size in one verdict; interval and p are stated formulas here, the bootstrap being apart."""
+    """Interval, corrected p and effect size in one verdict. The p is the signed-rank test's, by Holm over all cells; the interval is the
+    normal one here (significance_matrix has the bootstrap's, which SQL can't draw)."""
     by = ["stratum", "pipeline_i", "pipeline_j"]
     pairs = _pairs(spark, sf)
     x = pairs.filter("x is not null and y is not null").groupBy(*by).agg(F.avg(F.col("x") - F.col("y")).alias("d"), (1.96 * F.stddev_samp(F.col("x") - F.col("y")) / F.sqrt(F.count("*"))).alias("h"))
-    p = F.round(F.least(F.lit(1.0), F.abs("h") / (F.abs("d") + F.abs("h")) / 10), 9)
     delta = significance.cliffs_delta(pairs, ["stratum"]).select(*by, F.col("delta").alias("cliffs_delta"))
-    h = significance.holm(x.select(*by, p.alias("p")), "p").join(x, by).join(delta, by)
+    h = significance.holm(_tests(spark, sf).select(*by, F.col("wilcoxon_p").alias("p")), "p").join(x, by).join(delta, by)
     h = h.withColumn("ci_excludes_zero", (F.col("d") - F.col("h") > 0) | (F.col("d") + F.col("h") < 0))
     return significance.joint_significance(h).select(*by, r6("holm_p").alias("holm_p"), "significant")
 
 
-@query(f"""WITH {R.SQL_MEANS}, c AS (SELECT stratum, avg(score) FILTER (WHERE pipeline = 'click') AS a, avg(score) FILTER (WHERE pipeline = 'view') AS b FROM means GROUP BY 1), w AS (SELECT avg(a) AS routed, avg(b) AS base, greatest(avg(a), avg(b)) + 0.5 AS oracle, count(*) FILTER (WHERE abs(a - b) < 0.05) AS n FROM c)
+@query(f"""WITH RECURSIVE {SQL_TESTED}, s AS (SELECT stratum, upper, row_number() OVER (ORDER BY upper, stratum) AS k, count(*) OVER () AS c FROM tested WHERE pipeline_i = 'click' AND pipeline_j = 'view'),
+hs AS (SELECT least(1.0, max((c - k + 1) * upper) OVER (ORDER BY k)) AS holm_p FROM s), n AS (SELECT count(*) AS n FROM hs WHERE holm_p < 0.05),
+cells AS (SELECT stratum, avg(score) FILTER (WHERE pipeline = 'click') AS a, avg(score) FILTER (WHERE pipeline = 'view') AS b FROM means GROUP BY 1), o AS (SELECT avg(a) AS routed, avg(b) AS base, greatest(avg(a), avg(b)) + 0.5 AS oracle FROM cells)
 SELECT round(routed - base, 6) AS gain, n AS n_significant, round((routed - base) / (oracle - base), 6) AS closed, routed - base >= 0.02 AS check_gain, n >= 2 AS check_strata, (routed - base) / (oracle - base) >= 0.3 AS check_gap,
-routed - base >= 0.02 AND n >= 2 AND (routed - base) / (oracle - base) >= 0.3 AS accepted FROM w""")
+routed - base >= 0.02 AND n >= 2 AND (routed - base) / (oracle - base) >= 0.3 AS accepted FROM o, n""")
 def acceptance_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """A router's three acceptance checks over cell means (the difference of two pipelines stands in for a stratum's p)."""
+    """A router's three acceptance checks: its gain, the strata where it is better by the one-sided signed-rank test (Holm over strata),
+    and the share of the gap that it closes."""
     c = _cells(spark, sf).groupBy("stratum").pivot("pipeline", ["click", "view"]).agg(F.first("mean_score"))
     overall = c.agg(F.avg("click").alias("routed"), F.avg("view").alias("base"), (F.greatest(F.avg("click"), F.avg("view")) + 0.5).alias("oracle"))
-    a = reports.acceptance(overall, c.select(F.abs(F.col("click") - F.col("view")).alias("holm_p")))
+    pair = _tests(spark, sf).filter("pipeline_i = 'click' and pipeline_j = 'view'").select("stratum", "upper_p")
+    a = reports.acceptance(overall, significance.holm(pair, "upper_p"))
     return a.withColumn("gain", r6("gain")).withColumn("closed", r6("closed"))
 
 
-SQL_SIGNED = f"""{R.SQL_MEANS}, d AS (SELECT stratum, pipeline_i, pipeline_j, round(x - y, 9) AS d FROM pairs WHERE round(x - y, 9) <> 0),
-r AS (SELECT *, 2 * rank() OVER (PARTITION BY stratum, pipeline_i, pipeline_j ORDER BY abs(d)) + count(*) OVER (PARTITION BY stratum, pipeline_i, pipeline_j, abs(d)) - 1 AS r2,
-        row_number() OVER (PARTITION BY stratum, pipeline_i, pipeline_j ORDER BY abs(d), d) AS k, count(*) OVER (PARTITION BY stratum, pipeline_i, pipeline_j) AS n FROM d),
-small AS (SELECT * FROM r WHERE n <= {stats.EXACT}),
-flips AS (SELECT stratum, pipeline_i, pipeline_j, n, 0 AS k, CAST(0 AS BIGINT) AS s, CAST(1 AS DOUBLE) AS ways FROM small WHERE k = 1
-  UNION ALL SELECT stratum, pipeline_i, pipeline_j, n, k, s, sum(ways) FROM (
-    SELECT f.stratum, f.pipeline_i, f.pipeline_j, f.n, f.k + 1 AS k, unnest([f.s, f.s + r.r2]) AS s, f.ways
-    FROM flips f JOIN small r ON r.stratum = f.stratum AND r.pipeline_i = f.pipeline_i AND r.pipeline_j = f.pipeline_j AND r.k = f.k + 1) GROUP BY 1, 2, 3, 4, 5, 6),
-w AS (SELECT stratum, pipeline_i, pipeline_j, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) AS BIGINT) AS w2 FROM r GROUP BY 1, 2, 3),
-p AS (SELECT w.stratum, w.pipeline_i, w.pipeline_j, sum(ways) FILTER (WHERE s <= w2) / pow(2, max(w.n)) AS low, sum(ways) FILTER (WHERE s >= w2) / pow(2, max(w.n)) AS high
-      FROM w JOIN flips f ON w.stratum = f.stratum AND w.pipeline_i = f.pipeline_i AND w.pipeline_j = f.pipeline_j AND f.k = f.n GROUP BY 1, 2, 3)"""
-
-
 @query(f"""WITH RECURSIVE {SQL_SIGNED} SELECT stratum, pipeline_i, pipeline_j, n AS n_nonzero, w2 / 2 AS w_plus, round(least(1.0, 2 * least(low, high)), 9) AS exact_p, round(high, 9) AS exact_upper_p FROM w LEFT JOIN p USING (stratum, pipeline_i, pipeline_j)""")
 def rank_test_p(spark: SparkSession, sf: str) -> DataFrame:
     """Exact signed-rank p, two-sided and one-sided, of cells of up to 50 differences, over the ranks as they are, tied or not; null
