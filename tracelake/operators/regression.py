@@ -15,7 +15,7 @@ from ..scratch import forget, written
 
 ROUNDS, TOLERANCE = 40, 1e-10
 #: A coefficient beyond this has no finite maximum behind it (the classes are separated).
-DIVERGED = 25.0
+DIVERGED = 15.0
 #: A task hands its sums on when it holds so many numbers.
 _HELD = 4_000_000
 
@@ -86,7 +86,7 @@ def logistic(rows: DataFrame, keys: list[str], covariates: list[str], outcome: s
         done = at.filter(F.col("moved") <= TOLERANCE)
         last, at = at, written(at.select("key", "k").join(new, "key").unionByName(done, allowMissingColumns=True), "models")
         forget(last)
-        if at.agg(F.max("moved")).first()[0] in (None, 0.0) or at.filter(F.col("moved") > TOLERANCE).isEmpty():
+        if at.filter(F.col("moved") > TOLERANCE).isEmpty():
             break
     number = lambda c, i: F.when(~F.isnan(F.get(c, i)) & (F.col("moved") <= TOLERANCE), F.get(c, i))
     terms = [F.struct(F.lit(t).alias("term"), number("beta", i).alias("coefficient"), number("error", i).alias("error"), F.try_divide(number("beta", i), number("error", i)).alias("z")) for i, t in enumerate(names)]
