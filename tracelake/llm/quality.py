@@ -22,6 +22,8 @@ its label; without labels, 0.5. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -101,7 +103,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     sums = docs.coalesce(parts_for(docs, PART, LEAST_PARTS)).mapInArrow(tidy(run), "sums binary").rdd
     if not sums.getNumPartitions():
         return np.zeros((WORDS, DIMS), np.float32)
-    total = sums.map(lambda r: np.frombuffer(r[0], np.int64)).treeReduce(np.add)
+    depth = max(2, math.ceil(math.log(sums.getNumPartitions(), 16)))  # some 16 matrices meet at a time, at the driver too
+    total = sums.map(lambda r: np.frombuffer(r[0], np.int64)).treeReduce(np.add, depth)
     around, seen = total[: WORDS * DIMS].reshape(WORDS, DIMS).astype(np.float64), total[WORDS * DIMS :]
     x = around / np.maximum(seen, 1)[:, None] - around.sum(0) / max(seen.sum(), 1)
     x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
