@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tracelake.operators import graph
@@ -62,3 +63,40 @@ def test_a_large_graph_is_exchanged_once(spark, tables, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(a#" in x]
     assert len([x for x in exchanges if "Reused" not in x]) == 1 and len([x for x in exchanges if "Reused" in x]) == 19
+
+
+def test_a_graph_of_many_moves_goes_to_the_tasks_and_no_round_is_exchanged(spark, monkeypatch):
+    """A ring with chords whose moves are more than a million: what is exchanged doesn't follow from the rounds, and masses are those of
+    a plain iteration over the nodes that a few rounds reach."""
+    n = 300_000
+    e = spark.range(n).selectExpr("id AS src", "(id + 1) % 300000 AS dst", "'REFERENCES' AS rel").union(spark.range(n).selectExpr("id", "(id * 3 + 1) % 300000", "'REFERENCES'"))
+    seeds = [(q, i * 1000 + q) for q in range(3) for i in range(3)]
+    df = graph.walk_ppr(spark.createDataFrame(seeds, "query_id long, id long"), e, rounds=4)
+    got = sorted(map(tuple, df.collect()))
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") < 12
+    edges, near = {(a, b, "REFERENCES") for a in range(n) for b in ((a + 1) % n, (a * 3 + 1) % n)}, {i for _, i in seeds}
+    by = defaultdict(list)
+    for x in edges:
+        by[x[0]].append(x)
+        by[x[1]].append(x)
+    for _ in range(5):
+        near |= {i for j in near for x in by[j] for i in x[:2]}
+    want = sorted(plain(seeds, {x for j in near for x in by[j]}, rounds=4))
+    assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want] and all(abs(x[3] - y[3]) < 2e-9 for x, y in zip(got, want))
+
+
+@pytest.mark.parametrize("sparse, step", [(1, 7), (10**9, 7), (16, 1 << 16)])
+def test_sparse_and_full_rounds_agree(spark, tables, monkeypatch, sparse, step):
+    monkeypatch.setattr(graph, "SPARSE", sparse)
+    monkeypatch.setattr(graph, "STEP", step)
+    seeds, edges, _, _ = tables
+    moves = defaultdict(set)
+    for a, b, rel in edges:
+        for x, y in ((a, b), (b, a)):
+            moves[x] |= {y} if rel in graph.WALK_TYPES and a != b else set()
+    pairs = np.array([(a, b) for a in moves for b in moves[a] or {a}])
+    g = graph._Graph([(p[:, 0], p[:, 1]) for p in np.array_split(pairs, 5)])
+    mine = sorted({i for q, i in seeds if q == 0 and i in moves})
+    _, mass = g.masses([{"id": i, "mass": 1 / len(mine)} for i in mine], 0.15, 20)
+    want = {i: s for _, i, _, s, _ in plain([(0, i) for i in mine], edges, cap=10**6)}
+    assert abs(mass.sum() - 1) < 1e-9 and all(abs(mass[k] - want[i]) < 2e-9 for k, i in enumerate(g.names.tolist()) if i in want)

@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +106,8 @@ def gold_records(path: DataFrame, node: DataFrame) -> DataFrame:
     return p.select("source_id", "target_id", F.col("hops").alias("hop_count"), F.col("rels").alias("rel_path"), F.col("nodes").alias("expected_ids"), "source_module", "target_module", (F.col("source_module") != F.col("target_module")).alias("is_cross_module"))
 
 
-#: The largest graph (moves: a node's steps to its neighbours) that is sent to the tasks: 24 bytes each.
-MOST_MOVES = 1_000_000
+#: The largest graph (moves: a node's steps to its neighbours) that tasks hold: 12 bytes a move while it comes in, and some 60 a node.
+MOST_MOVES = 12_000_000
 
 
 def _moves(edges: DataFrame, types) -> DataFrame:
@@ -123,8 +124,9 @@ def walk_ppr(seeds: DataFrame, edges: DataFrame, types=WALK_TYPES, cap: int = 30
     """query_id, id, hops (1), score, rank by personalized PageRank mass from a query's seeds, seeds left out. Seeds that no edge
     of any type touches are dropped; a node without an allowed neighbour keeps its mass.
 
-    Two ways to the same rows. A graph of up to MOST_MOVES moves, by count, is sent to the tasks as arrays, and each query's rounds are
-    sums over them: no shuffle a round. A larger one stays a table that is exchanged once for all rounds: they are one plan, in which
+    Two ways to the same rows. A graph of up to MOST_MOVES moves, by count, goes to each of a number of groups of queries, as many as the
+    cluster has cores, and each query's rounds are sums over it: no shuffle a round, so what travels is the graph times the cores, however
+    many queries and rounds there are. A larger one stays a table that is exchanged once for all rounds: they are one plan, in which
     the state meets the moves by node, and masses are summed up before they travel, so a node with many links is no hot key."""
     # stated here, the filter is the same in every round: else the last round's differs, and the table is exchanged again for it
     moves = written(_moves(edges, types), "moves").filter("a is not null and b is not null")
@@ -146,38 +148,95 @@ def _ppr_joins(start: DataFrame, moves: DataFrame, cap: int, alpha: float, round
     return score
 
 
+#: Nodes of a round that are added up at once; up to a SPARSE-th of the moves, a round follows them from the nodes that have mass.
+STEP, SPARSE = 1 << 16, 16
+
+
+class _Graph:
+    """Moves (a, b), each way and once, as lists of neighbours by place among the names; the parts are used up."""
+
+    def __init__(self, parts: list):
+        self.names = np.unique(np.concatenate([np.unique(a) for a, _ in parts]))
+        parts.reverse()
+        a, b = [], []
+        while parts:
+            for held, new in zip((a, b), parts.pop()):
+                held.append(np.searchsorted(self.names, new).astype(np.int32))
+        a, b = np.concatenate(a), np.concatenate(b)
+        self.degree = np.bincount(a, minlength=len(self.names))
+        self.near = b[np.argsort(a, kind="stable")]
+        self.first = np.concatenate(([0], np.cumsum(self.degree)))
+
+    def masses(self, seeds: list, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a query's seeds, and every node's mass."""
+        place = np.searchsorted(self.names, np.array([x["id"] for x in seeds], self.names.dtype))
+        given = alpha * np.array([x["mass"] for x in seeds])
+        at, mass = place, given / alpha
+        for done in range(rounds):
+            count = self.degree[at]
+            if count.sum() > len(self.near) // SPARSE:
+                full = np.zeros(len(self.names))
+                full[at] = mass
+                for _ in range(done, rounds):
+                    full = self._round(full, alpha)
+                    full[place] += given
+                return place, full
+            to = self.near[np.repeat(self.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            at, back = np.unique(np.concatenate((to, place)), return_inverse=True)
+            mass = np.bincount(back, np.concatenate((np.repeat(mass / count * (1 - alpha), count), given)))
+        full = np.zeros(len(self.names))
+        full[at] = mass
+        return place, full
+
+    def _round(self, mass: np.ndarray, alpha: float) -> np.ndarray:
+        share, new = mass / self.degree, np.empty(len(mass))
+        for lo in range(0, len(mass), STEP):
+            ends = self.first[lo : lo + STEP + 1]
+            new[lo : lo + STEP] = np.add.reduceat(share[self.near[ends[0] : ends[-1]]], ends[: len(new[lo : lo + STEP])] - ends[0])
+        return new * (1 - alpha)
+
+
 def _ppr_arrays(start: DataFrame, moves: DataFrame, cap: int, alpha: float, rounds: int) -> DataFrame:
     """The rows of _ppr_joins that can be among the cap best: those of a mass up to a rounding step below the cap-th."""
-    spark, kind = start.sparkSession, start.schema["id"].dataType
-    t = moves.toArrow()  # MOST_MOVES at most
-    names, at = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
-    a, b = at[: len(t)], at[len(t) :]
-    order = np.argsort(b, kind="stable")
-    graph = spark.sparkContext.broadcast((names, a[order], b[order], t["w"].to_numpy()[order]))
+    spark = start.sparkSession
+    kind, what = (start.schema[c].dataType.simpleString() for c in ("id", "query_id"))
     asked = start.groupBy("query_id").agg(F.collect_list(F.struct("id", "mass")).alias("s"))  # a query's seeds, each a node of the graph
-    asked = asked.repartition(max(1, min(4096, start.select("query_id").distinct().count() // 4)), "query_id")
-    what = start.schema["query_id"].dataType
+    groups = max(1, min(spark.sparkContext.defaultParallelism, -(-start.select("query_id").distinct().count() // 4)))
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in batch.columns], ["a", "b"])
+
+    parts = moves.select("a", "b").mapInArrow(packed, f"a array<{kind}>, b array<{kind}>")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")
+    none = F.lit(None).cast(f"array<{kind}>")
+    graph = parts.select(every, F.lit(None).cast(what).alias("query_id"), F.lit(None).cast(asked.schema["s"].dataType).alias("s"), "a", "b")
+    met = graph.union(asked.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"), "query_id", "s", none, none))
 
     def run(batches):
-        names, a, b, w = graph.value
+        parts, queries = [], []  # the graph comes in no order, so a group's queries wait for all of it
         for batch in batches:
+            is_part = batch.column("a").is_valid()
+            rows = batch.filter(is_part)
+            if rows.num_rows:
+                parts.append(tuple(rows.column(c).flatten().to_numpy(zero_copy_only=False).copy() for c in ("a", "b")))
+            queries.append(batch.filter(pa.compute.invert(is_part)).select(["query_id", "s"]))
+        queries = [q for q in queries if q.num_rows]
+        if not queries or not parts:
+            return
+        graph = _Graph(parts)
+        for batch in queries:
             out = [[], [], []]
             for query, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first = np.zeros(len(names))
-                place = np.searchsorted(names, np.array([x["id"] for x in seeds], names.dtype))
-                first[place] = [x["mass"] for x in seeds]
-                mass = first
-                for _ in range(rounds):
-                    mass = np.bincount(b, mass[a] * w * (1 - alpha), len(names)) + alpha * first
-                rest = mass.copy()
+                place, rest = graph.masses(seeds, alpha, rounds)
                 rest[place] = 0
                 found = np.flatnonzero(rest)
                 if len(found) > cap:
                     found = found[rest[found] >= -np.partition(-rest[found], cap - 1)[cap - 1] - 1e-8]
                 out[0] += [query] * len(found)
-                out[1] += names[found].tolist()
+                out[1] += graph.names[found].tolist()
                 out[2] += rest[found].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], id_type), pa.array(out[2], pa.float64())], ["query_id", "id", "mass"])
 
-    id_type = t.schema.field("a").type
-    return asked.mapInArrow(run, f"query_id {what.simpleString()}, id {kind.simpleString()}, mass double")
+    id_type = moves.select("a").limit(0).toArrow().schema.field("a").type
+    return met.repartitionById(groups, F.col("g")).select("query_id", "s", "a", "b").mapInArrow(run, f"query_id {what}, id {kind}, mass double")
