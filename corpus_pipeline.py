@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import jaccard_join, language_id, mixing, packing, pii
@@ -48,9 +48,24 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.scheduled(docs).orderBy("position").drop(*mixing.ADDED).toDF(*docs.columns)
 
 
+#: Documents of the mix that are packed together: 16 blocks of it, so each window holds the weights to within a block a source.
+WINDOW = 16 * mixing.BLOCK_DOCS
+
+
+def mix_window(docs: DataFrame) -> Column:
+    """The window of a row by its place in docs: of a table that was written and read again, the number of its file and its place there
+    (files are read in no order); else its place in the plan's partitions."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return F.floor(F.monotonically_increasing_id() / WINDOW)
+    at = docs.metadataColumn("_metadata")
+    file = F.coalesce(F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(file, 32) + F.floor(at["row_index"] / WINDOW)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens along the curve, one row a piece."""
-    return packing.pack_along_curve(docs)
+    """Sequences of 1024 tokens, one row a piece: window by window in the order of the mix, so that any run of sequences holds the target
+    weights as long as the mix does, and along the curve inside a window."""
+    return packing.pack_along_curve(docs, window=mix_window(docs))
 
 
 STAGES = [

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, encoder, parts_for, quantile_bounds, tidy, tokenizer_path, written
@@ -65,7 +65,7 @@ def _projection() -> np.ndarray:
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, key, n, ids: a document's ids with the end id (unsigned little-endian 32 bits), and its curve key."""
+    """doc_id, key, n, ids, window: a document's ids with the end id (unsigned little-endian 32 bits), its curve key, and its window."""
 
     def run(batches):
         ids_of, matrix, task, row = encoder(path), _projection(), TaskContext.get().partitionId(), 0
@@ -81,9 +81,9 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 tail = np.array([xxhash.xxh3_64_intdigest(f"{d}:{task}:{row + i}".encode()) & 0x3FFFFF for i, d in enumerate(docs_[lo : lo + 256])], np.int64)
                 row += len(tail)
                 key = (hilbert_index(grid, BITS) << 22) | tail
-                yield pa.RecordBatch.from_arrays([pa.array(docs_[lo : lo + 256], pa.int64()), pa.array(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([_small(x) for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs_[lo : lo + 256], pa.int64()), pa.array(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([_small(x) for x in ids], pa.binary()), batch.column(2).slice(lo, 256)], ["doc_id", "key", "n", "ids", "window"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, key long, n long, ids binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, n long, ids binary, window long")
 
 
 def _small(ids: np.ndarray) -> bytes:
@@ -95,16 +95,18 @@ def _large(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype("<u4")
 
 
-def pack_along_curve(docs: DataFrame, capacity: int = 1024, path: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_along_curve(docs: DataFrame, capacity: int = 1024, path: str | None = None, end_id: int = 0, with_ids: bool = False, window: Column | None = None) -> DataFrame:
     """One row a piece: its document, place in it, length, CRC-32 of its ids, the document's tokens, its sequence and offset
-    there; with_ids adds the ids themselves (binary, unsigned little-endian 32 bits)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    there; with_ids adds the ids themselves (binary, unsigned little-endian 32 bits). With window, a whole number, sequences come window
+    by window in its order, and only a window's documents are laid along the curve."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(0) if window is None else window).cast("long").alias("window"))
     tokens = written(token_table(docs, path or tokenizer_path(), end_id), "tokens")
     share = tokens.agg(F.avg("n")).first()[0] or 1.0
     weight = F.greatest(F.lit(1), F.round(F.col("n") * 2 / share)).cast("int")  # in halves of the mean document
-    bounds = quantile_bounds(tokens, "key", parts_for(tokens, 16 << 20, least=1), weight)
+    by = "key" if window is None else "window"
+    bounds = quantile_bounds(tokens, by, parts_for(tokens, 16 << 20, least=1), weight)
     parts = len(bounds) + 1
-    ranged = tokens.repartitionById(parts, bucket_of(F.col("key"), bounds)).sortWithinPartitions("key", "doc_id", "n")
+    ranged = tokens.repartitionById(parts, bucket_of(F.col(by), bounds)).sortWithinPartitions("window", "key", "doc_id", "n").drop("window")
 
     def run(batches):
         sequence, at = TaskContext.get().partitionId() << 40, 0
