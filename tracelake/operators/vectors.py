@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS, BLOCK_BYTES = 32768, 64 << 20
+#: Cosines of a block and some queries that a task holds at once: 16 MB.
+MOST_COSINES = 1 << 21
 
 
 def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
@@ -86,8 +88,9 @@ def blocks_met(q: DataFrame, c: DataFrame, blocks: int, k: int, match: bool = Fa
                     if isinstance(held[d][0], list):
                         held[d] = [np.concatenate(p) for p in held[d]]
                     tags = rows.column(4).to_pylist()
-                    for lo in range(0, len(x), 256):
-                        yield nearest(held[d], x[lo : lo + 256], name[at][lo : lo + 256].tolist(), tags[lo : lo + 256])
+                    each = max(1, min(256, MOST_COSINES // len(held[d][0])))
+                    for lo in range(0, len(x), each):
+                        yield nearest(held[d], x[lo : lo + each], name[at][lo : lo + each].tolist(), tags[lo : lo + each])
 
     def nearest(block, x, names, tags):
         vectors, ids, have = block

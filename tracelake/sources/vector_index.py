@@ -24,6 +24,8 @@ SAMPLE, ROUNDS, MOST_CELLS, PROBES = 20_000, 10, 4096, 8
 #: Tags of a batch of queries up to this many are pushed into the scan.
 MOST_TAGS = 1000
 _SLACK = 1e-6  # distances are rounded to 6 places
+#: Numbers that a step of a task makes at once: cosines of some rows and all cells, vectors of the rows it gives out.
+STEP = 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -31,6 +33,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
 
 
+def _slices(batch: pa.RecordBatch, cells: int):
+    """batch in pieces of as many rows as make up to STEP cosines with all cells."""
+    each = max(1, STEP // max(1, cells))
+    for lo in range(0, batch.num_rows, each):
+        yield batch.slice(lo, each)
+
+
 def kmeans(x: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
     """Centroids at unit length of unit vectors x, by cosine; a cell that loses all its vectors takes the one worst placed."""
     r = np.random.default_rng(seed)
@@ -77,11 +86,12 @@ class VectorIndex:
 
         def assign(batches):
             for batch in batches:
-                v = _unit(np.array(batch.column(2).flatten(), np.float64).reshape(batch.num_rows, -1))
-                cosine = v @ shared.value.T
-                at = cosine.argmax(1)
-                angle = np.arccos(np.clip(cosine[np.arange(len(at)), at], -1, 1))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(angle)], ["id", "tag", "vector", "cell", "angle"])
+                for part in _slices(batch, len(shared.value)):
+                    v = _unit(np.array(part.column(2).flatten(), np.float64).reshape(part.num_rows, -1))
+                    cosine = v @ shared.value.T
+                    at = cosine.argmax(1)
+                    angle = np.arccos(np.clip(cosine[np.arange(len(at)), at], -1, 1))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at.astype(np.int32)), pa.array(angle)], ["id", "tag", "vector", "cell", "angle"])
 
         placed = written(x.mapInArrow(assign, "id long, tag string, vector array<double>, cell int, angle double"), "placed")
         found = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()}  # MOST_CELLS at most
@@ -103,20 +113,22 @@ class VectorIndex:
         def run(batches):
             centroids, radius = shared.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = _unit(np.array(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1))
-                angle = np.arccos(np.clip(v @ centroids.T, -1, 1))
-                order = np.argsort(angle, axis=1, kind="stable")
-                if within:
-                    reach = np.array(batch.column(3).fill_null(4.0))
-                    open_ = angle - radius <= reach[:, None]
-                    np.put_along_axis(open_, order[:, :probes], False, axis=1)
-                    row, cell = np.nonzero(open_)
-                else:
-                    row = np.repeat(np.arange(len(v)), min(probes, angle.shape[1]))
-                    cell = order[:, :probes].ravel()
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(row)) for i in range(3)] + [pa.array(cell.astype(np.int32))], ["query_id", "vector", "tag", "cell"])
+                for part in _slices(batch, len(centroids)):
+                    v = _unit(np.array(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1))
+                    angle = np.arccos(np.clip(v @ centroids.T, -1, 1))
+                    order = np.argsort(angle, axis=1, kind="stable")[:, :probes]
+                    if within:
+                        reach = np.array(part.column(3).fill_null(4.0))
+                        open_ = angle - radius <= reach[:, None]
+                        np.put_along_axis(open_, order, False, axis=1)
+                        row, cell = np.nonzero(open_)
+                    else:
+                        row = np.repeat(np.arange(len(v)), order.shape[1])
+                        cell = order.ravel()
+                    # a query goes to many cells, each time with its vector
+                    each = max(1, STEP // v.shape[1])
+                    for lo in range(0, len(row), each):
+                        yield pa.RecordBatch.from_arrays([part.column(i).take(pa.array(row[lo : lo + each])) for i in range(3)] + [pa.array(cell[lo : lo + each].astype(np.int32))], ["query_id", "vector", "tag", "cell"])
 
         columns = ["query_id", "vector", "tag", *(["angle"] if within else [])]
         return queries.select(*columns).mapInArrow(run, fields)
